@@ -59,7 +59,7 @@ def truncated(text: Column, limit: int) -> Column:
 
 def sentences(text: Column, least: int = 0) -> Column:
     """Trimmed parts between runs of . ! and ?, of ``least`` characters at least and never empty."""
-    parts = F.transform(F.split(text, "[.!?]+"), F.trim)
+    parts = F.transform(F.split(text, "[.!?]+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: (s != "") & (F.length(s) >= least))
 
 
