@@ -120,17 +120,42 @@ def topological_levels(edges: DataFrame, most: int = 1000) -> DataFrame:
     return out if out is not None else nodes.withColumn("level", F.lit(0)).limit(0)
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle or between two, left when nodes without incoming or without outgoing edges are peeled off again and again."""
+def peeled(edges: DataFrame) -> DataFrame:
+    """Edges that are left when nodes without incoming or without outgoing ones are taken off again and again."""
     left = _cut(edges.select("src", "dst").distinct())
     while True:
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = _cut(kept.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if kept.count() == left.count():
-            return kept.select(F.col("src").alias("id")).distinct()
+            return kept
         left = kept
 
 
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes on a directed cycle, by colouring: each round spreads the greatest id forward, then takes what reaches its
+    own colour's root backward as one strongly connected component, and goes on without it."""
+    loops = edges.where("src = dst").select(F.col("src").alias("id"))
+    found = _cut(loops.distinct())
+    left = peeled(edges.where("src <> dst"))
+    while not left.isEmpty():
+        colour = _cut(left.select(F.col("src").alias("id"), F.col("src").alias("c")).distinct())
+        while True:
+            comes = left.join(colour, F.col("src") == F.col("id")).groupBy("dst").agg(F.max("c").alias("m"))
+            after = _cut(colour.join(comes, F.col("id") == F.col("dst"), "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was")))
+            colour, still = after.select("id", "c"), after.where("c <> was").isEmpty()
+            if still:
+                break
+        a, b = colour.select(F.col("id").alias("src"), F.col("c").alias("ca")), colour.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
+        same = _cut(left.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        members = reachable(same, colour.where("id = c").select("id")).select("id")
+        # a root alone is no cycle: a component has an edge inside it
+        inner = same.join(members.withColumnRenamed("id", "src"), "src", "left_semi").join(members.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        found = _cut(found.union(inner.select("src")).union(inner.select("dst")).distinct())
+        rest = left.join(members.withColumnRenamed("id", "src"), "src", "left_anti").join(members.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        left = peeled(rest.select("src", "dst"))
+    return found.distinct()
+
+
 def filtered(nodes: DataFrame, edges: DataFrame, keep, least_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """Nodes that meet ``keep`` and edges of at least that weight both of whose ends are kept."""
     kept = nodes.where(keep)
@@ -141,14 +166,14 @@ def filtered(nodes: DataFrame, edges: DataFrame, keep, least_weight: float = 0.0
 
 
 def cohesion(edges: DataFrame, member: DataFrame) -> DataFrame:
-    """(cluster, size, inside, cohesion): distinct undirected edges within a cluster (id, cluster) over all that its size allows."""
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    a, b = (member.select(F.col("id").alias(c), F.col("cluster").alias(f"c{c}")) for c in ("a", "b"))
-    inside = pairs.join(a, "a").join(b, "b").where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.count(F.lit(1)).alias("inside"))
+    """(cluster, size, inside, cohesion): distinct directed edges within a cluster (id, cluster) over all that its size allows; 1 for a single member."""
+    pairs = edges.select("src", "dst").where("src <> dst").distinct()
+    a, b = (member.select(F.col("id").alias(c), F.col("cluster").alias(f"c{c}")) for c in ("src", "dst"))
+    inside = pairs.join(a, "src").join(b, "dst").where("csrc = cdst").groupBy(F.col("csrc").alias("cluster")).agg(F.count(F.lit(1)).alias("inside"))
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    possible = F.col("size") * (F.col("size") - 1) / 2
+    possible = F.col("size") * (F.col("size") - 1)
     both = sizes.join(inside, "cluster", "left").withColumn("inside", F.coalesce("inside", F.lit(0)).cast("long"))
-    return both.withColumn("cohesion", F.when(possible > 0, F.col("inside") / possible).otherwise(F.lit(0.0)))
+    return both.withColumn("cohesion", F.when(possible > 0, F.col("inside") / possible).otherwise(F.lit(1.0)))
 
 
 def best_per_key(rows: DataFrame, by: list[str], order: list) -> DataFrame:  # noqa: ANN001

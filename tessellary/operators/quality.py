@@ -77,10 +77,10 @@ def classify(docs: DataFrame, rules: DataFrame, key: str, text: str) -> DataFram
 
 
 def risk_score(factors: DataFrame, by: str, severity: str, confidence: str) -> DataFrame:
-    """(by, score, level): mean severity (3, 2, 1) weighted by confidence; 0 without confidence."""
+    """(by, score, level): mean severity (3, 2, 1) weighted by confidence, to two places; 0 without confidence."""
     value = F.when(F.col(severity) == "high", 3).when(F.col(severity) == "medium", 2).when(F.col(severity) == "low", 1).otherwise(0)
     found = factors.groupBy(by).agg(F.sum(value * F.col(confidence)).alias("s"), F.sum(confidence).alias("c"))
-    score = F.coalesce(F.try_divide(F.col("s"), F.col("c")), F.lit(0.0))
+    score = F.floor(F.coalesce(F.try_divide(F.col("s"), F.col("c")), F.lit(0.0)) * 100 + 0.5) / 100
     return found.select(by, score.alias("score"), risk_level(score).alias("level"))
 
 

@@ -101,7 +101,7 @@ _MODULES = """m AS (SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst F
 
 @query("cycle_nodes", f"WITH RECURSIVE {_MODULES}, r AS (SELECT src AS a, dst AS b FROM m UNION SELECT r.a, m.dst FROM r JOIN m ON r.b = m.src) SELECT DISTINCT a AS id FROM r WHERE a = b")
 def cycle_nodes(t: Tables) -> DataFrame:
-    """Nations that trade in a circle; this graph's peeled rest holds cycles only."""
+    """Nations that trade in a circle."""
     named = t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     named = named.join(t.customer.select("c_custkey", F.col("c_nationkey").alias("src")), F.col("c_custkey") == F.col("o_custkey"))
     named = named.join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("s_suppkey") == F.col("l_suppkey"))
@@ -117,10 +117,10 @@ def graph_filter(t: Tables) -> DataFrame:
 
 
 @query("cluster_cohesion", """
-    WITH e AS (SELECT DISTINCT least(c_custkey, o.c2) AS a, greatest(c_custkey, o.c2) AS b FROM (SELECT o1.o_custkey AS c_custkey, o2.o_custkey AS c2 FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1) o WHERE c_custkey <> o.c2),
+    WITH e AS (SELECT DISTINCT o1.o_custkey AS a, o2.o_custkey AS b FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1 WHERE o1.o_custkey <> o2.o_custkey),
     i AS (SELECT x.c_nationkey AS cluster, count(*) AS inside FROM e JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b WHERE x.c_nationkey = y.c_nationkey GROUP BY 1),
     s AS (SELECT c_nationkey AS cluster, count(*) AS size FROM customer GROUP BY 1)
-    SELECT cluster, size, coalesce(inside, 0) AS inside, round(coalesce(inside, 0) / (size * (size - 1) / 2), 6) AS cohesion FROM s LEFT JOIN i USING (cluster)""")
+    SELECT cluster, size, coalesce(inside, 0) AS inside, round(CASE WHEN size < 2 THEN 1.0 ELSE coalesce(inside, 0) / (size * (size - 1)) END, 6) AS cohesion FROM s LEFT JOIN i USING (cluster)""")
 def cluster_cohesion(t: Tables) -> DataFrame:
     """Customers of successive orders are linked, nations are clusters."""
     a = t.orders.select((F.col("o_orderkey") + 1).alias("k"), F.col("o_custkey").alias("src"))

@@ -1 +1,39 @@
-"""Placeholder."""
+"""Streaming queries: events replayed as a stream, results as the closed windows wrote them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..streaming import events
+from .registry import Tables, query
+
+_FMT = "'%Y-%m-%d %H:%M:%S'"
+
+
+def _stream(t: Tables) -> DataFrame:
+    return events.read(t.spark, f"{t.sf_dir}/events*.parquet", t.events)
+
+
+def stamp(c: str):  # noqa: ANN201 - a column
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@query("stream_tumbling_counts", f"""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2)
+    SELECT strftime(s, {_FMT}) AS start, event_type, n, round(v, 4) AS v FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_tumbling_counts(t: Tables) -> DataFrame:
+    out = events.run_to_table(events.windowed(_stream(t), "1 hour", "0 seconds", ["event_type"]))
+    return out.select(stamp("start"), "event_type", "n", F.round("v", 4).alias("v"))
+
+
+@query("stream_debounce", f"""WITH s AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 300 SECOND THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s), x AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 300 SECOND AS b, count(*) AS n FROM g GROUP BY user_id, s)
+    SELECT user_id, strftime(a, {_FMT}) AS start, strftime(b, {_FMT}) AS "end", n FROM x WHERE b <= (SELECT max(ts) FROM events)""")
+def stream_debounce(t: Tables) -> DataFrame:
+    out = events.run_to_table(events.debounced(_stream(t), "300 seconds", "0 seconds", "user_id"))
+    return out.select("user_id", stamp("start"), stamp("end"), "n")
+
+
+@query("stream_lease_grants")
+def stream_lease_grants(t: Tables) -> DataFrame:
+    return events.run_to_table(events.leases(_stream(t), "event_type", "user_id", "event_id", 600))

@@ -170,7 +170,7 @@ def version_numbers(t: Tables) -> DataFrame:
 
 
 @query("risk_score", """WITH f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END AS s, least(value, 100) / 100 AS c FROM events),
-    r AS (SELECT user_id, sum(s * c) / sum(c) AS score FROM f GROUP BY user_id)
+    r AS (SELECT user_id, floor(sum(s * c) / sum(c) * 100 + 0.5) / 100 AS score FROM f GROUP BY user_id)
     SELECT user_id, round(score, 6) AS score, CASE WHEN score >= 2.5 THEN 'critical' WHEN score >= 1.8 THEN 'high' WHEN score >= 1.2 THEN 'medium' ELSE 'low' END AS level FROM r""")
 def risk_score(t: Tables) -> DataFrame:
     severity = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "purchase", "medium").otherwise("low")
