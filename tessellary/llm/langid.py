@@ -82,17 +82,19 @@ def build(samples: dict[str, list[str]]) -> Model:
     for k in languages:
         text = np.concatenate([np.append(symbols[c], _UNSEEN) for c in joined[k]])
         moves = suffix_automaton(text)
-        table = np.full((len(moves), width), -1, np.int32)
+        dead = at + len(moves)  # after a character that is in no phrase
+        table = np.full((len(moves) + 1, width), -1, np.int32)
         for state, out in enumerate(moves):
             for c, to in out.items():
                 table[state, c] = to + at
         table[:, _UNSEEN] = -1  # a break or an unseen character is in no sample
-        root = np.where(table[0] >= 0, table[0], at)
-        table = np.where(table >= 0, table, root + _COUNT)
-        table[:, _PAD] = np.arange(len(moves)) + at
+        begun = np.where(table[0] >= 0, table[0], dead)
+        table = np.where(table >= 0, table, begun + _COUNT)
+        table[0] = begun  # only the first character meets the root, when no phrase is in hand
+        table[:, _PAD] = np.arange(len(table)) + at
         tables.append(table)
         roots.append(at)
-        at += len(moves)
+        at += len(table)
     return Model(languages, np.array(roots, np.int32), np.concatenate(tables) if tables else np.zeros((0, width), np.int32), symbols)
 
 
