@@ -147,7 +147,7 @@ def module_cohesion(t: Tables) -> DataFrame:
 @query("recommend_scores", """
     WITH recent AS (SELECT DISTINCT l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 7),
     sup AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_partkey IN (SELECT p FROM recent)),
-    s AS (SELECT l_partkey AS id, 0.5 AS x FROM lineitem WHERE l_suppkey IN (SELECT s FROM sup) GROUP BY 1 UNION ALL SELECT p, 0.3 FROM recent UNION ALL SELECT p_partkey, 0.4 FROM part WHERE p_type LIKE '%STEEL%' OR contains(lower(p_name), 'green')
+    s AS (SELECT l_partkey AS id, 0.5 AS x FROM lineitem WHERE l_suppkey IN (SELECT s FROM sup) GROUP BY 1 UNION ALL SELECT p, 0.3 FROM recent UNION ALL SELECT p_partkey, 0.4 FROM part WHERE p_type LIKE '%PROMO%' OR contains(lower(p_name), 'red')
           UNION ALL SELECT p_partkey, 0.2 * p_size / 50.0 FROM part WHERE p_size > 35)
     SELECT id, round(sum(x), 6) AS score FROM s GROUP BY id ORDER BY sum(x) DESC, id LIMIT 10""")
 def recommend_scores(t: Tables) -> DataFrame:
@@ -155,7 +155,7 @@ def recommend_scores(t: Tables) -> DataFrame:
     recent = t.lineitem.join(orders, "l_orderkey", "left_semi").select(F.col("l_partkey").alias("id")).distinct()
     sup = t.lineitem.join(recent.select(F.col("id").alias("l_partkey")), "l_partkey", "left_semi").select("l_suppkey").distinct()
     related = t.lineitem.join(sup, "l_suppkey", "left_semi").select(F.col("l_partkey").alias("id")).distinct()
-    found = t.part.where(F.col("p_type").contains("STEEL") | F.lower("p_name").contains("green")).select(F.col("p_partkey").alias("id"))
+    found = t.part.where(F.col("p_type").contains("PROMO") | F.lower("p_name").contains("red")).select(F.col("p_partkey").alias("id"))
     heavy = t.part.where("p_size > 35").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 0.2 / 50.0).alias("x"))
     scored = related.withColumn("x", F.lit(0.5)).union(recent.withColumn("x", F.lit(0.3))).union(found.withColumn("x", F.lit(0.4))).union(heavy)
     return scored.groupBy("id").agg(F.sum("x").alias("s")).orderBy(F.desc("s"), "id").limit(10).select("id", F.round("s", 6).alias("score"))
