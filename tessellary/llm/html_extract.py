@@ -38,10 +38,12 @@ SIBLINGS = {
 }
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
+TITLED = frozenset("article post entry story content title section".split())
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb "
-    "breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup "
-    "login share sharing social related recommended widget toolbar pagination pager copyright skip".split()
+    "breadcrumbs sidebar sidebars footer masthead topbar cookie cookies consent gdpr notice notices alert notification announcement disclaimer "
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget widgets toolbar "
+    "pagination pager copyright skip menus banners sponsors rail".split()
 )
 
 
@@ -109,19 +111,20 @@ class PageLines(HTMLParser):
         if not attrs:
             return ""
         given = {k: v or "" for k, v in attrs}
-        if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
+        if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display:\s*none|visibility:\s*hidden", given.get("style", "")):
             return "other"
         if given.get("role", "").lower() in ROLES:
             return "other"
         if name in ("body", "html", "main"):
             return ""
         marks = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{given.get('class', '')} {given.get('id', '')}")
+        marks = re.sub(r"\b(?:no|has|with|without)[-_]\w+", "", marks)  # what a layout has or lacks says nothing about an element
         words = set(re.findall(r"[a-z]+", marks.lower()))
         if words & COMMENTS:
             return "comments"
         if words & MARKED:
             return "other"
-        return "header" if words & {"header"} and name not in HEADING and name not in REGION else ""
+        return "header" if "header" in words and not words & TITLED and name not in HEADING and name not in REGION else ""
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         self.pending += 1

@@ -55,6 +55,8 @@ def test_html_main_text():
     assert html_extract.main_text(PAGE) == want
     without = PAGE.replace("<main><article>", '<div id="content">').replace("</article><aside>", "</div><aside>").replace("</main>", "")
     assert html_extract.main_text(without) == want
+    wrapped = without.replace("<body>", '<body class="menu"><div class="layout no-sidebar">').replace("<h1>Caf", '<div class="post-header"><h1>Caf').replace("bar</h1>", "bar</h1></div>")
+    assert html_extract.main_text(wrapped) == want
 
 
 @pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("<p></p>", ""), ("plain &lt;text", "plain <text"), ("<nav>menu</nav>", ""), ("<p>a<p>b", "a b"), ("<b>x</b>y <!-- no -->z", "xy z")])
