@@ -113,12 +113,13 @@ def common_dependencies(t: Tables) -> DataFrame:
     return best.select("dependency", "files", F.round(F.least(F.col("files") / F.col("total") + 0.5, F.lit(1.0)), 6).alias("confidence"))
 
 
-@query("link_resolution", """WITH l AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1))) AS slug FROM pages), s AS (SELECT lower(split_part(split_part(url, '/', 3), '.', 1)) AS slug, min(page_id) AS target FROM pages GROUP BY 1)
+@query("link_resolution", """WITH l AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1))) AS slug FROM pages), s AS (SELECT lower(split_part(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ', 1)) AS slug, min(page_id) AS target FROM pages GROUP BY 1)
     SELECT DISTINCT l.page_id, s.target FROM l JOIN s USING (slug)""")
 def link_resolution(t: Tables) -> DataFrame:
-    """Links resolved by slug; the first page of a slug wins."""
+    """Links resolved by slug, the first word of a title; the first page of a slug wins."""
     links = t.pages.select("page_id", F.explode(F.transform(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1)), lambda s: F.lower(s))).alias("slug"))
-    slugs = t.pages.groupBy(F.lower(F.split(F.split("url", "/")[2], r"\.")[0]).alias("slug")).agg(F.min("page_id").alias("target"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    slugs = t.pages.groupBy(F.lower(F.split(title, " ")[0]).alias("slug")).agg(F.min("page_id").alias("target"))
     return links.join(slugs, "slug").select("page_id", "target").distinct()
 
 
@@ -140,12 +141,12 @@ def redundant_sections(t: Tables) -> DataFrame:
     return t.part.join(used, "p_partkey", "left_anti").select(F.col("p_partkey").alias("section"))
 
 
-@query("small_section_islands", """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity < 20 AS INT) AS small FROM lineitem),
-    i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - row_number() OVER (PARTITION BY l_orderkey, small ORDER BY l_linenumber, l_partkey) AS g FROM m)
+@query("small_section_islands", """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CAST(l_quantity < 20 AS INT) AS small FROM lineitem),
+    i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - row_number() OVER (PARTITION BY l_orderkey, small ORDER BY l_linenumber, l_partkey, l_quantity) AS g FROM m)
     SELECT l_orderkey, min(l_linenumber) AS first, count(*) AS merged FROM i WHERE small = 1 GROUP BY l_orderkey, g HAVING count(*) >= 2""")
 def small_section_islands(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") < 20).alias("small"))
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - F.row_number().over(Window.partitionBy("l_orderkey", "small").orderBy("l_linenumber", "l_partkey"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_quantity") < 20).alias("small"))
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")) - F.row_number().over(Window.partitionBy("l_orderkey", "small").orderBy("l_linenumber", "l_partkey", "l_quantity"))
     runs = rows.withColumn("g", at).where("small").groupBy("l_orderkey", "g").agg(F.min("l_linenumber").alias("first"), F.count(F.lit(1)).alias("merged"))
     return runs.where("merged >= 2").select("l_orderkey", "first", "merged")
 
