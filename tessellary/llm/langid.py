@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Bounds of the sample that a model learns from, for each language: documents, code points of one of them, code points in all.
 DOCS, PER_DOC, CHARS = 128, 1000, 32_768
+#: Characters that a model tells apart (the most frequent ones of its samples), and cells of its table, 4 bytes each; with many
+#: languages each one's sample is cut so that the table, which is broadcast, keeps within them.
+SYMBOLS, CELLS = 512, 64_000_000
 #: Code points that are parsed on end; a phrase never spans two such segments.
 SEGMENT = 256
 UNDETERMINED = "und"
@@ -71,16 +74,18 @@ def codes(text: str) -> np.ndarray:
 
 
 def build(samples: dict[str, list[str]]) -> Model:
-    """A model of the samples of each language; samples are joined, with a break between two."""
+    """A model of the samples of each language; samples are joined, with a break between two, and cut to what CELLS allows."""
     languages = sorted(samples)
     joined = {k: [codes(t) for t in samples[k]] for k in languages}
-    seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *(c for v in joined.values() for c in v)]))
+    seen, often = np.unique(np.concatenate([np.zeros(0, np.uint32), *(c for v in joined.values() for c in v)]), return_counts=True)
+    seen = np.sort(seen[np.argsort(-often, kind="stable")[:SYMBOLS]])
     symbols = np.full(int(seen[-1]) + 1 if len(seen) else 1, _UNSEEN, np.int32)
     symbols[seen] = np.arange(2, len(seen) + 2)
     width = len(seen) + 2
+    most = CELLS // (2 * width * max(1, len(languages)))
     tables, roots, at = [], [], 0
     for k in languages:
-        text = np.concatenate([np.append(symbols[c], _UNSEEN) for c in joined[k]])
+        text = np.concatenate([np.append(symbols[c], _UNSEEN) for c in joined[k]])[:most]
         moves = suffix_automaton(text)
         dead = at + len(moves)  # after a character that is in no phrase
         table = np.full((len(moves) + 1, width), -1, np.int32)
