@@ -44,3 +44,21 @@ def threshold(rate: Column, size: Column, rows: Column) -> Column:
     base = F.when(size < 50, 30).when(size < 200, 50).when(size < 500, 65).otherwise(75)
     shift = F.when(rows < 3, 0).when(rate > 0.9, -5).when(rate < 0.5, 10).when(rate < 0.7, 5).otherwise(0)
     return F.greatest(F.lit(20), F.least(F.lit(80), base + shift))
+
+
+def without_oldest(rows: DataFrame, at: str, key: str, share: int) -> DataFrame:
+    """``rows`` without the oldest 1 / ``share`` of them by (at, key).
+
+    Counts by hour find the hour in which the border lies; only that hour's rows are ranked.
+    """
+    n = rows.count() // share
+    hour = F.date_trunc("hour", at)
+    counts = rows.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("c"))
+    total = F.sum("c").over(Window.orderBy("hour"))
+    border = counts.withColumn("t", total).where(F.col("t") >= n).orderBy("hour").limit(1)
+    border = border.select(F.col("hour").alias("__hour"), (F.lit(n) - F.col("t") + F.col("c")).alias("__k"))
+    near = rows.crossJoin(F.broadcast(border))
+    after = near.where(hour > F.col("__hour"))
+    rank = F.row_number().over(Window.partitionBy("__hour").orderBy(at, key))
+    within = near.where(hour == F.col("__hour")).withColumn("__r", rank).where(F.col("__r") > F.col("__k")).drop("__r")
+    return after.unionByName(within).drop("__hour", "__k")

@@ -153,10 +153,7 @@ def relevance_boost(t: Tables) -> DataFrame:
 
 @query("evict_oldest_tenth", "SELECT event_id FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r, count(*) OVER () AS n FROM events) WHERE r > floor(n / 10.0)")
 def evict_oldest_tenth(t: Tables) -> DataFrame:
-    """The oldest tenth goes; its border is found by a count and a top-k, not by ranking all rows in one task."""
-    n = t.events.count() // 10
-    oldest = t.events.orderBy("ts", "event_id").limit(n).select("event_id")
-    return t.events.join(oldest, "event_id", "left_anti").select("event_id")
+    return logs.without_oldest(t.events, "ts", "event_id", 10).select("event_id")
 
 
 @query("debounce_sessions", f"""WITH s AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 300 SECOND THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

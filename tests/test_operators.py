@@ -253,3 +253,10 @@ def test_entry_without_llm():
     root = Path(__file__).resolve().parents[1]
     code_ = "import sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith(('tessellary.llm', 'corpus_pipeline')): raise ImportError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert e.queries() and not any(q.startswith('op') and q[2].isdigit() for q in e.queries())\nassert 'pipeline' not in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code_], cwd=root, check=True, timeout=120)
+
+
+def test_without_oldest(spark):
+    rows = spark.createDataFrame([(i, f"2024-01-01 0{i // 10}:00:0{i % 2}") for i in range(25)], "id int, t string").selectExpr("id", "cast(t as timestamp) ts")
+    assert sorted(r.id for r in logs.without_oldest(rows, "ts", "id", 10).collect()) == [i for i in range(25) if i not in (0, 2)]
+    assert logs.without_oldest(rows, "ts", "id", 100).count() == 25
+    assert logs.without_oldest(rows.limit(0), "ts", "id", 10).count() == 0
