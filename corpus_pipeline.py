@@ -38,7 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.lit(None).cast("long").alias("payload"))
     taken = mixing.copies(sizes, scratch).groupBy("doc_id").agg(F.max("taken").alias("taken")).where("taken > 0")
     taken = scratch.keep(taken.withColumnRenamed("doc_id", "id"), "taken")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
+    # one way at every size: a decision for each document is too much to broadcast, so both sides are sorted by id
+    joined = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("taken")))).select(*COLUMNS)
 
 
