@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessellary.llm import bpe, chat, common, embed_dedup, fingerprints, html_extract, langid, mixing, sharding, simhash, warc
+from tessellary.llm import bpe, chat, common, embed_dedup, fingerprints, html_extract, langid, mixing, sharding, shingles, simhash, warc
 from tessellary.llm.queries import VOCABULARY
 
 SF = "/root/testdata/sf0.001"
@@ -491,3 +491,52 @@ def test_pipeline_stages(spark, documents, library):
     four = encode(spark, three, SF).collect()
     assert Counter((r.doc_id, sha(",".join(map(str, r.ids)))) for r in four) == Counter((k, sha(",".join(map(str, library.encode(t, add_special_tokens=False).ids)))) for k, t in texts)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def brute_survivors(rows):
+    """Least id of each group of texts that five-word Jaccard similarities of 0.8 or more link."""
+    sets, roots = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                roots[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), key), key)
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("known", [100_000, 0])
+def test_pipeline_drops_near_copies(spark, documents, monkeypatch, known):
+    monkeypatch.setattr(shingles, "FREQUENT", known)
+    rng = random.Random(5)
+    texts = []
+    for size in (4, 5, 9, 49, 50, 51, 200, 2000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        texts.append(words)
+        # changed at the end, in the middle, often, and grown: similarities on both sides of 0.8
+        texts += [[*words[:-1], "new"], [*words[: size // 2], "new", *words[size // 2 + 1 :]], [w if i % 25 else "new" for i, w in enumerate(words)], words + [f"x{i}" for i in range(size // 4)], words + [f"x{i}" for i in range(size // 5)]]
+    rows = [(10_000 + i, " ".join(w)) for i, w in enumerate(texts)]
+    planted = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], SCHEMA)
+    docs = documents.unionByName(planted)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    rows += [(r.doc_id, r.text) for r in documents.collect()]
+    assert left.columns == documents.columns
+    assert sorted(r.doc_id for r in left.collect()) == brute_survivors(rows)
+
+
+def test_pipeline_near_copies_awkward(spark, awkward):
+    left = Counter(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, awkward, SF).collect())
+    assert left == Counter({1: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1, None: 1})
+    assert corpus_pipeline.drop_near_duplicates(spark, awkward.limit(0), SF).count() == 0
