@@ -133,3 +133,36 @@ def centroids(vectors: DataFrame, label: str, vec: str) -> DataFrame:
     """(label, pos, value): the mean vector of each label, one row a component."""
     parts = vectors.select(F.col(label).alias("label"), F.posexplode(vec).alias("pos", "x"))
     return parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
+
+
+def packed(items: DataFrame, keys: list[str], order: list[Column], item: str, size: str, budget: int) -> DataFrame:
+    """``keys``, used and ids: items of each group in a stated order, as far as they fit; one that doesn't fit is skipped and smaller ones may follow.
+
+    Groups are read in order and only what is packed is held, so they may have any number of items.
+    """
+    schema = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
+    schema += f", used bigint, ids array<{items.schema[item].dataType.simpleString()}>"
+
+    def on_partition(batches):  # noqa: ANN001, ANN202
+        def rows(found):  # noqa: ANN001, ANN202
+            return pa.RecordBatch.from_pylist(found, schema=pa.schema([*types, ("used", pa.int64()), ("ids", pa.list_(kind))]))
+
+        group, used, ids, types, kind = None, 0, [], [], None
+        for batch in batches:
+            types, kind = [batch.schema.field(k) for k in keys], batch.schema.field(item).type
+            done = []
+            for *key, x, n in zip(*(batch.column(c).to_pylist() for c in (*keys, item, size)), strict=True):
+                if key != group:
+                    if group is not None:
+                        done.append({**dict(zip(keys, group, strict=True)), "used": used, "ids": ids})
+                    group, used, ids = key, 0, []
+                if n is not None and used + n <= budget:
+                    used += n
+                    ids.append(x)
+            if done:
+                yield rows(done)
+        if group is not None:
+            yield rows([{**dict(zip(keys, group, strict=True)), "used": used, "ids": ids}])
+
+    dealt = items.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.select(*keys, item, size).mapInArrow(on_partition, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -203,18 +203,7 @@ def interaction_similarity(t: Tables) -> DataFrame:
 def context_budget_pack(t: Tables) -> DataFrame:
     """Greedy packing: best first, an item that doesn't fit is skipped and smaller ones may follow; one budget for each source and language."""
     scored = t.documents.select("source", "lang", "doc_id", "n_chars", tx.token_estimate(F.col("text")).alias("tokens"))
-    rank = F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.desc("n_chars"), "doc_id"))
-    # 50 candidates of each group are what a context is packed from, so groups are bounded
-    best = scored.withColumn("rank", rank).where("rank <= 50").groupBy("source", "lang").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "doc_id", "tokens"))).alias("items")
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("ids"))
-    fits = lambda s, x: s["used"] + x["tokens"] <= 4000
-    packed = F.aggregate(
-        "items", zero,
-        lambda s, x: F.struct(F.when(fits(s, x), s["used"] + x["tokens"]).otherwise(s["used"]).alias("used"), F.when(fits(s, x), F.concat(s["ids"], F.array(x["doc_id"]))).otherwise(s["ids"]).alias("ids")),
-    )
-    return best.select("source", "lang", packed.alias("p")).select("source", "lang", "p.used", "p.ids")
+    return search.packed(scored, ["source", "lang"], [F.desc("n_chars"), F.asc("doc_id")], "doc_id", "tokens", 4000)
 
 
 @query("hashed_embeddings")

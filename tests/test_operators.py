@@ -260,3 +260,29 @@ def test_without_oldest(spark):
     assert sorted(r.id for r in logs.without_oldest(rows, "ts", "id", 10).collect()) == [i for i in range(25) if i not in (0, 2)]
     assert logs.without_oldest(rows, "ts", "id", 100).count() == 25
     assert logs.without_oldest(rows.limit(0), "ts", "id", 10).count() == 0
+
+
+def test_packing_sees_every_item_of_a_group(spark):
+    sizes = [3990 if i % 2 else 4100 for i in range(120)] + [9, 7, 2, None, 1]
+    rows = [("s", None, i, 10_000 - i, n) for i, n in enumerate(sizes)] + [("t", "en", 500 + i, -i, 30) for i in range(200)] + [("u", "en", 900, 1, 4001)]
+    items = spark.createDataFrame(rows, "source string, lang string, doc_id long, n_chars long, tokens long").repartition(3)
+    got = {(r.source, r.lang): (r.used, r.ids) for r in search.packed(items, ["source", "lang"], [F.desc("n_chars"), F.asc("doc_id")], "doc_id", "tokens", 4000).collect()}
+    want = {}
+    for source, lang, i, _, n in sorted(rows, key=lambda r: (r[0], -r[3], r[2])):
+        used, ids = want.setdefault((source, lang), (0, []))
+        if n is not None and used + n <= 4000:
+            want[source, lang] = (used + n, [*ids, i])
+    assert got == want and got["s", None] == (4000, [1, 120, 124]) and len(got["t", "en"][1]) == 133
+    assert search.packed(items.limit(0), ["source", "lang"], [F.asc("doc_id")], "doc_id", "tokens", 4000).count() == 0
+
+
+def test_context_budget_pack_is_whole(spark):
+    from tessellary.plans import catalog
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("source", "lang", "doc_id", "n_chars", "text").collect()
+    want = {}
+    for r in sorted(docs, key=lambda r: (-r.n_chars, r.doc_id)):
+        used, ids = want.setdefault((r.source, r.lang), (0, []))
+        if used + (n := -(-len(r.text) // 4)) <= 4000:
+            want[r.source, r.lang] = (used + n, [*ids, r.doc_id])
+    assert {(r.source, r.lang): (r.used, r.ids) for r in catalog.queries()["context_budget_pack"](spark, "/root/testdata/sf0.01").collect()} == want
