@@ -124,3 +124,16 @@ def similar_pairs(items: DataFrame, key: str, text: str, least: float) -> DataFr
     x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
     return scored.where(F.col("jaccard") > least)
+
+
+def similar_items(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """(a, b, jaccard) as ``similar_pairs``, over any number of copies: items of equal word sets are compared once, by their least key, and then take each other's place."""
+    bag = F.md5(F.array_join(F.array_sort(tx.word_set(F.col(text))), " ").cast("binary"))
+    rows = items.select(F.col(key).alias("id"), F.col(text).alias("text"), bag.alias("bag")).where(F.size(tx.word_set(F.col("text"))) > 0)
+    first = rows.groupBy("bag").agg(F.min("id").alias("rep"))
+    member = rows.join(first, "bag").select("id", "rep")
+    distinct = rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    x, y = member.select(F.col("rep").alias("a"), F.col("id").alias("x")), member.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    apart = similar_pairs(distinct, "id", "text", least).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    copies = x.join(y, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))
+    return apart.unionByName(copies)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import commits, quality, textdiff
+from ..operators import code_graph, commits, quality, textdiff
 from .registry import Tables, query
 
 
@@ -188,6 +188,16 @@ def word_jaccard_neighbors(t: Tables) -> DataFrame:
     return rows.select("doc_id", "other", F.round(tx.jaccard(F.col("s"), F.col("os")), 6).alias("jaccard"))
 
 
+@query("word_jaccard_pairs", """
+    WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS s FROM documents),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS shared, len(a.s) + len(b.s) AS total FROM w a JOIN w b ON a.doc_id < b.doc_id)
+    SELECT a, b, round(shared / (total - shared), 6) AS jaccard FROM p WHERE total > shared AND shared / (total - shared) > 0.3""")
+def word_jaccard_pairs(t: Tables) -> DataFrame:
+    """All pairs of documents whose word sets have a Jaccard similarity over 0.3."""
+    found = code_graph.similar_items(t.documents, "doc_id", "text", 0.3)
+    return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("text_diff_stats")
 def text_diff_stats(t: Tables) -> DataFrame:
     """Line diff of each document and the next one of its source."""

@@ -62,3 +62,24 @@ def test_similar_pairs_are_all_found(spark):
         sets = {i: set((t or "").split()) for i, t in texts}
         want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) > least * len(sets[a] | sets[b])}
         assert got == want
+
+
+def test_similar_items_with_copies(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.sample(words, rng.randint(0, 7))) for _ in range(60)]
+    texts = [(i, t) for i, t in enumerate([*texts, *texts[:20], *(" ".join(reversed(t.upper().split())) for t in texts[:20])])] + [(900, None)]
+    got = sorted((r.a, r.b) for r in code_graph.similar_items(spark.createDataFrame(texts, "id int, text string"), "id", "text", 0.3).collect())
+    sets = {i: set((t or "").lower().split()) for i, t in texts}
+    assert got == sorted((a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) > 0.3 * len(sets[a] | sets[b]))
+
+
+def test_all_pairs_of_documents_are_compared(spark):
+    from tessellary.plans import catalog
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = [(r.doc_id, set(r.text.lower().split())) for r in docs]
+    want = {(i, j) for i, a in sets for j, b in sets if i < j and 10 * len(a & b) > 3 * len(a | b)}
+    got = [(r.a, r.b) for r in catalog.queries()["word_jaccard_pairs"](spark, "/root/testdata/sf0.01").collect()]
+    assert len(got) == len(want) and set(got) == want
+    print("pairs", len(want))
