@@ -189,9 +189,10 @@ def word_jaccard_neighbors(t: Tables) -> DataFrame:
 
 
 @query("word_jaccard_pairs", """
-    WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS s FROM documents),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS shared, len(a.s) + len(b.s) AS total FROM w a JOIN w b ON a.doc_id < b.doc_id)
-    SELECT a, b, round(shared / (total - shared), 6) AS jaccard FROM p WHERE total > shared AND shared / (total - shared) > 0.3""")
+    WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS word FROM documents),
+    n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM w x JOIN w y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY 1, 2)
+    SELECT a, b, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / (x.n + y.n - shared) > 0.3""")
 def word_jaccard_pairs(t: Tables) -> DataFrame:
     """All pairs of documents whose word sets have a Jaccard similarity over 0.3."""
     found = code_graph.similar_items(t.documents, "doc_id", "text", 0.3)
