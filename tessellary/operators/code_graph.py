@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .graph import _cut
 
 # Extensions that an import may leave out, in the order in which they are tried.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".java")
@@ -137,3 +138,37 @@ def similar_items(items: DataFrame, key: str, text: str, least: float) -> DataFr
     apart = similar_pairs(distinct, "id", "text", least).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
     copies = x.join(y, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))
     return apart.unionByName(copies)
+
+
+def consolidated(items: DataFrame, key: str, kind: str, text: str, order: Column, least: float) -> DataFrame:
+    """(id, kept): items merged into a better one of their kind whose word sets are over ``least`` alike, greedily in the stated order, ties by key.
+
+    An item survives if no survivor before it is alike; it then takes all that are left and alike. A survivor is settled in the round in which all before it that are alike are.
+    """
+    rows = items.select(F.col(key).alias("id"), F.col(kind).alias("kind"), F.col(text).alias("text"), order.alias("o"))
+    bag = F.md5(F.array_join(F.array_sort(tx.word_set(F.col("text"))), " ").cast("binary"))
+    rows = rows.where(F.size(tx.word_set(F.col("text"))) > 0).withColumn("bag", bag)
+    # equal word sets have the same neighbours, so the first of them stands for all
+    first = rows.groupBy("kind", "bag").agg(F.min(F.struct("o", "id")).alias("b")).select(F.col("kind").alias("k1"), F.col("bag").alias("b1"), F.col("b.id").alias("rep"))
+    member = _cut(rows.join(first, F.col("kind").eqNullSafe(F.col("k1")) & (F.col("bag") == F.col("b1"))).select("id", "rep", "kind", "o"))
+    reps = _cut(member.where("id = rep").select("id", "kind", "o"))
+    pairs = similar_pairs(rows.join(reps.select("id"), "id", "left_semi"), "id", "text", least)
+    x, y = reps.select(F.col("id").alias("a"), F.col("kind").alias("ka"), F.col("o").alias("oa")), reps.select(F.col("id").alias("b"), F.col("kind").alias("kb"), F.col("o").alias("ob"))
+    met = pairs.join(x, "a").join(y, "b").where(F.col("ka").eqNullSafe(F.col("kb")))
+    pa, pb = (F.struct(F.col(f"o{c}").alias("o"), F.col(c).alias("id")) for c in "ab")
+    ahead = pa < pb
+    left = _cut(met.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("worse"), F.least(pa, pb).alias("place")))
+    merged = None
+    while not left.isEmpty():
+        # those with none before them survive; what they meet goes, to the first of them
+        free = left.join(left.select(F.col("worse").alias("better")).distinct(), "better", "left_anti")
+        gone = _cut(free.groupBy("worse").agg(F.min_by("better", "place").alias("kept")).select(F.col("worse").alias("id"), "kept"))
+        merged = gone if merged is None else merged.unionByName(gone)
+        rest = left.join(gone.select(F.col("id").alias("worse")), "worse", "left_anti")
+        left = _cut(rest.join(gone.select(F.col("id").alias("better")), "better", "left_anti").select("better", "worse", "place"))
+    ids = member.select("id", "rep")
+    out = ids.where("id <> rep").select("id", F.col("rep").alias("kept"))
+    if merged is None:
+        return out
+    moved = ids.join(merged.withColumnRenamed("id", "rep"), "rep", "left")
+    return moved.where("id <> rep or kept is not null").select("id", F.coalesce("kept", "rep").alias("kept"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import changes, quality
+from ..operators import changes, code_graph, quality
 from .registry import Tables, query
 
 
@@ -188,6 +188,12 @@ def consolidated_copies(t: Tables) -> DataFrame:
     return rows.join(best, ["source", "h"]).where("doc_id <> keep").select("doc_id")
 
 
+@query("consolidate_near_dupes")
+def consolidate_near_dupes(t: Tables) -> DataFrame:
+    """Entries merged into a longer one of the same source whose word sets have a Jaccard similarity over 0.8; greedy, so there is no SQL."""
+    return code_graph.consolidated(t.documents, "doc_id", "source", "text", -F.col("n_chars"), 0.8)
+
+
 @query("risk_summary", """WITH f AS (SELECT o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 3 WHEN o_orderpriority = '2-HIGH' THEN 2 ELSE 1 END AS s FROM orders), r AS (SELECT o_custkey, floor(avg(s) * 100 + 0.5) / 100 AS score FROM f GROUP BY 1)
     SELECT CASE WHEN score >= 2.5 THEN 'critical' WHEN score >= 1.8 THEN 'high' WHEN score >= 1.2 THEN 'medium' ELSE 'low' END AS level, count(*) AS n FROM r GROUP BY 1""")
 def risk_summary(t: Tables) -> DataFrame:

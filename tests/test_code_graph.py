@@ -83,3 +83,27 @@ def test_all_pairs_of_documents_are_compared(spark):
     got = [(r.a, r.b) for r in catalog.queries()["word_jaccard_pairs"](spark, "/root/testdata/sf0.01").collect()]
     assert len(got) == len(want) and set(got) == want
     print("pairs", len(want))
+
+
+def test_near_duplicates_are_merged_greedily(spark):
+    from tessellary.plans import catalog
+
+    rows = [(r.doc_id, r.source, r.text, r.n_chars) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    # a chain: each is alike to the next one only, so the second goes and the third survives
+    base = [f"c{i}" for i in range(20)]
+    rows += [(5000 + k, "chain", " ".join([*base[2 * k :], *(f"d{i}" for i in range(2 * k))]), 900 - k) for k in range(6)] + [(5010, "chain", "C0 c0 " + " ".join(base[1:]), 800), (5011, "other", " ".join(base), 700), (5012, None, " ".join(base), 3), (5013, None, " ".join(base), 4)]
+    kept, want = [], {}
+    for i, kind, text, n in sorted(rows, key=lambda r: (-r[3], r[0])):
+        s = set((text or "").lower().split())
+        for j, other, t in kept:
+            if other == kind and s and len(s & t) * 10 > 8 * len(s | t):
+                want[i] = j
+                break
+        else:
+            kept.append((i, kind, s))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")
+    got = {r.id: r.kept for r in code_graph.consolidated(docs, "doc_id", "source", "text", -F.col("n_chars"), 0.8).collect()}
+    assert got == want and want[5001] == 5000 and 5002 not in want and want[5012] == 5013
+    whole = {r.id for r in catalog.queries()["consolidate_near_dupes"](spark, "/root/testdata/sf0.01").collect()}
+    assert whole == {i for i in want if i < 5000}
+    print("merged", len(whole))
