@@ -90,6 +90,18 @@ def label_propagation(t: Tables) -> DataFrame:
     return graph.label_propagation(tree(t), 3)
 
 
+@query("label_propagation_whole", f"""WITH RECURSIVE {_TREE}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    n AS (SELECT DISTINCT src AS id FROM u),
+    l AS (SELECT id, id AS community, 0 AS round FROM n
+          UNION ALL SELECT id, community, round FROM (
+            SELECT u.src AS id, l.community, l.round + 1 AS round, row_number() OVER (PARTITION BY u.src ORDER BY count(*) DESC, l.community) AS k
+            FROM l JOIN u ON u.dst = l.id WHERE l.round < 10 GROUP BY u.src, l.community, l.round) WHERE k = 1)
+    SELECT id, community FROM l WHERE round = 10""")
+def label_propagation_whole(t: Tables) -> DataFrame:
+    """Up to 10 rounds, or until nothing changes."""
+    return graph.label_propagation(tree(t))
+
+
 @query("topo_levels", f"WITH RECURSIVE {_TREE}, r AS (SELECT DISTINCT src AS id, 0 AS level FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id) SELECT id, max(level) AS level FROM r GROUP BY id")
 def topo_levels(t: Tables) -> DataFrame:
     return graph.topological_levels(tree(t))

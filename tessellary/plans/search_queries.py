@@ -84,7 +84,7 @@ def spherical_kmeans(t: Tables) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     rows = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=8, seed=1, maxIter=20, distanceMeasure="cosine").fit(rows)
+    model = KMeans(k=8, seed=1, maxIter=100, distanceMeasure="cosine").fit(rows)
     return model.transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
 
 

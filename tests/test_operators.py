@@ -286,3 +286,14 @@ def test_context_budget_pack_is_whole(spark):
         if used + (n := -(-len(r.text) // 4)) <= 4000:
             want[r.source, r.lang] = (used + n, [*ids, r.doc_id])
     assert {(r.source, r.lang): (r.used, r.ids) for r in catalog.queries()["context_budget_pack"](spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_kmeans_may_take_100_rounds(spark, monkeypatch):
+    from pyspark.ml import clustering
+
+    from tessellary.plans import catalog
+
+    asked = []
+    plain = clustering.KMeans.fit
+    monkeypatch.setattr(clustering.KMeans, "fit", lambda self, rows: asked.append(self.getMaxIter()) or plain(self, rows))
+    assert catalog.queries()["spherical_kmeans"](spark, "/root/testdata/sf0.001").count() > 0 and asked == [100]
