@@ -1,8 +1,9 @@
-"""Near copies by five-word shingles: all pairs of texts whose shingle sets have a Jaccard similarity of 0.8 or more.
+"""Five-word shingle sets of texts, and the exact way to all pairs whose Jaccard similarity is 0.8 or more.
 
 Sets are sorted in one order of all shingles, those that a sample of documents shows to be frequent last. Two sets that
-alike share one of their first n - ceil(0.8 n) + 1 shingles, so these alone are dealt out; pairs that meet there and pass
-the bounds on size and place are compared in full. The order decides what it costs, never what is found.
+alike share one of their first n - ceil(0.8 n) + 1 shingles, so these alone are dealt out. Rows that meet there are a bucket.
+Pairs are compared in full, but only across components that are known to be apart: a large group of near copies is joined
+by a few pairs for each member, never by all. The order decides what it costs, never what is found.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from .common import Scratch, components, runs, whole_runs
 WIDTH = 5
 #: Least similarity, as a fraction, so that it is compared in integers.
 OVER, UNDER = 4, 5
-#: Documents that are sampled for frequent shingles, and the most of these that a task is given.
+#: Documents that are sampled for the order of shingles, and the most frequent shingles that a task is given.
 SAMPLE, FREQUENT = 20_000, 100_000
-#: Rows that a join may broadcast, 8 bytes each.
-BROADCAST_ROWS = 100_000
+#: Pairs that one step over buckets emits at most.
+STEP = 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,20 +37,30 @@ def key_of(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), 42)
 
 
-def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """XXH64 values of the distinct shingles, ascending; fewer words than ``width`` are one shingle, no words none."""
+def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """XXH64 values (seed 42) of all shingles, repeats included; fewer words than ``width`` are one shingle, no words none."""
     if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+        return np.array([key_of(words)] if words else [], np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.array([digest(x, 42) for x in map(join, zip(*(words[i:] for i in range(width)), strict=False))], np.uint64))
+    return np.array([digest(x, 42) for x in map(join, zip(*(words[i:] for i in range(width)), strict=False))], np.uint64)
+
+
+def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The distinct ``shingle_hashes``, ascending."""
+    return np.unique(shingle_hashes(words, width))
 
 
-def alike(shared: int, a: int, b: int) -> bool:
+def alike(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
     """Whether sets of ``a`` and ``b`` members that share so many have a Jaccard similarity of 0.8 or more."""
     return UNDER * shared >= OVER * (a + b - shared)
 
 
-def _frequent(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def frequent(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of documents shows at least three times, ascending, and how often."""
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,96 +79,109 @@ def _frequent(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], found["n"].to_numpy()[order]
 
 
-def _heads(documents: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, key, n and head, the first shingles of every row in the common order."""
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key bigint, n int, head array<bigint>"
-    known, often = frequent
+def head(hashes: np.ndarray, known: np.ndarray, often: np.ndarray) -> tuple[int, np.ndarray]:
+    """Size of the set of ``hashes`` and its first shingles in the common order."""
+    s = np.unique(hashes)
+    if len(known) and len(s):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
+    return len(s), s[: len(s) - -(-OVER * len(s) // UNDER) + 1]
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """(shingle, key, n, at): the rows of ``classes`` (key, n, head) that share a first shingle with another."""
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, heads = [], [], []
-            for x in batch.column(1):
-                words = words_of(x.as_py())
-                s = shingle_set(words)
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
-                keys.append(key_of(words))
-                sizes.append(len(s))
-                heads.append(s[: len(s) - -(-OVER * len(s) // UNDER) + 1].view(np.int64))
-            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["doc_id", "key", "n", "head"])
-
-    return documents.select("doc_id", text).mapInArrow(on_partition, schema)
-
-
-def _candidates(heads: DataFrame) -> DataFrame:
-    """(a, b): keys that share a first shingle and may be alike by their sizes and its places."""
+        for table in whole_runs(batches, ["shingle"]):
+            starts = runs([table["shingle"].to_numpy()])
+            shared = np.repeat(np.diff(starts) > 1, np.diff(starts))
+            yield from table.filter(pa.array(shared)).to_batches()
+
+    rows = classes.select("key", "n", F.posexplode("head").alias("at", "shingle")).select("shingle", "key", "n", "at")
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(on_partition, "shingle bigint, key bigint, n int, at int")
+
+
+def pairs(met: DataFrame, order: str | None = None) -> DataFrame:
+    """(a, b): keys of one bucket of ``met`` (shingle, key, n, at, comp) that lie in different components and may be alike by sizes and places.
+
+    All of them; or, with ``order`` (an expression), each row with the next one only.
+    """
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["shingle"]):
-            shingle, key, n, at = (table[c].to_numpy() for c in ("shingle", "key", "n", "at"))
+            shingle, comp, key, n, at = (table[c].to_numpy() for c in ("shingle", "comp", "key", "n", "at"))
             n, at = n.astype(np.int64), at.astype(np.int64)
-            ends = np.repeat(runs([shingle])[1:], np.diff(runs([shingle])))
-            i, step = np.arange(len(key)), 1
-            while len(i):
-                # sizes ascend within a shingle, so a row that has met one too large for it is done
-                i = i[i + step < ends[i]]
-                i = i[UNDER * n[i] >= OVER * n[i + step]]
-                j = i + step
-                most = np.minimum(n[i] - at[i], n[j] - at[j])
-                near = (UNDER * most >= OVER * (n[i] + n[j] - most)) & (key[i] != key[j])
-                a, b = key[i[near]], key[j[near]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-                step += 1
-
-    rows = heads.select("key", "n", F.posexplode("head").alias("at", "shingle"))
-    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "n")
-    return dealt.mapInArrow(on_partition, "a bigint, b bigint").distinct()
-
-
-def _alike(documents: DataFrame, text: str, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are alike."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            starts = runs([shingle])
+            ends = np.repeat(starts[1:], np.diff(starts))
+            if order is None:
+                # rows go by component, so those of others are all behind the end of a row's own
+                own = runs([shingle, comp])
+                first = np.repeat(own[1:], np.diff(own))
+            else:
+                first = np.arange(1, len(key) + 1)
+                ends = np.minimum(ends, first + 1)
+            i = np.flatnonzero(first < ends)
+            if not len(i):
+                continue
+            many = (ends - first)[i]
+            cuts = np.flatnonzero(np.diff(np.cumsum(many) // STEP, prepend=-1))
+            for low, high in zip(cuts, [*cuts[1:], len(i)], strict=True):
+                x, m = i[low:high], many[low:high]
+                for skip in range(0, int(m.max()), STEP):  # a row with more partners than a step meets them in turn
+                    part = np.clip(m - skip, 0, STEP)
+                    a = np.repeat(x, part)
+                    b = np.arange(len(a)) - np.repeat(np.cumsum(part) - part, part) + first[a] + skip
+                    most = np.minimum(n[a] - at[a], n[b] - at[b])
+                    near = alike(most, n[a], n[b]) & (comp[a] != comp[b])
+                    a, b = key[a[near]], key[b[near]]
+                    met_ = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(met_[0]), pa.array(met_[1])], ["a", "b"])
+
+    return met.repartition("shingle").sortWithinPartitions("shingle", F.expr(order or "comp"), "key").mapInArrow(on_partition, "a bigint, b bigint").distinct()
+
+
+def sets_of(documents: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(key, members): the shingle sets of the texts of ``wanted`` (doc_id, key), once each."""
+
+    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.array([key_of(words_of(x.as_py())) for x in batch.column(0)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0)], ["key", "text"])
+            for low in range(0, batch.num_rows, 500):
+                words = [words_of(x.as_py()) for x in batch.column(0).slice(low, 500)]
+                keys = np.array([key_of(w) for w in words], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), lists([shingle_set(w) for w in words])], ["key", "members"])
+
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    rows = documents.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(text)
+    return rows.mapInArrow(on_partition, "key bigint, members array<bigint>").groupBy("key").agg(F.any_value("members").alias("members"))
+
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are alike; sets are joined by sorts at every size."""
+
+    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = shingle_set(words_of(x.as_py())), shingle_set(words_of(y.as_py()))
-                keep.append(alike(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = documents.select(F.col(text).alias("text")).mapInArrow(keyed, "key bigint, text string")
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = scratch.keep(texts, "texts")
-    x, y = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    # merged by a sort: texts are too much to broadcast
-    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(compared, "a bigint, b bigint")
-
-
-def groups(documents: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and component_id, the least doc_id that links reach, of every row.
-
-    Rows of equal words are one vertex, those without words too; a null doc_id is never a component_id unless its component has no other.
+            x, y = batch.column(2), batch.column(3)
+            ends_x, ends_y = x.offsets.to_numpy(), y.offsets.to_numpy()
+            flat_x, flat_y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                s, t = flat_x[ends_x[i] : ends_x[i + 1]], flat_y[ends_y[i] : ends_y[i + 1]]
+                keep[i] = alike(len(s) + len(t) - len(np.unique(np.concatenate([s, t]))), len(s), len(t))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+
+    x, y = sets.select(F.col("key").alias("a"), F.col("members").alias("x")), sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
+    both = candidates.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(on_partition, "a bigint, b bigint")
+
+
+def complete(met: DataFrame, edges: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, root): the components of ``edges`` and of all pairs in the buckets ``met`` whose sets are alike.
+
+    Neighbours in size and by chance are compared first, which joins most of a group; what is still apart then is compared in full.
     """
-    scratch = Scratch(documents.sparkSession, "shingles")
-    rows = scratch.keep(_heads(documents, text, _frequent(documents, text)), "heads")
-    classes = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("head").alias("head"))
-    pairs = scratch.keep(_candidates(classes), "candidates")
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    roots = components(scratch, _alike(documents, text, pairs, scratch)).withColumnRenamed("v", "key")
-    member = least.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = scratch.keep(member.join(of_root, "root").select("key", "component_id"), "members")
-    return rows.select("doc_id", "key").join(found, "key").select("doc_id", "component_id")
+    for order in ("n", "xxhash64(key)", None):
+        of = components(scratch, edges).select(F.col("v").alias("key"), "root")
+        placed = met.hint("merge").join(of.hint("merge"), "key", "left").select("shingle", "key", "n", "at", F.coalesce("root", "key").alias("comp"))
+        found = scratch.keep(pairs(placed, order), "candidates")
+        edges = edges.unionByName(scratch.keep(verified(found, sets), "alike"))
+    return components(scratch, edges)

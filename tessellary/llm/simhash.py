@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import Forest, Scratch, components, runs, whole_runs
 
 BITS = 64
@@ -41,12 +42,18 @@ def fingerprint(text: str | None, width: int = 3, words_at_once: int = 100_000)
     if len(words) < width:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     total, ones = len(words) - width + 1, np.zeros(BITS, np.int64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
     for low in range(0, total, words_at_once):
-        part = words[low : low + words_at_once + width - 1]
-        hashes = [digest(x, 42) for x in map(join, zip(*(part[i:] for i in range(width)), strict=False))]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += _ones(shingles.shingle_hashes(words[low : low + words_at_once + width - 1], width))
+    return _majority(ones, total)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, total: int) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
@@ -202,3 +209,51 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = groups(documents)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(documents: DataFrame, text: str = "text", limit: int = 3) -> DataFrame:
+    """doc_id and component_id, the least doc_id that links reach, of every row; texts link if their five-word shingle sets
+    have a Jaccard similarity of 0.8 or more.
+
+    SimHashes of the five-word shingles propose first: what the index joins at ``limit`` bits is compared in full, which leaves little of a
+    large group of near copies apart. At that similarity two SimHashes differ by some ten bits, beyond what the index reaches, so the
+    pairs that it can't propose come from ``shingles.complete``. Rows of equal words are one vertex, those without words too; a null
+    doc_id is never a component_id unless its component has no other.
+    """
+    scratch = Scratch(documents.sparkSession, "near-copies")
+    known, often = shingles.frequent(documents, text)
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint, n int, head array<bigint>"
+
+    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, fps, sizes, heads = [], [], [], []
+            for x in batch.column(1):
+                words = shingles.words_of(x.as_py())
+                hashes = shingles.shingle_hashes(words)
+                n, first = shingles.head(hashes, known, often)
+                keys.append(shingles.key_of(words))
+                fps.append(_majority(_ones(hashes), len(hashes)))
+                sizes.append(n)
+                heads.append(first)
+            as_longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_longs(keys), as_longs(fps), pa.array(sizes, pa.int32()), shingles.lists(heads)], ["doc_id", "key", "fp", "n", "head"])
+
+    rows = scratch.keep(documents.select("doc_id", text).mapInArrow(on_partition, schema), "heads")
+    of_key = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "head")))
+    classes = scratch.keep(of_key, "classes")
+    met = scratch.keep(shingles.buckets(classes), "buckets")
+    first_of = scratch.keep(classes.groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
+    same = classes.hint("merge").join(first_of, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    near = near_pairs(first_of.select("fp"), scratch, limit)
+    for end in ("a", "b"):
+        near = near.hint("merge").join(first_of.select(F.col("fp").alias(end), F.col("first").alias(f"key_{end}")), end)
+    proposed = scratch.keep(same.unionByName(near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))), "proposed")
+    wanted = met.select("key").union(proposed.select("a")).union(proposed.select("b")).distinct()
+    wanted = classes.select("key", F.col("least").alias("doc_id")).hint("merge").join(wanted, "key", "left_semi")
+    sets = scratch.keep(shingles.sets_of(documents, wanted, text), "sets")
+    edges = scratch.keep(shingles.verified(proposed, sets), "verified")
+    roots = shingles.complete(met, edges, sets, scratch).withColumnRenamed("v", "key")
+    member = classes.select("key", "least").hint("merge").join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = scratch.keep(member.hint("merge").join(of_root, "root").select("key", "component_id"), "members")
+    return rows.select("doc_id", "key").hint("merge").join(found, "key").select("doc_id", "component_id")
