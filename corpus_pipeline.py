@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellary.llm import bpe, langid, mixing, shingles
+from tessellary.llm import bpe, langid, mixing, simhash
 from tessellary.llm.common import Scratch, word_count
 from tessellary.llm.queries import VOCABULARY
 
@@ -24,9 +24,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group that five-word Jaccard similarities of 0.8 or more link; rows that repeat a doc_id stay or go together, those without one stay."""
+    """The document of least doc_id of each group that SimHash proposes and five-word Jaccard similarities of 0.8 or more link.
+
+    Rows that repeat a doc_id stay or go together, those without one stay.
+    """
     scratch = Scratch(spark, "pipeline")
-    gone = shingles.groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     gone = scratch.keep(gone, "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -49,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language identification", identify_language), ("five-word near-dedup", drop_near_duplicates),
+    ("language identification", identify_language), ("SimHash near-dedup", drop_near_duplicates),
     ("mixing sources", mix_sources), ("BPE encoding", encode),
 ]
 #: Shingles and rounding by chance have no SQL; the stages are tested against brute force.
