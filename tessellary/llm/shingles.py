@@ -89,16 +89,27 @@ def head(hashes: np.ndarray, known: np.ndarray, often: np.ndarray) -> tuple[int,
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(shingle, key, n, at): the rows of ``classes`` (key, n, head) that share a first shingle with another."""
+    """(shingle, key, n, at): the rows of ``classes`` (key, n, head) that share a first shingle with another they may be alike with.
+
+    From ``at`` on, a set of n shingles shares n - at at most, so it can't be alike with one of more than ``most`` = 9/4 (n - at) - n shingles.
+    """
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["shingle"]):
             starts = runs([table["shingle"].to_numpy()])
-            shared = np.repeat(np.diff(starts) > 1, np.diff(starts))
-            yield from table.filter(pa.array(shared)).to_batches()
+            number = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            n, at = (table[c].to_numpy().astype(np.int64) for c in ("n", "at"))
+            most = (UNDER + OVER) * (n - at) // OVER - n
+            # sizes ascend within a bucket; what lies in other buckets is lifted out of reach
+            lift = int(max(n.max(), most.max()) - min(0, most.min())) + 1
+            before = np.append(-1, np.maximum.accumulate(most + number * lift)[:-1])
+            larger = (before >= n + number * lift) & (UNDER * most >= OVER * n) & np.append(False, number[1:] == number[:-1])
+            after = np.append(n[1:], 0)
+            smaller = (after <= most) & np.append(number[1:] == number[:-1], False)
+            yield from table.filter(pa.array(larger | smaller)).to_batches()
 
     rows = classes.select("key", "n", F.posexplode("head").alias("at", "shingle")).select("shingle", "key", "n", "at")
-    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(on_partition, "shingle bigint, key bigint, n int, at int")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(on_partition, "shingle bigint, key bigint, n int, at int")
 
 
 def pairs(met: DataFrame, order: str | None = None) -> DataFrame:
