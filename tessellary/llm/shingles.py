@@ -2,8 +2,9 @@
 
 Sets are sorted in one order of all shingles, those that a sample of documents shows to be frequent last. Two sets that
 alike share one of their first n - ceil(0.8 n) + 1 shingles, so these alone are dealt out. Rows that meet there are a bucket.
-Pairs are compared in full, but only across components that are known to be apart: a large group of near copies is joined
-by a few pairs for each member, never by all. The order decides what it costs, never what is found.
+Pairs are compared only across components that are known to be apart: a large group of near copies is joined by a few pairs for
+each member, never by all. A sketch of a bit or two for each shingle turns down most pairs that aren't alike, and none that is; whole
+sets are made for the rest alone. The order decides what it costs, never what is found.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ WIDTH = 5
 OVER, UNDER = 4, 5
 #: Documents that are sampled for the order of shingles, and the most frequent shingles that a task is given.
 SAMPLE, FREQUENT = 20_000, 100_000
+#: Bits of the map that says which documents' sets are wanted (8 MB at every size; a document too many costs time only).
+WANTED = 26
 #: Pairs that one step over buckets emits at most.
 STEP = 1 << 18
 
@@ -79,13 +82,13 @@ def frequent(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], found["n"].to_numpy()[order]
 
 
-def head(hashes: np.ndarray, known: np.ndarray, often: np.ndarray) -> tuple[int, np.ndarray]:
-    """Size of the set of ``hashes`` and its first shingles in the common order."""
-    s = np.unique(hashes)
+def head(members: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order."""
+    s = members
     if len(known) and len(s):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
-    return len(s), s[: len(s) - -(-OVER * len(s) // UNDER) + 1]
+    return s[: len(s) - -(-OVER * len(s) // UNDER) + 1]
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -151,23 +154,75 @@ def pairs(met: DataFrame, order: str | None = None) -> DataFrame:
     return met.repartition("shingle").sortWithinPartitions("shingle", F.expr(order or "comp"), "key").mapInArrow(on_partition, "a bigint, b bigint").distinct()
 
 
-def sets_of(documents: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(key, members): the shingle sets of the texts of ``wanted`` (doc_id, key), once each."""
+def sketch(members: np.ndarray) -> bytes:
+    """Whether an odd number of the set's members falls on each of 2^k >= n places (64 at least), a bit each.
+
+    Two sets differ in at least as many members as their sketches (the larger one folded) differ in bits.
+    """
+    places = 64
+    while places < len(members):
+        places *= 2
+    odd = np.bincount((members & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Least number of members that the sets of two sketches differ in."""
+    if len(a) > len(b):
+        a, b = b, a
+    x = np.frombuffer(a, np.uint64)
+    y = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def screened(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches (of ``classes``: key, n, sketch) allow them to be alike."""
+
+    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column(2).to_numpy() + batch.column(4).to_numpy()).tolist()
+            x, y = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            # 5 shared >= 4 (a + b - shared) means that at most a ninth of a + b differ
+            keep = [(OVER + UNDER) * differing(s, t) <= (UNDER - OVER) * m for s, t, m in zip(x, y, most, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = [classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b")]
+    both = candidates.hint("merge").join(ends[0].hint("merge"), "a").hint("merge").join(ends[1].hint("merge"), "b")
+    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(on_partition, "a bigint, b bigint")
+
+
+def wanted_map(ids: DataFrame) -> np.ndarray:
+    """A map of 2^WANTED bits of the ids (doc_id: long), made by the tasks; the driver gets at most one row for each 64 bits."""
+    place = F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", WANTED)).bitwiseAND(F.lit((1 << WANTED) - 1))
+    words = ids.where("doc_id is not null").select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (WANTED - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def sets_of(documents: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """(key, members): the shingle sets of the documents of ``ids`` (doc_id), once each; a few others may come along. Null ids are wanted."""
+    shared = documents.sparkSession.sparkContext.broadcast(wanted_map(ids))
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                words = [words_of(x.as_py()) for x in batch.column(0).slice(low, 500)]
+            given = batch.column(0)
+            place = given.fill_null(0).to_numpy()
+            place = (place ^ (place >> WANTED)) & ((1 << WANTED) - 1)
+            hit = (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
+            part = batch.column(1).filter(pa.array((hit > 0) | given.is_null().to_numpy(zero_copy_only=False)))
+            for at in range(0, len(part), 500):
+                words = [words_of(x.as_py()) for x in part.slice(at, 500)]
                 keys = np.array([key_of(w) for w in words], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), lists([shingle_set(w) for w in words])], ["key", "members"])
 
-    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
-    rows = documents.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(text)
-    return rows.mapInArrow(on_partition, "key bigint, members array<bigint>").groupBy("key").agg(F.any_value("members").alias("members"))
+    rows = documents.select(F.col("doc_id").cast("long"), text).mapInArrow(on_partition, "key bigint, members array<bigint>")
+    return rows.groupBy("key").agg(F.any_value("members").alias("members"))
 
 
-def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are alike; sets are joined by sorts at every size."""
+def verified(candidates: DataFrame, classes: DataFrame, documents: DataFrame, text: str, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are alike; what sketches leave is compared in full, joined by sorts at every size."""
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,12 +235,18 @@ def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = alike(len(s) + len(t) - len(np.unique(np.concatenate([s, t]))), len(s), len(t))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
+    left = scratch.keep(screened(candidates, classes), "screened")
+    keys = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
+    ids = classes.select("key", F.col("least").cast("long").alias("doc_id")).hint("merge").join(keys.hint("merge"), "key", "left_semi")
+    sets = scratch.keep(sets_of(documents, ids, text), "sets")
     x, y = sets.select(F.col("key").alias("a"), F.col("members").alias("x")), sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
-    both = candidates.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(on_partition, "a bigint, b bigint")
+    both = left.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "x", "y")
+    out = scratch.keep(both.mapInArrow(on_partition, "a bigint, b bigint"), "alike")
+    scratch.drop(sets)
+    return out
 
 
-def complete(met: DataFrame, edges: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def complete(met: DataFrame, edges: DataFrame, classes: DataFrame, documents: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """(v, root): the components of ``edges`` and of all pairs in the buckets ``met`` whose sets are alike.
 
     Neighbours in size and by chance are compared first, which joins most of a group; what is still apart then is compared in full.
@@ -193,6 +254,5 @@ def complete(met: DataFrame, edges: DataFrame, sets: DataFrame, scratch: Scratch
     for order in ("n", "xxhash64(key)", None):
         of = components(scratch, edges).select(F.col("v").alias("key"), "root")
         placed = met.hint("merge").join(of.hint("merge"), "key", "left").select("shingle", "key", "n", "at", F.coalesce("root", "key").alias("comp"))
-        found = scratch.keep(pairs(placed, order), "candidates")
-        edges = edges.unionByName(scratch.keep(verified(found, sets), "alike"))
+        edges = edges.unionByName(verified(scratch.keep(pairs(placed, order), "candidates"), classes, documents, text, scratch))
     return components(scratch, edges)

@@ -222,24 +222,25 @@ def near_copies(documents: DataFrame, text: str = "text", limit: int = 3) -> Dat
     """
     scratch = Scratch(documents.sparkSession, "near-copies")
     known, often = shingles.frequent(documents, text)
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint, n int, head array<bigint>"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint, n int, head array<bigint>, sketch binary"
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps, sizes, heads = [], [], [], []
+            keys, fps, sizes, heads, sketches = [], [], [], [], []
             for x in batch.column(1):
                 words = shingles.words_of(x.as_py())
                 hashes = shingles.shingle_hashes(words)
-                n, first = shingles.head(hashes, known, often)
+                members = np.unique(hashes)
                 keys.append(shingles.key_of(words))
                 fps.append(_majority(_ones(hashes), len(hashes)))
-                sizes.append(n)
-                heads.append(first)
+                sizes.append(len(members))
+                heads.append(shingles.head(members, known, often))
+                sketches.append(shingles.sketch(members))
             as_longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), as_longs(keys), as_longs(fps), pa.array(sizes, pa.int32()), shingles.lists(heads)], ["doc_id", "key", "fp", "n", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_longs(keys), as_longs(fps), pa.array(sizes, pa.int32()), shingles.lists(heads), pa.array(sketches, pa.binary())], ["doc_id", "key", "fp", "n", "head", "sketch"])
 
     rows = scratch.keep(documents.select("doc_id", text).mapInArrow(on_partition, schema), "heads")
-    of_key = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "head")))
+    of_key = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "head", "sketch")))
     classes = scratch.keep(of_key, "classes")
     met = scratch.keep(shingles.buckets(classes), "buckets")
     first_of = scratch.keep(classes.groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
@@ -248,11 +249,8 @@ def near_copies(documents: DataFrame, text: str = "text", limit: int = 3) -> Dat
     for end in ("a", "b"):
         near = near.hint("merge").join(first_of.select(F.col("fp").alias(end), F.col("first").alias(f"key_{end}")), end)
     proposed = scratch.keep(same.unionByName(near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))), "proposed")
-    wanted = met.select("key").union(proposed.select("a")).union(proposed.select("b")).distinct()
-    wanted = classes.select("key", F.col("least").alias("doc_id")).hint("merge").join(wanted, "key", "left_semi")
-    sets = scratch.keep(shingles.sets_of(documents, wanted, text), "sets")
-    edges = scratch.keep(shingles.verified(proposed, sets), "verified")
-    roots = shingles.complete(met, edges, sets, scratch).withColumnRenamed("v", "key")
+    edges = shingles.verified(proposed, classes, documents, text, scratch)
+    roots = shingles.complete(met, edges, classes, documents, text, scratch).withColumnRenamed("v", "key")
     member = classes.select("key", "least").hint("merge").join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
     found = scratch.keep(member.hint("merge").join(of_root, "root").select("key", "component_id"), "members")
