@@ -15,27 +15,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the sample that a model learns from, for each language: documents, code points of one of them, code points in all.
+#: Bounds of the sample that a model learns from, for each language: distinct texts, code points taken of one of them, code points in all.
+#: They bound the labelled rows that are fitted and nothing else; a model takes some 20 to 40 bytes for each code point of its samples.
 DOCS, PER_DOC, CHARS = 128, 1000, 32_768
-#: Characters that a model tells apart (the most frequent ones of its samples), and cells of its table, 4 bytes each; with many
-#: languages each one's sample is cut so that the table, which is broadcast, keeps within them.
-SYMBOLS, CELLS = 512, 64_000_000
-#: Code points that are parsed on end; a phrase never spans two such segments.
-SEGMENT = 256
+#: Code points that one lane parses, and lanes times code points that are parsed at once; neither changes a result.
+SEGMENT, AT_ONCE = 256, 16_000_000
 UNDETERMINED = "und"
-_PAD, _UNSEEN = 0, 1
-_COUNT = np.int32(1 << 30)
+#: Symbols of a character that no sample holds, and of what is behind a text's end.
+_UNSEEN, _PAD = 0, 1
+#: No code point; it stands between two samples.
+_BREAK = 0x110000
+_NONE = -1
+#: Slots of the table for each transition, and transitions of a state that is placed by itself.
+_SLOTS, _WIDE = 2.5, 8
+
+
+class Moves:
+    """Transitions (state, symbol) to state, all rows of states laid over each other in one array: the transition of a
+    state by a symbol is at base[state] + symbol if ``owner`` says so there, else there is none."""
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, states: int, width: int) -> None:
+        """``state`` ascends and is below ``states``, ``symbol`` below ``width``."""
+        rng = np.random.default_rng(1)
+        size = max(16, int(_SLOTS * len(state)))
+        degree = np.bincount(state, minlength=states)
+        first = np.cumsum(degree) - degree
+        self.base = np.zeros(len(degree), np.int64 if size + width >= 1 << 31 else np.int32)
+        self.owner = np.full(size + width, _NONE, np.int32)
+        # wide rows first, one by one, then rows of the same width at random places, until none is left that another one's meets
+        for s in sorted(np.flatnonzero(degree > _WIDE).tolist(), key=lambda s: (-degree[s], s)):
+            row = symbol[first[s] : first[s] + degree[s]]
+            while (self.owner[(at := rng.integers(size) + row)] != _NONE).any():
+                pass
+            self.owner[at], self.base[s] = s, at[0] - row[0]
+        for d in range(_WIDE, 0, -1):
+            left = np.flatnonzero(degree == d).astype(np.int32)
+            while len(left):
+                base = rng.integers(size, size=len(left))
+                at = base[:, None] + symbol[first[left][:, None] + np.arange(d)]
+                free = np.flatnonzero((self.owner[at] == _NONE).all(1))
+                at, some, base = at[free], left[free], base[free]
+                self.owner[at] = some[:, None]
+                own = self.owner[at] == some[:, None]
+                placed = own.all(1)
+                self.owner[at[own & ~placed[:, None]]] = _NONE
+                self.base[some[placed]] = base[placed]
+                left = np.setdiff1d(left, some[placed], assume_unique=True)
+        self.to = np.full(size + width, _NONE, np.int32)
+        self.to[self.base[state] + symbol] = to
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next state for each pair, _NONE where there is none."""
+        at = self.base[state] + symbol
+        return np.where(self.owner[at] == state, self.to[at], np.int32(_NONE))
 
 
 @dataclass
 class Model:
-    """Automata of all languages as one table: row = state, column = symbol, value = next state, with _COUNT added where
-    the phrase ends before the symbol."""
+    """Automata of all languages: the root of each one's and the transitions of all. State 0 has none; it follows a character that is in no phrase."""
 
     languages: list[str]
     roots: np.ndarray
-    table: np.ndarray
     symbols: np.ndarray  # code point to symbol; those beyond its end are unseen
+    moves: Moves
 
 
 def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
@@ -74,79 +116,120 @@ def codes(text: str) -> np.ndarray:
 
 
 def build(samples: dict[str, list[str]]) -> Model:
-    """A model of the samples of each language; samples are joined, with a break between two, and cut to what CELLS allows."""
+    """A model of the samples of each language; samples are joined, with a break between two."""
     languages = sorted(samples)
-    joined = {k: [codes(t) for t in samples[k]] for k in languages}
-    seen, often = np.unique(np.concatenate([np.zeros(0, np.uint32), *(c for v in joined.values() for c in v)]), return_counts=True)
-    seen = np.sort(seen[np.argsort(-often, kind="stable")[:SYMBOLS]])
+    joined = {k: np.concatenate([np.append(codes(t), np.uint32(_BREAK)) for t in samples[k]]) for k in languages}
+    seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *joined.values()]))
+    seen = seen[seen != _BREAK]
     symbols = np.full(int(seen[-1]) + 1 if len(seen) else 1, _UNSEEN, np.int32)
     symbols[seen] = np.arange(2, len(seen) + 2)
-    width = len(seen) + 2
-    most = CELLS // (2 * width * max(1, len(languages)))
-    tables, roots, at = [], [], 0
+    empty = np.zeros(0, np.int32)
+    states, moved, nexts, roots = [empty], [empty], [empty], []
+    at = 1
     for k in languages:
-        text = np.concatenate([np.append(symbols[c], _UNSEEN) for c in joined[k]])[:most]
-        moves = suffix_automaton(text)
-        dead = at + len(moves)  # after a character that is in no phrase
-        table = np.full((len(moves) + 1, width), -1, np.int32)
-        for state, out in enumerate(moves):
-            for c, to in out.items():
-                table[state, c] = to + at
-        table[:, _UNSEEN] = -1  # a break or an unseen character is in no sample
-        begun = np.where(table[0] >= 0, table[0], dead)
-        table = np.where(table >= 0, table, begun + _COUNT)
-        table[0] = begun  # only the first character meets the root, when no phrase is in hand
-        table[:, _PAD] = np.arange(len(table)) + at
-        tables.append(table)
+        moves = suffix_automaton(joined[k])
+        sizes = np.fromiter(map(len, moves), np.int32, len(moves))
+        code = np.fromiter((c for out in moves for c in out), np.int64, sizes.sum())
+        to = np.fromiter((x for out in moves for x in out.values()), np.int32, sizes.sum()) + np.int32(at)
+        state = np.repeat(np.arange(len(moves), dtype=np.int32), sizes) + np.int32(at)
+        real = code != _BREAK
+        states.append(state[real])
+        moved.append(symbols[code[real]])
+        nexts.append(to[real])
         roots.append(at)
-        at += len(table)
-    return Model(languages, np.array(roots, np.int32), np.concatenate(tables) if tables else np.zeros((0, width), np.int32), symbols)
+        at += len(moves)
+    table = Moves(*map(np.concatenate, (states, moved, nexts)), at, len(seen) + 2)
+    return Model(languages, np.array(roots, np.int32), symbols, table)
 
 
 def learn(documents: DataFrame, label: str, text: str, docs: int = DOCS, per_doc: int = PER_DOC, chars: int = CHARS) -> Model:
-    """A model of at most ``docs`` documents of each label, those whose texts' hashes are the least; null labels and texts teach nothing.
+    """A model of at most ``docs`` distinct texts of each label, those whose hashes are the least; null labels and texts teach nothing.
 
-    Tasks keep their least rows before the shuffle, so a label that holds most rows costs no more than another.
+    Of a text of more than ``per_doc`` code points, a stretch of as many that begins at a place its hash names is learnt. Hashes alone are
+    shuffled, once for each label and task's distinct texts, so a label or text that holds most rows costs no more than another.
     """
     usable = documents.where(F.col(label).isNotNull() & (F.length(text) > 0))
-    usable = usable.select(F.col(label).cast("string").alias("label"), F.substring(text, 1, per_doc).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash", "text"))
-    chosen = usable.withColumn("hash", F.xxhash64("text")).withColumn("rank", rank).where(F.col("rank") <= docs)
+    usable = usable.select(F.col(label).cast("string").alias("label"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
+    chosen = usable.select("label", "hash").distinct().withColumn("rank", rank).where(F.col("rank") <= docs)
+    begin = F.pmod(F.col("hash"), F.greatest(F.char_length("text") - per_doc + 1, F.lit(1))).cast("int") + 1
+    found = usable.join(F.broadcast(chosen), ["label", "hash"])  # at most ``docs`` hashes for each label
+    found = found.groupBy("label", "rank").agg(F.min(F.substring("text", begin, F.lit(per_doc))).alias("text"))
     samples: dict[str, list[str]] = {}
     size: dict[str, int] = {}
-    for row in chosen.orderBy("label", "rank").collect():
+    for row in found.orderBy("label", "rank").collect():
         if size.get(row.label, 0) < chars:
             samples.setdefault(row.label, []).append(row.text[: chars - size.get(row.label, 0)])
             size[row.label] = size.get(row.label, 0) + len(row.text)
     return build(samples)
 
 
-def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Number of phrases of each text (arrays of code points) for each language."""
+def _parse(model: Model, state: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after one character each, and whether a phrase began with it."""
+    to = model.moves(state, symbol)
+    begun = to == _NONE
+    where = np.flatnonzero(begun)
+    # a character that is in no sample is a phrase of its own, which nothing continues
+    to[where] = np.maximum(model.moves(root[where], symbol[where]), 0)
+    return to, begun & (symbol != _PAD)
+
+
+def _counted(model: Model, columns: np.ndarray, first: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each segment, for automata with these roots: an array (roots, segments).
+
+    ``columns`` has a segment in each of its columns, ``first`` says which begin a text. All are parsed at once as if a phrase began with each. Where
+    the one before ends within a phrase, a segment is then parsed on from there until both parses begin a phrase at one place, from which on
+    they are the same; and again as long as the end of the one before changes.
+    """
+    length, n = columns.shape
+    root = np.repeat(roots, n)
+    begun = np.zeros((length, len(root)), bool)
+    before = np.zeros((length + 1, len(root)), np.int16 if length < 1 << 15 else np.int64)
+    state = np.zeros(len(root), np.int32)
+    for i, column in enumerate(columns):
+        state, begun[i] = _parse(model, state, np.tile(column, len(roots)), root)
+        before[i + 1] = before[i] + begun[i]
+    alone, count, ends = before[-1].astype(np.int64), before[-1].astype(np.int64), state.copy()
+    inner = np.flatnonzero(np.tile(~first, len(roots)))
+    entered = np.zeros(len(root), np.int32)
+    while len(lanes := inner[entered[inner] != ends[inner - 1]]):
+        now = ends[lanes - 1]
+        entered[lanes] = now
+        own, after, on = np.zeros(len(lanes), np.int64), state[lanes], np.arange(len(lanes))
+        for i, column in enumerate(columns):
+            now, begins = _parse(model, now, column[lanes[on] % n], root[lanes[on]])
+            met = begins & begun[i, lanes[on]]
+            done = on[met]
+            own[done] += alone[lanes[done]] - before[i, lanes[done]]
+            own[on[~met]] += begins[~met]
+            on, now = on[~met], now[~met]
+            if not len(on):
+                break
+        after[on] = now
+        count[lanes], ends[lanes] = own, after
+    return count.reshape(len(roots), n)
+
+
+def phrases(model: Model, texts: list[np.ndarray], segment: int | None = None) -> np.ndarray:
+    """Number of phrases of each text (arrays of code points) for each language; the length of segments changes nothing."""
+    segment = segment or SEGMENT
     sizes = np.array([len(t) for t in texts], np.int64)
-    pieces = -(-sizes // SEGMENT)
-    flat = np.full(int(pieces.sum()) * SEGMENT, _PAD, np.int32)
-    starts = (np.cumsum(pieces) - pieces) * SEGMENT
-    for t, a in zip(texts, starts, strict=True):
+    pieces = -(-sizes // segment)
+    flat = np.full(int(pieces.sum()) * segment, _PAD, np.int32)
+    begins = np.cumsum(pieces) - pieces
+    for t, a in zip(texts, begins * segment, strict=True):
         part = model.symbols[np.minimum(t, len(model.symbols) - 1)]
         part[t >= len(model.symbols)] = _UNSEEN
         flat[a : a + len(t)] = part
-    columns = np.ascontiguousarray(flat.reshape(-1, SEGMENT).T)
-    n, k = columns.shape[1], len(model.languages)
-    width = model.table.shape[1]
-    table = model.table.ravel()
-    state = np.repeat(model.roots, n)
-    count = np.zeros(n * k, np.int32)
-    for column in columns:
-        state = table[state * width + np.tile(column, k)]
-        ends = state >> 30
-        count += ends
-        state -= ends << 30
-    count += 1  # the phrase in hand at the end of each segment
+    columns = np.ascontiguousarray(flat.reshape(-1, segment).T)
+    first = np.zeros(columns.shape[1], bool)
+    first[begins[pieces > 0]] = True
     of = np.repeat(np.arange(len(texts)), pieces)
-    out = np.zeros((len(texts), k))
-    for i in range(k):
-        out[:, i] = np.bincount(of, count[i * n : (i + 1) * n], len(texts))
+    out = np.zeros((len(texts), len(model.languages)))
+    step = max(1, AT_ONCE // max(1, columns.size))
+    for low in range(0, len(model.languages), step):
+        for i, row in enumerate(_counted(model, columns, first, model.roots[low : low + step])):
+            out[:, low + i] = np.bincount(of, row, len(texts))
     return out
 
 

@@ -183,21 +183,55 @@ def test_language_awkward(awkward):
     assert {r.lang_pred for r in langid.predicted(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_phrases(text, sample):
+    at = count = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        at, count = at + n, count + 1
+    return count
+
+
 def test_phrases_against_search():
     rng = random.Random(5)
     sample = {k: ["".join(rng.choice("abc ") for _ in range(200))] for k in ("x", "y")}
     model = langid.build(sample)
-    for _ in range(30):
-        text = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, langid.SEGMENT)))
-        got = langid.phrases(model, [langid.codes(text)])[0]
-        for i, k in enumerate(("x", "y")):
-            at = count = 0
-            while at < len(text):
-                n = 1
-                while at + n < len(text) and text[at : at + n + 1] in sample[k][0]:
-                    n += 1
-                at, count = at + n, count + 1
-            assert got[i] == count
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 3000))) for _ in range(20)]
+    texts += [sample["x"][0] * 100, sample["y"][0][3:] * 30 + "d" * 2000, "", "a"]
+    want = [[plain_phrases(t, sample[k][0]) for k in ("x", "y")] for t in texts]
+    for segment in (1, 7, 100, langid.SEGMENT):
+        assert langid.phrases(model, [langid.codes(t) for t in texts], segment).tolist() == want
+
+
+def test_language_of_long_texts_against_search():
+    rng = random.Random(6)
+    letters = {"a": "abcdefgh ", "b": "abcdefghijk ", "c": "áéíóú "}
+    sample = {k: ["".join(rng.choice(v) for _ in range(3000)) for _ in range(2)] for k, v in letters.items()}
+    model = langid.build(sample)
+    for k in ("a", "b", "c"):
+        text = "".join(rng.choice(letters[k]) for _ in range(20_000)) + sample["b"][1][100:900]
+        counts = [min(plain_phrases(text, "\0".join(sample[x])), 10**9) for x in sorted(sample)]
+        found = langid.phrases(model, [langid.codes(text)])[0].tolist()
+        assert found == counts
+        assert langid.predict(model, [text]) == ([sorted(sample)[int(np.argmin(counts))]], [1 - sorted(counts)[0] / sorted(counts)[1]])
+
+
+def test_language_with_many_characters_and_languages(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(5000) if i % 2 else 0x1F300 + rng.randrange(500)) for _ in range(700)) + "é", "zh" if i % 2 else "xx") for i in range(40)]
+    rows += [(100 + i, f"{chr(0xAC00 + 2 * i)}{chr(0xAC01 + 2 * i)} " * 50, f"l{i:03d}") for i in range(200)]
+    got = {r.doc_id: r for r in langid.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    seen = [(k, lang) for k, _, lang in rows if not got[k].held_out]
+    assert all(got[k].lang_pred == lang for k, lang in seen)
+
+
+def test_language_learns_distinct_texts(spark):
+    rows = [(i, "the hot text of this language", "en") for i in range(3000)] + [(5000 + i, f"other words number {i} and more of these", "en") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, "lang", "text", docs=50)
+    assert langid.phrases(model, [langid.codes("other words number")])[0][0] == 1
+    assert langid.phrases(langid.learn(df, "lang", "text"), [langid.codes("the hot text of this language")])[0][0] == 1
 
 
 # ---- 5: SimHash
