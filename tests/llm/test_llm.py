@@ -164,6 +164,29 @@ def test_fingerprints_awkward(spark, awkward):
     assert alone.near_next == 1.0 and alone.edited_sha256 == sha("the same text again an" + "the sam")
 
 
+def test_likeness_of_repetitive_long_texts(spark):
+    rows = [(1, "w " * 80_000), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu\n" * 10_000), (3, "one two three " * 20_000)]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = lambda text: Counter((a, b) for line in text.split("\n") for w in [line.split(" ")] for a, b in zip(w, [*w[1:], None], strict=True))
+    for i, (key, text) in enumerate(rows):
+        after, k = rows[(i + 1) % 3][1], len(text) // 4
+        p, q = pairs(text), pairs(text[: len(text) - k] + after[:k])
+        exact = sum(v * q[x] for x, v in p.items()) / (float(sum(v * v for v in p.values())) * sum(v * v for v in q.values())) ** 0.5
+        assert abs(got[key].near_edited - exact) <= 0.1
+
+
+def test_cells_are_even(spark):
+    rows = [(i, f"text {i}") for i in range(5000)] + [(2**61, "far")] + [(2**40 + 7, f"one id {i}") for i in range(3000)] + [(None, f"no id {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = fingerprints.edited(df, rows=50)
+    assert parts.where("guest = 0").select("cell", "at").distinct().groupBy("cell").count().agg({"count": "max"}).first()[0] <= 50 * fingerprints.MANY
+    got = parts.where("guest = 0 and which = 1").select("doc_id", "edited_sha256").collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r.edited_sha256 for r in got}
+    assert all(by[i] == sha(f"text {i}"[: len(f"text {i}") - len(f"text {i}") // 4] + f"text {i + 1}"[: len(f"text {i}") // 4]) for i in range(4999))
+    assert by[2**61] == sha("far")
+
+
 # ---- 4: language
 
 def test_language_held_out(documents):
@@ -409,6 +432,36 @@ def test_embeddings_against_brute_force(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_behind_many_copies(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(32)
+    base /= np.linalg.norm(base)
+    off = rng.standard_normal((300, 32))
+    off -= (off @ base)[:, None] * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near = 0.982 * base + np.sqrt(1 - 0.982**2) * off
+    x = np.concatenate([np.tile(base, (4000, 1)), near])
+    df = spark.createDataFrame([(i, v.tolist(), "l") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()}
+    u = near / np.linalg.norm(near, axis=1, keepdims=True)
+    own = (u @ u.T >= 0.98).sum(1) - 1
+    assert got[0] == (4299, 0, True) and all(got[i] == (4299, 0, False) for i in range(1, 4000))
+    assert all(got[4000 + i] == (4000 + own[i], 0, False) for i in range(300))
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_embedding_links_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "STRIP", 5)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(8) + rng.standard_normal((120, 8)) * 0.1
+    x[100:] = x[0]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(120)] == ((u @ u.T >= 0.98).sum(1) - 1).tolist()
+
+
 # ---- 9: mixing
 
 def test_mixing(spark, documents):
