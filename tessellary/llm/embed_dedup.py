@@ -1,8 +1,8 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass hashes every vector by signs of random projections, orders all vectors of a label by the concatenated
-bits and compares each with the next ``window`` ones; pairs that reach the cosine are joined, over all passes. What windows
-leave out within a component is then compared in blocks, so links are counted in full there.
+Equal vectors of a label are one class first, so that copies don't fill the windows. Each pass hashes every class's vector by signs of
+random projections, orders all of a label by the concatenated bits and compares each with the next ``window`` ones; pairs that reach the
+cosine are joined, over all passes. What windows leave out within a component is then compared in blocks, so links are counted in full there.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Forest, Scratch, components, runs, whole_runs
 
 PASSES, AT_ONCE, WINDOW, BITS = 24, 4, 24, 62
-#: Rows of one task of a pass, and of one block of a component.
-ROWS, BLOCK = 20_000, 512
+#: Rows of one task of a pass, rows of one block of a component, and rows of a block that are compared at once.
+ROWS, BLOCK, STRIP = 20_000, 4096, 512
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -30,10 +30,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec: str, label: str) -> DataFrame:
-    """Rows whose vector has only finite components, not all zero, and a label; vec becomes array<double>."""
-    v = F.col(vec).cast("array<double>")
+    """Rows whose vector has only finite components, not all zero, and a label. Vectors keep their precision; cosines are in double precision."""
+    v = F.col(vec)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.withColumn(vec, v).where(F.col(label).isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
+    return vectors.where(F.col(label).isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
 
 
 def _keys(rows: DataFrame, passes: list[int], seed: int) -> DataFrame:
@@ -56,8 +56,9 @@ def _keys(rows: DataFrame, passes: list[int], seed: int) -> DataFrame:
                         ["pass", "label", "dim", "rid", "vec", "key"],
                     )
 
+    types = {c: rows.schema[c].dataType.simpleString() for c in ("label", "vec")}
     return rows.select("label", "dim", "rid", "vec").mapInArrow(
-        on_partition, f"pass int, label {rows.schema['label'].dataType.simpleString()}, dim int, rid bigint, vec array<double>, key bigint"
+        on_partition, f"pass int, label {types['label']}, dim int, rid bigint, vec {types['vec']}, key bigint"
     )
 
 
@@ -72,15 +73,15 @@ def _near(x: np.ndarray, group: np.ndarray, window: int, cosine: float) -> tuple
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-_OUT = "kind int, a bigint, b bigint, part int, at int, grp bigint, dim int, vec array<double>"
+_OUT = "kind int, a bigint, b bigint, part int, at int, grp bigint, dim int, vec "
 
 
-def _compare(tables: Iterator[pa.Table], window: int, cosine: float, rims: bool) -> Iterator[pa.RecordBatch]:
+def _compare(tables: Iterator[pa.Table], window: int, cosine: float, rims: bool, vec: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Edges (kind 0) within a sorted partition, and its first and last ``window`` rows (kind 1 and 2) for its neighbours.
 
     ``grp`` numbers pass, label and dim; edges are a forest of each table's pairs.
     """
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("at", pa.int32()), ("grp", pa.int64()), ("dim", pa.int32()), ("vec", pa.list_(pa.float64()))])
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("at", pa.int32()), ("grp", pa.int64()), ("dim", pa.int32()), ("vec", vec)])
 
     def rim(t: pa.Table, kind: int, place: int) -> pa.RecordBatch:
         n = t.num_rows
@@ -118,52 +119,53 @@ def _pass_edges(rows: DataFrame, passes: list[int], parts: int, scratch: Scratch
     keyed = _keys(rows, passes, seed).withColumn("grp", F.xxhash64("pass", "label", "dim"))
     order = ["grp", "key", "rid"]
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    given = rows.schema["vec"].dataType.simpleString()
+    vec = pa.list_(pa.float32() if given == "array<float>" else pa.float64())
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _compare((pa.Table.from_batches([b]) for b in batches), window, cosine, True)
+        return _compare((pa.Table.from_batches([b]) for b in batches), window, cosine, True, vec)
 
-    found = scratch.keep(dealt.select("rid", "grp", "dim", "vec", "part").mapInArrow(within, _OUT), "passes")
+    found = scratch.keep(dealt.select("rid", "grp", "dim", "vec", "part").mapInArrow(within, _OUT + given), "passes")
     # the borders: a partition's last rows and the next one's first, as many as 2 * window for each of ``parts``
-    full = [r.part for r in found.where("kind = 1").select("part").distinct().orderBy("part").collect()]
-    after = dict(zip(full, full[1:], strict=False))
-    if not after:
-        return found.where("kind = 0").select("a", "b")
-    border = F.create_map(*(F.lit(x) for pair in ((b, a) for a, b in after.items()) for x in pair))
-    heads = found.where("kind = 1").withColumn("part", F.element_at(border, F.col("part"))).where("part is not null")
-    rims = found.where("kind = 2").unionByName(heads).select(F.col("a").alias("rid"), "grp", "dim", "vec", "part", "kind", "at")
+    full = found.where("kind = 1 and at = 0").select("part")
+    before = full.select(F.col("part").alias("own"), F.lag("part").over(Window.orderBy("part")).alias("before")).where("before is not null")
+    heads = found.where("kind = 1").join(before, F.col("part") == F.col("own")).withColumn("part", F.col("before"))
+    rims = found.where("kind = 2").unionByName(heads.select(*found.columns)).select(F.col("a").alias("rid"), "grp", "dim", "vec", "part", "kind", "at")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["part"], 4096):
             starts = runs([table["part"].to_numpy()])
             for low, high in zip(starts[:-1], starts[1:], strict=True):
-                yield from _compare(iter([table.slice(low, high - low).combine_chunks()]), window, cosine, False)
+                yield from _compare(iter([table.slice(low, high - low).combine_chunks()]), window, cosine, False, vec)
 
-    met = rims.repartition("part").sortWithinPartitions("part", F.desc("kind"), "at").mapInArrow(across, _OUT)
+    met = rims.repartition("part").sortWithinPartitions("part", F.desc("kind"), "at").mapInArrow(across, _OUT + given)
     return found.where("kind = 0").select("a", "b").unionByName(met.select("a", "b"))
 
 
 def _link_counts(members: DataFrame, cosine: float) -> DataFrame:
-    """(rid, n): links of members (root, rid, dim, vec) inside their component, by pairs of blocks of about BLOCK rows."""
-    sizes = members.groupBy("root", "dim").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK)
-    placed = members.join(sizes.drop("dim"), "root").select("root", "rid", "dim", "vec", blocks.alias("blocks"), F.pmod(F.xxhash64("rid"), blocks).alias("own"))
+    """(rid, n): links of members (root, rid, dim, vec, size) to the rows of other members of their component, by pairs of blocks of about BLOCK members."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK)
+    placed = members.join(sizes, "root").select("root", "rid", "dim", "vec", "size", blocks.alias("blocks"), F.pmod(F.xxhash64("rid"), blocks).alias("own"))
     # a block meets itself and every other; the pair of blocks i < j is one group
-    met = placed.select("root", "rid", "dim", "vec", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    met = met.select("rid", "dim", "vec", "own", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("pair"))
+    met = placed.select("root", "rid", "dim", "vec", "size", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = met.select("rid", "dim", "vec", "size", "own", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("pair"))
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["pair"], 65_536):
             starts = runs([table["pair"].to_numpy()])
-            rid, own, dims = table["rid"].to_numpy(), table["own"].to_numpy(), table["dim"].to_numpy()
+            rid, own, dims, weight = (table[c].to_numpy() for c in ("rid", "own", "dim", "size"))
             count = np.zeros(len(rid), np.int64)
             for low, high in zip(starts[:-1], starts[1:], strict=True):
                 x = _matrix(table["vec"].slice(low, high - low), int(dims[low]))
-                side = own[low:high]
-                near = x @ x.T >= cosine
-                np.fill_diagonal(near, False)
-                if side[0] != side[-1]:  # two blocks: each row counts the other block's only
-                    near &= side[:, None] != side[None, :]
-                count[low:high] = near.sum(1)
+                side, rows = own[low:high], weight[low:high]
+                for at in range(0, len(x), STRIP):
+                    near = x[at : at + STRIP] @ x.T >= cosine
+                    if side[0] != side[-1]:  # two blocks: each row counts the other block's only
+                        near &= side[at : at + STRIP, None] != side[None, :]
+                    else:
+                        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+                    count[low + at : low + at + len(near)] = near @ rows
             has = count > 0
             yield pa.RecordBatch.from_arrays([pa.array(rid[has]), pa.array(count[has])], ["rid", "n"])
 
@@ -183,20 +185,29 @@ def near_duplicates(
     scratch = Scratch(vectors.sparkSession, "embeddings")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).alias("vec"), F.col(label).alias("label"))
     rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    good = usable(rows, "vec", "label").withColumn("dim", F.size("vec"))
-    n = good.count()
+    good = usable(rows, "vec", "label").withColumn("dim", F.size("vec")).select("rid", "vec_id", "label", "dim", "vec", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g"))
+    # classes of equal vectors, each named by its least rid
+    same = ["label", "dim", "h", "g"]
+    classes = good.groupBy(*same).agg(F.min("rid").alias("rid"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.any_value("vec").alias("vec"))
+    classes = scratch.keep(classes, "classes")
+    n = classes.count()
     edges: DataFrame | None = None
     for low in range(0, passes, AT_ONCE):
         some = list(range(low, min(passes, low + AT_ONCE)))
         parts = max(1, -(-n * len(some) // ROWS))
-        found = scratch.keep(_pass_edges(good, some, parts, scratch, window, cosine, seed).distinct(), "edges")
+        found = scratch.keep(_pass_edges(classes, some, parts, scratch, window, cosine, seed).distinct(), "edges")
         edges = found if edges is None else edges.unionByName(found)
     roots = components(scratch, edges).withColumnRenamed("v", "rid")
-    members = scratch.keep(good.join(roots, "rid").select("root", "rid", "dim", "vec", "vec_id"), "members")
-    least = members.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    members = scratch.keep(classes.join(roots, "rid").select("root", "rid", "dim", "vec", "size", "least"), "members")
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     of = members.select("rid", "root").join(least, "root").join(_link_counts(members, cosine), "rid", "left")
-    of = scratch.keep(of.select("rid", "component_id", F.coalesce("n", F.lit(0)).alias("n_links")), "links")
-    out = rows.select("rid", "vec_id").join(of, "rid", "left")
+    of = scratch.keep(of.select(F.col("rid").alias("class"), "component_id", F.coalesce("n", F.lit(0)).alias("n")), "links")
+    linked = classes.select(*same, F.col("rid").alias("class"), "least", "size").join(of, "class", "left")
+    linked = linked.select(*same, F.coalesce("component_id", "least").alias("component_id"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    linked = scratch.keep(linked.where("n_links > 0"), "linked")
+    # vectors that link with nothing are named by themselves; the others find their class, a hot one's rows by as many tasks as need be
+    found = good.select("rid", *same).join(linked, same).select("rid", "component_id", "n_links")
+    out = rows.select("rid", "vec_id").join(found, "rid", "left")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
