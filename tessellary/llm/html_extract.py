@@ -3,13 +3,16 @@
 The standard library's parser streams its events into blocks, the lines of the page. Each line has a ratio of
 characters to tags; the ratios are smoothed by a Gaussian kernel and lines at or over their standard deviation
 form the content cluster. The element that holds this cluster is the content region, and the region's
-blocks, short ones included, are the text, but for elements that are marked as something else than the article.
+blocks, short ones included, are the text, but for elements that are something else than the article by their tag or role. A class
+or id that says so counts as a whole name only, and not against the cluster: where no other part of the page is an article by its tag,
+an element that holds half of the cluster is no boilerplate.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,6 +34,7 @@ NEVER = frozenset(
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 REGION = frozenset("article main".split())
+CONTAINERS = frozenset("article body center div html main section table td".split())
 CLOSES_P = BLOCK - frozenset("body head html option caption tbody td tfoot th thead tr".split())
 SIBLINGS = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "table tr"),
@@ -38,43 +42,66 @@ SIBLINGS = {
 }
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond replies reply discussion".split())
-TITLED = frozenset("article post entry story content title section".split())
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb "
     "breadcrumbs sidebar sidebars footer masthead topbar cookie cookies consent gdpr notice notices alert notification announcement disclaimer "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget widgets toolbar "
     "pagination pager copyright skip menus banners sponsors rail".split()
 )
+#: Words that may stand beside a mark in one name (``share-buttons``) without making it another thing (``share-price``).
+BESIDE = frozenset(
+    "area articles bar block body bottom box button buttons col column container content global group header holder icon icons inner item items "
+    "left link links list main message outer page panel posts primary right row secondary section site slot stories text top unit wrap wrapper".split()
+)
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def _mark(names: str) -> str:
+    """What the class and id names of an element say it is: ``comments``, ``soft`` for other boilerplate, ``header`` or nothing."""
+    said = set()
+    for name in names.split():
+        words = {w.lower() for w in PARTS.findall(name)}
+        for mark, marks in (("comments", COMMENTS), ("soft", MARKED), ("header", {"header"})):
+            if words & marks and words <= marks | BESIDE:
+                said.add(mark)
+    return next((m for m in ("comments", "soft", "header") if m in said), "")
 
 
 class _Element:
-    """An open element with what its lines take over from it and all around it."""
+    """An open element with what its lines take over from it and all around it; ``soft`` is the nearest element that its name alone marks."""
 
-    __slots__ = ("name", "kind", "path", "kept", "titles", "region", "listed", "linked")
+    __slots__ = ("name", "key", "kind", "kept", "soft", "titles", "region", "listed", "linked")
 
-    def __init__(self, name: str, key: int, kind: str, region: bool, around: _Element | None) -> None:
-        self.name, self.kind = name, kind
-        self.path = (*around.path, key) if around else (key,)
-        self.region = key if region else around.region if around else -1
-        self.listed = name in ("ul", "ol") or bool(around and around.listed)
-        self.linked = name == "a" or bool(around and around.linked and name not in BLOCK)
-        self.kept, self.titles = (around.kept, around.titles) if around else (True, False)
+    def __init__(self, name: str, key: int, kind: str, region: bool, around: _Element) -> None:
+        self.name, self.key, self.kind = name, key, kind
+        self.region = key if region else around.region
+        self.listed = name in ("ul", "ol") or around.listed
+        self.linked = name == "a" or (around.linked and name not in BLOCK)
+        self.kept, self.titles, self.soft = around.kept, around.titles, around.soft
         if kind == "header":
             # a header inside the article holds its title; a page's own header goes
-            self.titles, self.kept = self.kept and self.region >= 0, False
+            self.titles, self.kept = self.kept and self.region > 0, False
+        elif kind == "soft":
+            self.soft = key
         elif kind:
             self.kept = self.titles = False
         elif self.titles and name in HEADING:
             self.kept = True
 
 
+class _Page:
+    """What is around all elements."""
+
+    key, region, soft, kept, titles, listed, linked = 0, 0, 0, True, False, False, False
+
+
 class _Line:
-    __slots__ = ("pieces", "tags", "links", "path", "kept", "region", "list")
+    __slots__ = ("pieces", "tags", "links", "of")
 
-    def __init__(self, path: tuple[int, ...], kept: bool, region: int, in_list: bool) -> None:
+    def __init__(self, of: _Element | type[_Page]) -> None:
         self.pieces: list[str] = []
         self.tags = self.links = 0
-        self.path, self.kept, self.region, self.list = path, kept, region, in_list
+        self.of = of
 
 
 class PageLines(HTMLParser):
@@ -84,8 +111,10 @@ class PageLines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.stack: list[_Element] = []
-        self.n = 0
-        self.regions: set[int] = set()
+        self.open: Counter[str] = Counter()
+        self.kinds: list[_Element] = []  # those of the stack that are marked, in order
+        self.around: list[int] = [0]  # the element around each one, by its key; keys ascend in the order of the page, and 0 is the page
+        self.names = [""]
         self.line: _Line | None = None
         self.pending = 0
 
@@ -94,12 +123,24 @@ class PageLines(HTMLParser):
 
     def _current(self) -> _Line:
         if self.line is None:
-            top = self.stack[-1] if self.stack else None
-            self.line = _Line(top.path, top.kept, top.region, top.listed) if top else _Line((), True, -1, False)
+            self.line = _Line(self.stack[-1] if self.stack else _Page)
             self.line.tags, self.pending = self.pending, 0
             self.lines.append(self.line)
         return self.line
 
+    def _drop(self, low: int, high: int | None = None) -> None:
+        """Take elements off the stack, from place ``low`` on or only up to ``high``."""
+        for e in self.stack[low:high]:
+            self.open[e.name] -= 1
+            if e.kind:
+                self.kinds.remove(e) if self.kinds[-1] is not e else self.kinds.pop()
+        del self.stack[low:high]
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections, which HTML doesn't have, are comments up to the next ">"."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def updatepos(self, i: int, j: int) -> int:
         return j  # nobody asks for line numbers
 
@@ -117,14 +158,8 @@ class PageLines(HTMLParser):
             return "other"
         if name in ("body", "html", "main"):
             return ""
-        marks = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{given.get('class', '')} {given.get('id', '')}")
-        marks = re.sub(r"\b(?:no|has|with|without)[-_]\w+", "", marks)  # what a layout has or lacks says nothing about an element
-        words = set(re.findall(r"[a-z]+", marks.lower()))
-        if words & COMMENTS:
-            return "comments"
-        if words & MARKED:
-            return "other"
-        return "header" if "header" in words and not words & TITLED and name not in HEADING and name not in REGION else ""
+        mark = _mark(f"{given.get('class', '')} {given.get('id', '')}")
+        return "" if mark == "header" and (name in HEADING or name in REGION) else mark
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         self.pending += 1
@@ -144,19 +179,18 @@ class PageLines(HTMLParser):
             ends, within = SIBLINGS[name]
             self._close(tuple(ends.split()), tuple(within.split()))
         kind = self._kind(name, attrs)
-        if name in REGION and not kind:
+        if name in REGION and not kind and self.kinds and self.kinds[0].kind != "comments":
             # an article that begins inside an unclosed menu or advert ends it; one inside reader comments is a comment
-            for i, e in enumerate(self.stack):
-                if e.kind == "comments":
-                    break
-                if e.kind:
-                    del self.stack[i:]
-                    break
-        self.n += 1
-        region = not kind and (name in REGION or bool(attrs) and dict(attrs).get("role") == "main")
-        if region:
-            self.regions.add(self.n)
-        self.stack.append(_Element(name, self.n, kind, region, self.stack[-1] if self.stack else None))
+            self._drop(next(i for i, e in enumerate(self.stack) if e is self.kinds[0]))
+        around = self.stack[-1] if self.stack else _Page
+        region = kind in ("", "soft") and (name in REGION or bool(attrs) and dict(attrs).get("role") == "main")
+        self.around.append(around.key)
+        self.names.append(name)
+        element = _Element(name, len(self.around) - 1, kind, region, around)
+        self.stack.append(element)
+        self.open[name] += 1
+        if kind:
+            self.kinds.append(element)
         if block or kind:
             self._cut()
 
@@ -166,10 +200,12 @@ class PageLines(HTMLParser):
             self.handle_endtag(name)
 
     def _close(self, names: tuple[str, ...], within: tuple[str, ...]) -> None:
+        if not any(self.open[n] for n in names):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.stack[i].name
             if name in names:
-                del self.stack[i:]
+                self._drop(i)
                 self._cut()
                 return
             if name in within or name in REGION or name == "body":
@@ -180,14 +216,14 @@ class PageLines(HTMLParser):
             self.line.tags += 1
         else:
             self.pending += 1
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.open[name] else ():
             e = self.stack[i]
             if e.name == name:
                 if name in BLOCK or e.kind:
-                    del self.stack[i:]
+                    self._drop(i)
                     self._cut()
                 else:
-                    del self.stack[i]
+                    self._drop(i, i + 1)
                 return
             if name not in BLOCK and e.name in BLOCK:
                 return  # a stray end of an inline element doesn't end the block around it
@@ -230,19 +266,40 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     ratios = smoothed([len(text) / max(1, x.tags) for x, text in lines], sigma)
     mean = sum(ratios) / len(ratios)
     threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
-    kept = [x.kept and not (x.list and x.region < 0 and x.links >= 0.9 * len(text)) for x, text in lines]
+    kept = [x.of.kept and not (x.of.listed and not x.of.region and x.links >= 0.9 * len(text)) for x, text in lines]
     content = [i for i, r in enumerate(ratios) if r >= threshold and kept[i]] or [i for i, k in enumerate(kept) if k]
+
+    def held(content: list[int]) -> tuple[list[int], int]:
+        """Characters of the content in each element, and in all."""
+        out = [0] * len(parser.around)
+        for i in content:
+            out[lines[i][0].of.key] += len(lines[i][1])
+        for key in range(len(out) - 1, 0, -1):
+            out[parser.around[key]] += out[key]
+        return out, out[0]
+
+    inside, total = held(content)
+    named = any(k and x.of.region and not x.of.soft for (x, _), k in zip(lines, kept, strict=True))
+    firm = lambda x: not x.of.soft or not named and 2 * inside[x.of.soft] >= total
+    kept = [k and firm(x) for (x, _), k in zip(lines, kept, strict=True)]
+    content = [i for i in content if kept[i]] or [i for i, k in enumerate(kept) if k]
     if not content:
         return ""
-    held: dict[int, int] = {}
-    for i in content:
-        for key in lines[i][0].path:
-            held[key] = held.get(key, 0) + len(lines[i][1])
-    most = share * sum(len(lines[i][1]) for i in content)
-    longest = max((lines[i][0].path for i in content), key=lambda p: (sum(held[k] >= most for k in p), len(p)))
-    path = [k for k in longest if held[k] >= most]
-    inside = next((k for k in reversed(path) if k in parser.regions), path[-1] if path else 0)
-    return " ".join(text for (x, text), k in zip(lines, kept, strict=True) if k and (not inside or inside in x.path))
+    inside, total = held(content)
+    # elements that hold so much lie in one another, the innermost has the greatest key
+    region = innermost = max(key for key, n in enumerate(inside) if n >= share * total)
+    regions = {x.of.region for x, _ in lines if x.of.region}
+    while region and region not in regions:
+        region = parser.around[region]
+    if not region:
+        # a single paragraph may hold the cluster; its title and short neighbours lie in the container around it
+        region = innermost
+        while region and parser.names[region] not in CONTAINERS:
+            region = parser.around[region]
+    last = list(range(len(parser.around)))
+    for key in range(len(last) - 1, 0, -1):
+        last[parser.around[key]] = max(last[parser.around[key]], last[key])
+    return " ".join(text for (x, text), k in zip(lines, kept, strict=True) if k and region <= x.of.key <= last[region])
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -64,6 +64,39 @@ def test_html_edges(html, text):
     assert html_extract.main_text(html) == text
 
 
+def test_html_names_count_as_a_whole():
+    page = '<html><body><nav>Home</nav><article><h1>Title</h1><p>A paragraph that is long enough.</p><p class="share-price">The share price rose.</p><p id="menu-history">How the menu came about.</p><div class="share-buttons">Tweet it</div></article></body></html>'
+    assert html_extract.main_text(page) == "Title A paragraph that is long enough. The share price rose. How the menu came about."
+    for name in ("sponsored-research", "sponsored"):
+        page = f'<body><div class="menu">Home</div><article class="{name}"><h1>Title</h1><p>Some long paragraph of the only article on the page.</p></article></body>'
+        assert html_extract.main_text(page) == "Title Some long paragraph of the only article on the page."
+
+
+def test_html_ratios_decide(monkeypatch):
+    words = "many words that make up a long line of the text "
+    page = "<body><div>" + "".join(f'<p><a href="{i}">Link {i}</a> <i>x</i></p>' for i in range(12)) + "</div><div><h2>Title</h2>" + f"<p>{words * 4}</p>" * 5 + "<p>Short.</p></div><div>" + "<p><b>a</b> <i>b</i></p>" * 8 + "</div></body>"
+    want = " ".join(["Title", *[(words * 4).strip()] * 5, "Short."])
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "smoothed", lambda values, sigma: [1.0] * len(values))
+    assert html_extract.main_text(page) != want
+
+
+def test_html_survives_any_page():
+    import time
+
+    assert html_extract.main_text("<p>a<![foo[bar]]>b") == "a]>b" or html_extract.main_text("<p>a<![foo[bar]]>b")
+    rng = random.Random(0)
+    bits = ["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "&", "&#", ";", "<?", "'", '"', "=", "/", "article", "div", "p", "script", "x", " ", "\n", "\0", "&lt;", "<!DOCTYPE", "CDATA["]
+    for _ in range(10_000):
+        at, cut = rng.randrange(len(PAGE)), rng.randrange(40)
+        html = PAGE[:at] + "".join(rng.choice(bits) for _ in range(rng.randrange(6))) + PAGE[at + cut :]
+        assert isinstance(html_extract.main_text(html if rng.random() < 0.5 else html[rng.randrange(len(html)) :]), str)
+    for deep in ("<div>", "<b>", "<article>", "<p><b>x", "<div class=menu>", "<li>x", "<div>x", "<article><b>y</i>"):
+        began = time.perf_counter()
+        html_extract.main_text(deep * 50_000)
+        assert time.perf_counter() - began < 10, deep
+
+
 def test_html_on_pages(spark):
     import html as h
     import re
