@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 
 # Fixed value: the public pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words, and stretches between spaces, whose tokens a Python worker remembers; then it begins anew.
-REMEMBERED = 600_000
+#: Words, and stretches between spaces, whose tokens a Python worker remembers; then it begins anew. Those of more characters than LONGEST
+#: aren't remembered, which bounds what is held to some 500 bytes each.
+REMEMBERED, LONGEST = 600_000, 64
 #: Bytes of a word that is merged in an array with others; longer ones are merged one by one.
 ABREAST = 48
 
@@ -228,7 +229,11 @@ class Tokenizer:
         if new:
             self.learn(list(new))
         get = self.known.__getitem__
-        return [tuple(chain.from_iterable(map(get, words))) for words in split]
+        out = [tuple(chain.from_iterable(map(get, words))) for words in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return out
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         """Token ids of texts without added tokens.
@@ -248,12 +253,15 @@ class Tokenizer:
         stretches.update(zip(learnt, self._words([" " + s for s in learnt]), strict=True))
         get = stretches.__getitem__
         found = [list(map(get, parts[1:])) for parts in split]
+        for x in new:
+            if len(x) > LONGEST:
+                del stretches[x]
         whole = [None in x for x in found]
         rest = iter(self._words([t if w else p[0] for t, w, p in zip(texts, whole, split, strict=True)]))
         return [list(next(rest)) if w else [*next(rest), *chain.from_iterable(x)] for w, x in zip(whole, found, strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each text. Texts may be empty; memory beyond theirs is bounded by REMEMBERED words."""
+        """Token ids of each text. Texts may be empty; memory beyond theirs is bounded by REMEMBERED words of at most LONGEST characters."""
         if not any(x in t for x in self.added for t in texts):
             return self._encode(texts)
         parts = [self.special.split(t) for t in texts]

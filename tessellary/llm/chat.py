@@ -48,12 +48,24 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf, id, depth): the messages on the way from each leaf (depth 0) up to its root.
 
     ``messages`` has id (unique, not null) and parent (null, or an id that isn't there: a root). A round joins what has been reached
-    to jumps of twice the length, then the jumps to themselves. Messages on a cycle have no root and are on no path.
+    to jumps of twice the length, then the jumps to themselves. Messages on a cycle, and those whose way up ends in one, have no root
+    and are on no path: rounds stop when jumps are longer than there are messages, and what still has one then is dropped.
     """
     edges = messages.select("id", "parent")
     known = edges.select(F.col("id").alias("parent"))
-    jumps = scratch.keep(edges.where("parent is not null").join(known, "parent", "left_semi").select("id", F.col("parent").alias("up")), "jumps")
-    leaves = edges.join(jumps.select(F.col("up").alias("id")).distinct(), "id", "left_anti").select("id")
+    up = scratch.keep(edges.where("parent is not null").join(known, "parent", "left_semi").select("id", F.col("parent").alias("up")), "parents")
+    # who reaches a root: jumps alone, which never grow, decide it before anything is enumerated
+    jumps, length, n = up, 1, up.count()
+    while length <= n and not jumps.isEmpty():
+        further = jumps.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        jumps, old = scratch.keep(jumps.join(further, "up").select("id", F.col("top").alias("up")), "jumps"), jumps
+        if old is not up:
+            scratch.drop(old)
+        length *= 2
+    rootless = jumps.select("id")
+    jumps = up if rootless.isEmpty() else scratch.keep(up.join(rootless, "id", "left_anti"), "jumps")
+    inner = up.select(F.col("up").alias("id")).distinct()
+    leaves = edges.join(inner, "id", "left_anti").join(rootless, "id", "left_anti").select("id")
     reached = scratch.keep(leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("depth")), "reached")
     step = 1
     while not jumps.isEmpty():
@@ -64,8 +76,6 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
         jumps, old = scratch.keep(jumps.join(further, "up").select("id", F.col("top").alias("up")), "jumps"), jumps
         scratch.drop(old)
         step *= 2
-        if step > 1 << 40:
-            raise ValueError("the messages hold a cycle")
     return reached
 
 

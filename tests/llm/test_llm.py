@@ -384,8 +384,16 @@ def test_reply_tree_branches(spark):
     assert {r.leaf for r in best.collect()} == {"d", "x"}
     text = {r.leaf: r.formatted for r in chat.formatted(best, messages).collect()}
     assert chat.parsed(text["d"]) == [("user", "hi"), ("assistant", "high"), ("user", "more"), ("assistant", "end")]
-    cyclic = spark.createDataFrame(rows[6:], "id string, parent string, score double, role string, text string")
-    assert chat.paths(cyclic.limit(0), common.Scratch(spark, "test")).count() == 0
+    assert chat.paths(messages.limit(0), common.Scratch(spark, "test")).count() == 0
+
+
+def test_reply_tree_with_cycles(spark):
+    rows = [("p", "q"), ("q", "p"), ("below", "p"), ("leaf", "below"), ("own", "own"), ("hangs", "own"), ("r", None), ("a", "r"), ("b", "a")]
+    messages = spark.createDataFrame(rows, "id string, parent string")
+    found = chat.paths(messages, common.Scratch(spark, "test")).collect()
+    assert sorted((r.leaf, r.id, r.depth) for r in found) == [("b", "a", 1), ("b", "b", 0), ("b", "r", 2)]
+    cyclic = spark.createDataFrame(rows[:2], "id string, parent string")
+    assert chat.paths(cyclic, common.Scratch(spark, "test")).count() == 0
 
 
 # ---- 7: BPE
@@ -437,6 +445,13 @@ def test_bpe_forgets_within_bounds(monkeypatch, library):
         assert t.encode_batch([text])[0] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_remembers_no_long_words(library):
+    t = bpe.Tokenizer(VOCABULARY)
+    text = "short " + "中" * 5000 + " " + "ab" * 500 + " end"
+    assert t.encode_batch([text])[0] == library.encode(text, add_special_tokens=False).ids
+    assert t.known and max(map(len, [*t.known, *t.stretches])) <= bpe.LONGEST
+
+
 # ---- 8: embeddings
 
 def test_embeddings_against_brute_force(spark):
