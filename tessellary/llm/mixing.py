@@ -21,6 +21,8 @@ from .common import Scratch, word_count
 
 #: Documents of a bucket, and buckets whose open fractions one node of the tree takes in.
 BUCKET, FAN = 20_000, 64
+#: Sources that one task ranks.
+RANKED = 1_000_000
 #: Sizes at which one class of documents ends and the next begins, as parts of the mean size in a source.
 CLASSES = (1.0, 0.25)
 _COLUMNS = "doc_id bigint, payload bigint, source string, size bigint, source_size bigint, target double, whole int, mass double, bucket bigint, open boolean, taken int"
@@ -34,9 +36,15 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...]
     sources is pre-aggregated by every task; each step of the sharing is an aggregate of two numbers.
     """
     sources = scratch.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, len(weights)) + 1).cast("int"))
-    sources = scratch.keep(sources.withColumn("weight", w), "weights")
+    # ranks: sorted by ranges, numbered in each, with the sources of the ranges before added
+    parts = 1 + sources.count() // RANKED
+    dealt = sources.repartitionByRange(parts, F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id())
+    dealt = scratch.keep(dealt, "ranges")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy("part").count().select("part", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) + F.col("before") - 1
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    sources = scratch.keep(dealt.join(F.broadcast(ranges), "part").withColumn("weight", w).drop("part", "before"), "weights")
     left = sources.agg(F.sum("source_size")).first()[0] or 0
     weight = sources.agg(F.sum("weight")).first()[0] or 0
     cap = F.col("source_size") * most
@@ -59,63 +67,73 @@ def _chance(seed: int, *parts: object) -> float:
     return (xxhash.xxh64_intdigest(repr((seed, *parts)).encode(), 0) >> 11) / (1 << 53)
 
 
-def _rounded(rows: list[dict], seed: int, level: int) -> None:
-    """Pivotal rounding of one source's rows in order; sets mass to 0 or the size but for one row at most."""
-    held: dict | None = None
-    for row in rows:
-        if row["mass"] <= 0 or row["mass"] >= row["size"]:
-            continue
-        if held is None:
-            held = row
-            continue
-        a, b = held, row
-        up = min(a["size"] - a["mass"], b["mass"])  # from b to a
-        down = min(a["mass"], b["size"] - b["mass"])  # from a to b
-        if _chance(seed, level, a["doc_id"], b["doc_id"], a["size"], b["size"]) * (up + down) < down:
-            full, none = a["size"] - a["mass"] <= b["mass"], b["mass"] <= a["size"] - a["mass"]
-            a["mass"], b["mass"] = (float(a["size"]) if full else a["mass"] + up), (0.0 if none else b["mass"] - up)
-        else:
-            none, full = a["mass"] <= b["size"] - b["mass"], b["size"] - b["mass"] <= a["mass"]
-            a["mass"], b["mass"] = (0.0 if none else a["mass"] - down), (float(b["size"]) if full else b["mass"] + down)
-        held = next((x for x in (a, b) if 0 < x["mass"] < x["size"]), None)
+def _moved(chance: float, a_mass: float, a_size: int, b_mass: float, b_size: int) -> tuple[float, float]:
+    """Masses of two open documents after one of them has become 0 or whole; both expectations are kept."""
+    up, down = min(a_size - a_mass, b_mass), min(a_mass, b_size - b_mass)  # from b to a, from a to b
+    if chance * (up + down) < down:
+        full, none = a_size - a_mass <= b_mass, b_mass <= a_size - a_mass
+        return (float(a_size) if full else a_mass + up), (0.0 if none else b_mass - up)
+    none, full = a_mass <= b_size - b_mass, b_size - b_mass <= a_mass
+    return (0.0 if none else a_mass - down), (float(b_size) if full else b_mass + down)
 
 
 def _level(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
-    """Round every bucket; rows whose copies are settled get ``taken`` and are no longer open."""
+    """Round every bucket; rows whose copies are settled get ``taken`` and are no longer open.
 
-    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict | None = None  # the source's open row, with the rows before it already given out
+    A batch's columns are arrays; the chain of open rows alone is walked, and at most one row waits for the next batch.
+    """
 
-        def settle(row: dict) -> dict:
-            if last and 0 < row["mass"] < row["size"]:
-                row["mass"] = row["size"] * float(_chance(seed, "last", row["doc_id"], row["source"]) * row["size"] < row["mass"])
-            row["open"] = bool(0 < row["mass"] < row["size"])
-            row["taken"] = row["whole"] + int(row["size"] > 0 and row["mass"] >= row["size"])
-            return row
+    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # doc_id, size, mass and (bucket, source) of the open row, and the row it came from
+        waiting: pa.RecordBatch | None = None  # that row, if it came with an earlier batch
+
+        def final(row: tuple) -> float:
+            key, size, mass, (_, source) = row[:4]
+            if last and 0 < mass < size:
+                mass = size * float(_chance(seed, "last", key, source) * size < mass)
+            return mass
+
+        def with_mass(batch: pa.RecordBatch, mass: np.ndarray) -> pa.RecordBatch:
+            size, whole, was = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("size", "whole", "open"))
+            open_ = (mass > 0) & (mass < size)
+            taken = np.where(was, whole + ((size > 0) & (mass >= size)), batch.column("taken").to_numpy()).astype(np.int32)
+            made = {"mass": pa.array(mass), "open": pa.array(open_ & was), "taken": pa.array(taken)}
+            return pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in batch.schema.names], schema=batch.schema)
 
         for batch in batches:
-            out: list[dict] = []
-            for row in batch.to_pylist():
-                if held is not None and (held["bucket"], held["source"]) != (row["bucket"], row["source"]):
-                    out.append(settle(held))
+            mass = batch.column("mass").to_numpy().copy()
+            places = np.flatnonzero(batch.column("open").to_numpy(zero_copy_only=False))
+            some = batch.take(pa.array(places))
+            columns = (some.column(n).to_pylist() for n in ("doc_id", "size", "mass", "bucket", "source"))
+            late: list[float] = []  # the settled mass of the row that waited
+            own = -1  # where the open row stands in this batch
+            for place, key, size, m, bucket, source in zip(places.tolist(), *columns, strict=True):
+                if held is not None and held[3] != (bucket, source):
+                    (late.append(final(held)) if own < 0 else mass.__setitem__(own, final(held)))
                     held = None
-                if not row["open"]:
-                    out.append(row)
-                    continue
                 if held is None:
-                    held = row
+                    held, own = (key, size, m, (bucket, source)), place
                     continue
-                _rounded([held, row], seed, level)
-                done, held = (held, row) if 0 < row["mass"] < row["size"] else (row, held)
-                out.append(settle(done))
-                if not 0 < held["mass"] < held["size"]:
-                    out.append(settle(held))
-                    held = None
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-                schema = batch.schema
+                x, y = _moved(_chance(seed, level, held[0], key, held[1], size), held[2], held[1], m, size)
+                if 0 < y < size:
+                    (late.append(x) if own < 0 else mass.__setitem__(own, x))
+                    held, own = (key, size, y, (bucket, source)), place
+                else:
+                    mass[place] = y
+                    held = (*held[:2], x, held[3])
+                    if not 0 < x < held[1]:
+                        (late.append(x) if own < 0 else mass.__setitem__(own, x))
+                        held = None
+            if late:
+                yield with_mass(waiting, np.array(late))
+                waiting = None
+            if held is not None and own >= 0:
+                waiting = batch.slice(own, 1)
+                yield with_mass(pa.RecordBatch.from_arrays([c.filter(pa.array(np.arange(len(mass)) != own)) for c in batch.columns], schema=batch.schema), np.delete(mass, own))
+            else:
+                yield with_mass(batch, mass)
         if held is not None:
-            yield pa.RecordBatch.from_pylist([settle(held)], schema=schema)
+            yield with_mass(waiting, np.array([final(held)]))
 
     order = ["bucket", "source", "size", "doc_id", "payload"]
     return rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(on_partition, _COLUMNS)
@@ -151,9 +169,7 @@ def copies(documents: DataFrame, scratch: Scratch, seed: int = 11, weights: tupl
     targets = targets.join(numbers, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     targets = scratch.keep(targets.withColumn("missed", F.lit(0.0)), "targets")
     few = targets.limit(100_001).count() <= 100_000
-    buckets = 1
-    while buckets * BUCKET < docs.count():
-        buckets *= 2
+    buckets = 1 << max(0, -(-docs.count() // BUCKET) - 1).bit_length()
     out = None
     for k in range(len(CLASSES) + 1):
         s = targets.select(F.col("source").alias("s"), "source_size", "target", "n", "missed")

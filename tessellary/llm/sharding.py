@@ -16,6 +16,8 @@ from .common import Scratch
 ROUND = 12
 #: A splitter's error in bytes, as a part of a shard's mean size.
 TOLERANCE = 0.01
+#: Rows that one task sorts, and bits of a shard's order that divide it into pieces at most.
+SORTED, PIECES = 50_000, 12
 
 
 def _place(key: Column, bits: int) -> Column:
@@ -55,8 +57,8 @@ def assigned(documents: DataFrame, shards: int = 16, tolerance: float = TOLERANC
     """doc_id, size (UTF-8 bytes plus 1; null text has none), text_crc32, shard and slot of every row.
 
     Bytes of shards are near equal: each splitter is off by ``tolerance`` of a shard at most. Groups of equal texts (single documents
-    too) that weigh over half that are placed first, each on the shard with most room; there are fewer than 2 * shards / tolerance. Splitters
-    then fill up each shard with the rest. Copies that together weigh over a shard's mean are dealt out by row instead. Slots go by text, then doc_id.
+    too) that weigh over half that, or hold as large a part of all rows, are placed first, each on the shard with most room; there are fewer
+    than 4 * shards / tolerance. Their rows are sorted by a hash of the row, so that many tasks share them. Splitters then fill up each shard with the rest. Copies that together weigh over a shard's mean are dealt out by row instead. Slots go by text, then doc_id.
     """
     scratch = Scratch(documents.sparkSession, "sharding")
     content = F.coalesce(F.col(text), F.lit(""))
@@ -68,7 +70,9 @@ def assigned(documents: DataFrame, shards: int = 16, tolerance: float = TOLERANC
     total = rows.agg(F.sum("size")).first()[0] or 0
     mean = total / shards
     weights = rows.groupBy("grp", "more").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
-    heavy = weights.where(F.col("b") > F.lit(tolerance * mean / 2)).orderBy(F.desc("b"), "grp", "more").collect()
+    n = rows.count()
+    many = max(SORTED, int(tolerance * n / shards / 2))  # a group of tiny texts weighs little, yet one task would sort it
+    heavy = weights.where((F.col("b") > F.lit(tolerance * mean / 2)) | (F.col("n") > many)).orderBy(F.desc("b"), "grp", "more").collect()
     room = [mean] * shards
     placed: list[tuple[int, int, int]] = []
     for g in heavy:
@@ -94,9 +98,8 @@ def assigned(documents: DataFrame, shards: int = 16, tolerance: float = TOLERANC
     shard = F.when(F.col("fixed") >= 0, F.col("fixed")).otherwise(sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
     # parts of a shard that one task sorts: equal intervals of the order within it, in number by its rows, and the exact rows before each
     rows = rows.withColumn("shard", shard.cast("int"))
-    n = rows.count()
     bits = 0
-    while bits < 16 and n >> bits > 50_000:
+    while bits < PIECES and n >> bits > SORTED:
         bits += 1
     order = F.shiftrightunsigned(F.when(F.col("fixed") >= 0, salted).otherwise(F.col("key")), 60 - bits) if bits else F.lit(0).cast("long")
     rows = rows.withColumn("piece", F.when(F.col("fixed") >= 0, order + (1 << bits)).otherwise(order))
@@ -104,6 +107,7 @@ def assigned(documents: DataFrame, shards: int = 16, tolerance: float = TOLERANC
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("shard", "piece", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("key", "more", "doc_id", "rid"))
+    # counts: at most shards * 2^(PIECES + 1) rows
     out = rows.select("shard", "piece", "doc_id", "size", "text_crc32", (rank - 1).alias("rank")).join(F.broadcast(counts), ["shard", "piece"])
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
 

@@ -553,6 +553,29 @@ def test_mixing_tree_keeps_totals(spark, monkeypatch):
         assert abs(sum(r.taken * r.size for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 40
 
 
+def test_mixing_ranks_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 10)
+    names = [f"s{i:03d}" for i in range(70)] + [None, "", "Z", "é", "😀", "\uffff"]
+    df = spark.createDataFrame([(i, s, 10) for i, s in enumerate(names)], "doc_id long, source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(df, common.Scratch(spark, "test")).collect()}
+    order = sorted(names, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total = sum(weight.values())
+    assert all(got[s] == pytest.approx(10 * len(names) * weight[s] / total) for s in names)
+
+
+def test_mixing_does_not_depend_on_batches(spark):
+    rng = random.Random(2)
+    rows = [(i, f"s{i % 3}", rng.choice([1, 5, 40, 300])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("payload", F.lit(None).cast("long"))
+    found = []
+    for size in ("10000", "37"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append(sorted(mixing.copies(df, common.Scratch(spark, "test")).select("doc_id", "taken").collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_mixing_awkward(awkward):
     got = mixing.mixed(awkward).collect()
     assert len(got) == len(AWKWARD) and all(r.taken <= 3 * r.size for r in got)
@@ -595,6 +618,17 @@ def test_sharding_many_small_and_a_hot_group(spark):
     check_shards(rows, got, 0.03)
 
 
+def test_sharding_many_tiny_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SORTED", 500)
+    rows = [(i, None if i % 3 == 0 else f"text number {i} " * 20) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.sharded(df).collect()
+    check_shards(rows, got, 0.03)
+    assert len({r.shard for r in got if r.doc_id % 3 == 0}) == 1  # equal texts stay together
+    again = sorted(sharding.sharded(df.repartition(5, "text")).collect())
+    assert [r.shard for r in sorted(got)] == [r.shard for r in again]
+
+
 def test_sharding_awkward(awkward):
     got = sharding.sharded(awkward).collect()
     check_shards([(r[0], r[1]) for r in AWKWARD], got, None)
