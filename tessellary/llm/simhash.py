@@ -97,15 +97,18 @@ class Index:
             self.mask.append(mask)
 
     def links(self, limit: int, forest: Forest) -> None:
-        """Join in ``forest`` all pairs under the same upper node that differ in at most ``limit`` bits."""
+        """Join in ``forest`` all pairs under the same upper node that differ in at most ``limit`` bits.
+
+        A pair of groups carries the bits that both fix and how many of these differ; a level adds what its bits differ in to that.
+        """
         top = len(self.first)
         at = np.arange(len(self.pattern[top]))
-        work = [(top, at, at)]
+        work = [(top, at, at, self.mask[top], np.zeros(len(at), np.uint8))]
         while work:
-            level, a, b = work.pop()
+            level, a, b, seen, differ = work.pop()
             if len(a) > PAIRS:
                 half = len(a) // 2
-                work += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+                work += [(level, *(x[half:] for x in (a, b, seen, differ))), (level, *(x[:half] for x in (a, b, seen, differ)))]
                 continue
             if level == 0:
                 forest.union(a, b)
@@ -116,20 +119,46 @@ class Index:
             step = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
             a, b = first[a][pair] + step // nb[pair], first[b][pair] + step % nb[pair]
             pattern, mask = self.pattern[level - 1], self.mask[level - 1]
-            near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= limit
-            near &= a < b if level == 1 else a <= b
+            both = mask[a] & mask[b]
+            differ = differ[pair] + np.bitwise_count((pattern[a] ^ pattern[b]) & both & ~seen[pair])
+            near = (differ <= limit) & (a < b if level == 1 else a <= b)
             if near.any():
-                work.append((level - 1, a[near], b[near]))
+                work.append((level - 1, a[near], b[near], both[near], differ[near]))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
 def _masked(fps: DataFrame, limit: int) -> DataFrame:
-    """Every fingerprint under limit + 1 nodes: its bits cut in as many masks, with the pattern of each."""
+    """Every fingerprint under limit + 1 nodes: its bits cut in as many masks, with the pattern of each; free are the bits outside the mask."""
     cuts = [BITS * k // (limit + 1) for k in range(limit + 2)]
     nodes = F.array(*(
-        F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("pattern"))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
+        F.struct(
+            F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1))).alias("path"),
+            F.lit(_signed(((1 << BITS) - 1) ^ (((1 << (b - a)) - 1) << a))).cast("long").alias("free"),
+        ) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
     ))
-    return fps.select("fp", F.explode(nodes).alias("node"))
+    return fps.select("fp", F.explode(nodes).alias("node")).select("fp", "node.path", "node.free")
+
+
+def _divided(nodes: DataFrame, limit: int, depth: int) -> DataFrame:
+    """Rows of (fp, path, free) under limit + 1 further nodes each: the bits that are free are dealt out at random to as many masks."""
+    order = np.random.default_rng(depth).permutation(BITS)
+
+    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, free = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 2))
+            for k in range(limit + 1):
+                mask = np.zeros(len(fp), np.uint64)
+                for value in np.unique(free):
+                    bits = [b for b in order.tolist() if int(value) >> b & 1][k :: limit + 1]
+                    mask[free == value] = np.uint64(sum(1 << b for b in bits))
+                out = [batch.column(0), batch.column(1), pa.array(np.full(len(fp), k, np.int32)), pa.array((fp & mask).view(np.int64)), pa.array((free & ~mask).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(out, ["fp", "path", "k", "pattern", "free"])
+
+    made = nodes.select("fp", "path", "free").mapInArrow(on_partition, "fp bigint, path bigint, k int, pattern bigint, free bigint")
+    return made.select("fp", F.xxhash64("path", "k", "pattern").alias("path"), "free")
 
 
 def _edges(nodes: DataFrame, limit: int) -> DataFrame:
@@ -158,31 +187,23 @@ def _edges(nodes: DataFrame, limit: int) -> DataFrame:
 def near_pairs(fps: DataFrame, scratch: Scratch, limit: int = 3, node: int = NODE) -> DataFrame:
     """(a, b): links that connect distinct fingerprints (column fp) at most ``limit`` bits apart, as a forest does.
 
-    Nodes of more than ``node`` members are divided by masks over the bits that they don't share, until all are small
-    or no bits are left; their keys are fewer than (limit + 1) * fingerprints / node and are broadcast if at most 100,000.
+    Nodes of more than ``node`` members are divided by masks over the bits that they don't share yet, of which two near fingerprints agree in
+    one again, until all are small; a node of f free bits has 2^f members at most, so that ends. The keys of large nodes are fewer than
+    (limit + 1) * fingerprints / node and are broadcast if at most 100,000.
     """
-    at = F.xxhash64(F.lit(0), "node.k", "node.pattern")
-    nodes = _masked(fps, limit).select("fp", at.alias("path"))
+    nodes = _masked(fps, limit)
     done: list[DataFrame] = []
     depth = 0
     while True:
-        large = scratch.keep(nodes.groupBy("path").count().where(F.col("count") > node).select("path", F.lit(1).alias("large")), "large")
+        large = scratch.keep(nodes.groupBy("path", "free").count().where(F.col("count") > node).select("path", F.lit(1).alias("large")).distinct(), "large")
         few = large.limit(100_001).count()
-        if not few or depth == 3:
+        if not few or depth == BITS:
             done.append(nodes.select("path", "fp"))
             break
         joined = nodes.join(F.broadcast(large) if few <= 100_000 else large, "path", "left")
         done.append(joined.where("large is null").select("path", "fp"))
-        # a random rotation of the bits, other than that of the level above, cuts across the bits that members share
         depth += 1
-        spread = 7 + 2 * depth
-        picks = [[b for b in range(BITS) if (b * spread + b // 16) % (limit + 1) == m] for m in range(limit + 1)]
-        patterns = F.array(*(
-            F.struct(F.lit(m).alias("k"), F.col("fp").bitwiseAND(F.lit(sum(1 << b for b in bits) - ((1 << 64) if BITS - 1 in bits else 0))).alias("pattern"))
-            for m, bits in enumerate(picks)
-        ))
-        split = joined.where("large = 1").select("path", "fp", F.explode(patterns).alias("node"))
-        nodes = split.select("fp", F.xxhash64("path", "node.k", "node.pattern").alias("path"))
+        nodes = scratch.keep(_divided(joined.where("large = 1"), limit, depth), "nodes")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -343,6 +343,16 @@ def test_index_finds_all_links(spark, node):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_index_divides_a_dense_ball(spark):
+    centre, rng = 0x0123456789ABCDEF, random.Random(1)
+    ball = {centre} | {centre ^ 1 << i for i in range(64)} | {centre ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)}
+    apart = {rng.getrandbits(64) for _ in range(50)}
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in ball | apart], "fp long")
+    scratch = common.Scratch(spark, "test")
+    found = {r.v: r.root for r in common.components(scratch, simhash.near_pairs(df, scratch, node=100)).collect()}
+    assert len(found) == len(ball) and len(set(found.values())) == 1
+
+
 def test_simhash_awkward(awkward):
     got = simhash.near_duplicates(awkward).collect()
     by = {r.doc_id: r for r in got}
