@@ -2,7 +2,7 @@
 
 Archives are gzipped text files of Spark's own writer whose line ends are the blank lines that end a WARC
 record, so commits, retries and lost executors are Spark's business. A file holds at most
-``records_per_file`` records, which bounds what the reader, who frames records by Content-Length, holds.
+``records_per_file`` records; the reader, who frames records by Content-Length, holds one file's compressed bytes and one record.
 """
 
 from __future__ import annotations
@@ -86,27 +86,60 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     _write(_framed(df), path, records_per_file)
 
 
+class _Unzipped:
+    """Reads a gzipped archive, of one member or several, piece by piece."""
+
+    def __init__(self, data: bytes, piece: int = 1 << 20) -> None:
+        self.data, self.at, self.piece, self.member, self.plain = memoryview(data), 0, piece, zlib.decompressobj(31), bytearray()
+
+    def more(self) -> bool:
+        """Append a piece to ``plain``; False at the end."""
+        if self.member.eof:
+            if self.at == len(self.data):
+                return False
+            self.member = zlib.decompressobj(31)
+        given = self.member.unconsumed_tail
+        if not given:
+            given = self.data[self.at : self.at + self.piece]
+            self.at += len(given)
+        if not len(given):
+            raise ValueError("an archive ends within a member")
+        self.plain += self.member.decompress(given, self.piece)
+        if self.member.eof:
+            self.at -= len(self.member.unused_data)
+        return True
+
+    def upto(self, n: int) -> bool:
+        while len(self.plain) < n:
+            if not self.more():
+                return False
+        return True
+
+    def find(self, what: bytes) -> int:
+        at = 0
+        while (found := self.plain.find(what, at)) < 0:
+            at = max(0, len(self.plain) - len(what) + 1)
+            if not self.more():
+                return -1
+        return found
+
+
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a gzipped archive, framed by Content-Length; several members may follow."""
-    plain = []
-    while data:
-        member = zlib.decompressobj(31)
-        plain.append(member.decompress(data))
-        data = member.unused_data
-    text = b"".join(plain)
-    at = 0
-    while at < len(text):
-        end = text.index(b"\r\n\r\n", at)
-        lines = text[at:end].decode().split(CRLF)
+    """Header fields and block of each record of a gzipped archive, framed by Content-Length; one record is held at a time."""
+    source = _Unzipped(data)
+    while source.upto(1):
+        end = source.find(b"\r\n\r\n")
+        lines = source.plain[:end].decode().split(CRLF) if end >= 0 else [""]
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("no WARC record where one should begin")
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         start = end + 4
         at = start + int(head["Content-Length"])
-        yield head, text[start:at]
-        if text[at : at + 4] != b"\r\n\r\n":
+        if not source.upto(at + 4) or source.plain[at : at + 4] != b"\r\n\r\n":
             raise ValueError("a record doesn't end with a blank line")
-        at += 4
+        block = bytes(source.plain[start:at])
+        del source.plain[: at + 4]
+        yield head, block
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:

@@ -128,6 +128,26 @@ def test_warc_round_trip(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_reader_streams_members():
+    import gzip
+
+    record = lambda body: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    rng = random.Random(4)
+    bodies = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 5000, 200_000)] + [b"\r\n\r\n" * 400_000]
+    data = gzip.compress(b"".join(map(record, bodies[:3]))) + gzip.compress(b"") + b"".join(gzip.compress(record(b)) for b in bodies[3:])
+    assert [b for _, b in warc._records(data)] == bodies
+    assert [b for _, b in warc._records(gzip.compress(b"".join(map(record, bodies))))] == bodies
+    with pytest.raises(ValueError, match="blank line"):
+        list(warc._records(gzip.compress(record(b"x")[:-1])))
+
+
+def test_warc_resolution_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 1)
+    rows = [(i, f"u{i}", f"page {i % 40} " * 50) for i in range(400)]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.refers_to for r in got} == {i: None if i >= 360 else 360 + i % 40 for i in range(400)}
+
+
 def test_warc_small_payloads_stay(spark):
     rows = [(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")]
     got = {r.page_id: r.record_type for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string"), least_bytes=5).collect()}
