@@ -212,8 +212,8 @@ def sets_of(documents: DataFrame, ids: DataFrame, text: str) -> DataFrame:
             place = (place ^ (place >> WANTED)) & ((1 << WANTED) - 1)
             hit = (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
             part = batch.column(1).filter(pa.array((hit > 0) | given.is_null().to_numpy(zero_copy_only=False)))
-            for at in range(0, len(part), 500):
-                words = [words_of(x.as_py()) for x in part.slice(at, 500)]
+            for at in range(0, len(part), 50):
+                words = [words_of(x.as_py()) for x in part.slice(at, 50)]
                 keys = np.array([key_of(w) for w in words], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), lists([shingle_set(w) for w in words])], ["key", "members"])
 
@@ -222,26 +222,15 @@ def sets_of(documents: DataFrame, ids: DataFrame, text: str) -> DataFrame:
 
 
 def verified(candidates: DataFrame, classes: DataFrame, documents: DataFrame, text: str, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are alike; what sketches leave is compared in full, joined by sorts at every size."""
-
-    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            ends_x, ends_y = x.offsets.to_numpy(), y.offsets.to_numpy()
-            flat_x, flat_y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                s, t = flat_x[ends_x[i] : ends_x[i + 1]], flat_y[ends_y[i] : ends_y[i + 1]]
-                keep[i] = alike(len(s) + len(t) - len(np.unique(np.concatenate([s, t]))), len(s), len(t))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
-
+    """The pairs (a, b) of keys whose sets are alike; what sketches leave is compared in full, a row at a time, joined by sorts at every size."""
     left = scratch.keep(screened(candidates, classes), "screened")
     keys = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
     ids = classes.select("key", F.col("least").cast("long").alias("doc_id")).hint("merge").join(keys.hint("merge"), "key", "left_semi")
     sets = scratch.keep(sets_of(documents, ids, text), "sets")
     x, y = sets.select(F.col("key").alias("a"), F.col("members").alias("x")), sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
     both = left.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "x", "y")
-    out = scratch.keep(both.mapInArrow(on_partition, "a bigint, b bigint"), "alike")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("n"))
+    out = scratch.keep(both.where(F.col("shared") * UNDER >= (F.col("n") - F.col("shared")) * OVER).select("a", "b"), "alike")
     scratch.drop(sets)
     return out
 
