@@ -25,14 +25,14 @@ UNDETERMINED = "und"
 _UNSEEN, _PAD = 0, 1
 #: No code point; it stands between two samples.
 _BREAK = 0x110000
-_NONE = -1
+_NONE, _LOW = -1, (1 << 32) - 1
 #: Slots of the table for each transition, and transitions of a state that is placed by itself.
 _SLOTS, _WIDE = 2.5, 8
 
 
 class Moves:
     """Transitions (state, symbol) to state, all rows of states laid over each other in one array: the transition of a
-    state by a symbol is at base[state] + symbol if ``owner`` says so there, else there is none."""
+    state by a symbol is at base[state] + symbol if the slot's owner is that state, else there is none."""
 
     def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, states: int, width: int) -> None:
         """``state`` ascends and is below ``states``, ``symbol`` below ``width``."""
@@ -40,34 +40,35 @@ class Moves:
         size = max(16, int(_SLOTS * len(state)))
         degree = np.bincount(state, minlength=states)
         first = np.cumsum(degree) - degree
-        self.base = np.zeros(len(degree), np.int64 if size + width >= 1 << 31 else np.int32)
-        self.owner = np.full(size + width, _NONE, np.int32)
+        self.base = np.zeros(len(degree), np.int64)
+        owner = np.full(size + width, _NONE, np.int64)
         # wide rows first, one by one, then rows of the same width at random places, until none is left that another one's meets
         for s in sorted(np.flatnonzero(degree > _WIDE).tolist(), key=lambda s: (-degree[s], s)):
             row = symbol[first[s] : first[s] + degree[s]]
-            while (self.owner[(at := rng.integers(size) + row)] != _NONE).any():
+            while (owner[(at := rng.integers(size) + row)] != _NONE).any():
                 pass
-            self.owner[at], self.base[s] = s, at[0] - row[0]
+            owner[at], self.base[s] = s, at[0] - row[0]
         for d in range(_WIDE, 0, -1):
             left = np.flatnonzero(degree == d).astype(np.int32)
             while len(left):
                 base = rng.integers(size, size=len(left))
                 at = base[:, None] + symbol[first[left][:, None] + np.arange(d)]
-                free = np.flatnonzero((self.owner[at] == _NONE).all(1))
+                free = np.flatnonzero((owner[at] == _NONE).all(1))
                 at, some, base = at[free], left[free], base[free]
-                self.owner[at] = some[:, None]
-                own = self.owner[at] == some[:, None]
+                owner[at] = some[:, None]
+                own = owner[at] == some[:, None]
                 placed = own.all(1)
-                self.owner[at[own & ~placed[:, None]]] = _NONE
+                owner[at[own & ~placed[:, None]]] = _NONE
                 self.base[some[placed]] = base[placed]
                 left = np.setdiff1d(left, some[placed], assume_unique=True)
-        self.to = np.full(size + width, _NONE, np.int32)
-        self.to[self.base[state] + symbol] = to
+        # owner and next state in one number, so that one look finds both
+        self.slots = owner << 32
+        self.slots[self.base[state] + symbol] |= to
 
-    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The next state for each pair, _NONE where there is none."""
-        at = self.base[state] + symbol
-        return np.where(self.owner[at] == state, self.to[at], np.int32(_NONE))
+    def __call__(self, base: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state for each pair, and whether there is none; ``base`` is that of each state."""
+        found = self.slots.take(base + symbol)
+        return found & _LOW, (found >> 32) != state
 
 
 @dataclass
@@ -139,7 +140,7 @@ def build(samples: dict[str, list[str]]) -> Model:
         roots.append(at)
         at += len(moves)
     table = Moves(*map(np.concatenate, (states, moved, nexts)), at, len(seen) + 2)
-    return Model(languages, np.array(roots, np.int32), symbols, table)
+    return Model(languages, np.array(roots, np.int64), symbols, table)
 
 
 def learn(documents: DataFrame, label: str, text: str, docs: int = DOCS, per_doc: int = PER_DOC, chars: int = CHARS) -> Model:
@@ -150,8 +151,11 @@ def learn(documents: DataFrame, label: str, text: str, docs: int = DOCS, per_doc
     """
     usable = documents.where(F.col(label).isNotNull() & (F.length(text) > 0))
     usable = usable.select(F.col(label).cast("string").alias("label"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    # the least of each of 64 parts of a label first, so that no task sorts all hashes of one
+    part = F.row_number().over(Window.partitionBy("label", "part").orderBy("hash"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
-    chosen = usable.select("label", "hash").distinct().withColumn("rank", rank).where(F.col("rank") <= docs)
+    few = usable.select("label", "hash").distinct().withColumn("part", F.col("hash").bitwiseAND(F.lit(63))).withColumn("rank", part)
+    chosen = few.where(F.col("rank") <= docs).select("label", "hash").withColumn("rank", rank).where(F.col("rank") <= docs)
     begin = F.pmod(F.col("hash"), F.greatest(F.char_length("text") - per_doc + 1, F.lit(1))).cast("int") + 1
     found = usable.join(F.broadcast(chosen), ["label", "hash"])  # at most ``docs`` hashes for each label
     found = found.groupBy("label", "rank").agg(F.min(F.substring("text", begin, F.lit(per_doc))).alias("text"))
@@ -164,14 +168,16 @@ def learn(documents: DataFrame, label: str, text: str, docs: int = DOCS, per_doc
     return build(samples)
 
 
-def _parse(model: Model, state: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _parse(model: Model, state: np.ndarray, symbol: np.ndarray, root: np.ndarray, root_base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The states after one character each, and whether a phrase began with it."""
-    to = model.moves(state, symbol)
-    begun = to == _NONE
+    moves = model.moves
+    to, begun = moves(moves.base.take(state), state, symbol)
     where = np.flatnonzero(begun)
     # a character that is in no sample is a phrase of its own, which nothing continues
-    to[where] = np.maximum(model.moves(root[where], symbol[where]), 0)
-    return to, begun & (symbol != _PAD)
+    again, unseen = moves(root_base.take(where), root.take(where), symbol.take(where))
+    again[unseen] = 0
+    to[where] = again
+    return to, begun
 
 
 def _counted(model: Model, columns: np.ndarray, first: np.ndarray, roots: np.ndarray) -> np.ndarray:
@@ -183,26 +189,32 @@ def _counted(model: Model, columns: np.ndarray, first: np.ndarray, roots: np.nda
     """
     length, n = columns.shape
     root = np.repeat(roots, n)
+    root_base = model.moves.base[root]
     begun = np.zeros((length, len(root)), bool)
-    before = np.zeros((length + 1, len(root)), np.int16 if length < 1 << 15 else np.int64)
-    state = np.zeros(len(root), np.int32)
+    state = np.zeros(len(root), np.int64)
     for i, column in enumerate(columns):
-        state, begun[i] = _parse(model, state, np.tile(column, len(roots)), root)
-        before[i + 1] = before[i] + begun[i]
-    alone, count, ends = before[-1].astype(np.int64), before[-1].astype(np.int64), state.copy()
+        state, begun[i] = _parse(model, state, np.tile(column, len(roots)), root, root_base)
+    begun &= np.tile(columns != _PAD, len(roots))
+    alone = begun.sum(0)
+    count, ends = alone.copy(), state.copy()
     inner = np.flatnonzero(np.tile(~first, len(roots)))
-    entered = np.zeros(len(root), np.int32)
+    entered = np.zeros(len(root), np.int64)
     while len(lanes := inner[entered[inner] != ends[inner - 1]]):
         now = ends[lanes - 1]
         entered[lanes] = now
-        own, after, on = np.zeros(len(lanes), np.int64), state[lanes], np.arange(len(lanes))
+        own, before, after, on = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64), state[lanes], np.arange(len(lanes))
         for i, column in enumerate(columns):
-            now, begins = _parse(model, now, column[lanes[on] % n], root[lanes[on]])
-            met = begins & begun[i, lanes[on]]
-            done = on[met]
-            own[done] += alone[lanes[done]] - before[i, lanes[done]]
-            own[on[~met]] += begins[~met]
-            on, now = on[~met], now[~met]
+            at = lanes[on]
+            symbol = column[at % n]
+            now, begins = _parse(model, now, symbol, root[at], root_base[at])
+            begins &= symbol != _PAD
+            was = begun[i, at]
+            met = begins & was
+            own[on] += begins & ~met
+            before[on] += was & ~met
+            if met.any():
+                own[on[met]] += alone[at[met]] - before[on[met]]
+                on, now = on[~met], now[~met]
             if not len(on):
                 break
         after[on] = now
@@ -215,7 +227,7 @@ def phrases(model: Model, texts: list[np.ndarray], segment: int | None = None) -
     segment = segment or SEGMENT
     sizes = np.array([len(t) for t in texts], np.int64)
     pieces = -(-sizes // segment)
-    flat = np.full(int(pieces.sum()) * segment, _PAD, np.int32)
+    flat = np.full(int(pieces.sum()) * segment, _PAD, np.int64)
     begins = np.cumsum(pieces) - pieces
     for t, a in zip(texts, begins * segment, strict=True):
         part = model.symbols[np.minimum(t, len(model.symbols) - 1)]
