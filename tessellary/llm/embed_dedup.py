@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, Scratch, components, runs, whole_runs
 
-PASSES, AT_ONCE, WINDOW, BITS = 24, 4, 24, 62
+PASSES, AT_ONCE, WINDOW, BITS = 24, 8, 24, 62
 #: Rows of one task of a pass, rows of one block of a component, and rows of a block that are compared at once.
 ROWS, BLOCK, STRIP = 20_000, 4096, 512
 
@@ -126,11 +126,9 @@ def _pass_edges(rows: DataFrame, passes: list[int], parts: int, scratch: Scratch
         return _compare((pa.Table.from_batches([b]) for b in batches), window, cosine, True, vec)
 
     found = scratch.keep(dealt.select("rid", "grp", "dim", "vec", "part").mapInArrow(within, _OUT + given), "passes")
-    # the borders: a partition's last rows and the next one's first, as many as 2 * window for each of ``parts``
-    full = found.where("kind = 1 and at = 0").select("part")
-    before = full.select(F.col("part").alias("own"), F.lag("part").over(Window.orderBy("part")).alias("before")).where("before is not null")
-    heads = found.where("kind = 1").join(before, F.col("part") == F.col("own")).withColumn("part", F.col("before"))
-    rims = found.where("kind = 2").unionByName(heads.select(*found.columns)).select(F.col("a").alias("rid"), "grp", "dim", "vec", "part", "kind", "at")
+    # the borders: a partition's last rows and the next one's first, 2 * window rows at most
+    heads = found.where("kind = 1").withColumn("part", F.col("part") - 1)
+    rims = found.where("kind = 2").unionByName(heads).select(F.col("a").alias("rid"), "grp", "dim", "vec", "part", "kind", "at")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["part"], 4096):
