@@ -26,6 +26,8 @@ OVER, UNDER = 4, 5
 SAMPLE, FREQUENT = 20_000, 100_000
 #: Bits of the map that says which documents' sets are wanted (8 MB at every size; a document too many costs time only).
 WANTED = 26
+#: A sketch folded to 256 bits, as four longs, that every row of a bucket carries.
+BRIEF = ("s0", "s1", "s2", "s3")
 #: Pairs that one step over buckets emits at most.
 STEP = 1 << 18
 
@@ -115,16 +117,18 @@ def buckets(classes: DataFrame) -> DataFrame:
     return rows.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(on_partition, "shingle bigint, key bigint, n int, at int")
 
 
-def pairs(met: DataFrame, order: str | None = None) -> DataFrame:
-    """(a, b): keys of one bucket of ``met`` (shingle, key, n, at, comp) that lie in different components and may be alike by sizes and places.
+def pairs(met: DataFrame, order: str | None = None, reach: int = 1) -> DataFrame:
+    """(a, b): keys of one bucket of ``met`` (shingle, key, n, at, comp, s0 to s3) that lie in different components and may be alike by their
+    sizes and places and by their brief sketches.
 
-    All of them; or, with ``order`` (an expression), each row with the next one only.
+    All of them; or, with ``order`` (an expression), each row with the next ``reach`` ones only.
     """
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, ["shingle"]):
             shingle, comp, key, n, at = (table[c].to_numpy() for c in ("shingle", "comp", "key", "n", "at"))
             n, at = n.astype(np.int64), at.astype(np.int64)
+            brief = [table[c].to_numpy().view(np.uint64) for c in BRIEF]
             starts = runs([shingle])
             ends = np.repeat(starts[1:], np.diff(starts))
             if order is None:
@@ -133,7 +137,7 @@ def pairs(met: DataFrame, order: str | None = None) -> DataFrame:
                 first = np.repeat(own[1:], np.diff(own))
             else:
                 first = np.arange(1, len(key) + 1)
-                ends = np.minimum(ends, first + 1)
+                ends = np.minimum(ends, first + reach)
             i = np.flatnonzero(first < ends)
             if not len(i):
                 continue
@@ -147,6 +151,9 @@ def pairs(met: DataFrame, order: str | None = None) -> DataFrame:
                     b = np.arange(len(a)) - np.repeat(np.cumsum(part) - part, part) + first[a] + skip
                     most = np.minimum(n[a] - at[a], n[b] - at[b])
                     near = alike(most, n[a], n[b]) & (comp[a] != comp[b])
+                    a, b = a[near], b[near]
+                    odd = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in brief)
+                    near = (OVER + UNDER) * odd <= (UNDER - OVER) * (n[a] + n[b])
                     a, b = key[a[near]], key[b[near]]
                     met_ = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(met_[0]), pa.array(met_[1])], ["a", "b"])
@@ -154,6 +161,12 @@ def pairs(met: DataFrame, order: str | None = None) -> DataFrame:
     return met.repartition("shingle").sortWithinPartitions("shingle", F.expr(order or "comp"), "key").mapInArrow(on_partition, "a bigint, b bigint").distinct()
 
 
+def brief(members: np.ndarray) -> np.ndarray:
+    """A sketch of 256 places, as four longs, whatever the set's size."""
+    odd = np.bincount((members & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def sketch(members: np.ndarray) -> bytes:
     """Whether an odd number of the set's members falls on each of 2^k >= n places (64 at least), a bit each.
 
@@ -238,10 +251,13 @@ def verified(candidates: DataFrame, classes: DataFrame, documents: DataFrame, te
 def complete(met: DataFrame, edges: DataFrame, classes: DataFrame, documents: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """(v, root): the components of ``edges`` and of all pairs in the buckets ``met`` whose sets are alike.
 
-    Neighbours in size and by chance are compared first, which joins most of a group; what is still apart then is compared in full.
+    Neighbours in size and by chance, of these more from round to round, are compared first, which joins most of a group, as a member needs to
+    be like one of it only; what is still apart then is compared in full.
     """
-    for order in ("n", "xxhash64(key)", None):
+    briefs = classes.select("key", *BRIEF)
+    met = scratch.keep(met.hint("merge").join(briefs.hint("merge"), "key"), "met")
+    for order, reach in (("n", 1), ("xxhash64(1, key)", 1), ("xxhash64(2, key)", 8), ("xxhash64(3, key)", 64), (None, 0)):
         of = components(scratch, edges).select(F.col("v").alias("key"), "root")
-        placed = met.hint("merge").join(of.hint("merge"), "key", "left").select("shingle", "key", "n", "at", F.coalesce("root", "key").alias("comp"))
-        edges = edges.unionByName(verified(scratch.keep(pairs(placed, order), "candidates"), classes, documents, text, scratch))
+        placed = met.hint("merge").join(of.hint("merge"), "key", "left").select("shingle", "key", "n", "at", *BRIEF, F.coalesce("root", "key").alias("comp"))
+        edges = edges.unionByName(verified(scratch.keep(pairs(placed, order, reach), "candidates"), classes, documents, text, scratch))
     return components(scratch, edges)

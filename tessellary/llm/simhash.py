@@ -243,11 +243,11 @@ def near_copies(documents: DataFrame, text: str = "text", limit: int = 3) -> Dat
     """
     scratch = Scratch(documents.sparkSession, "near-copies")
     known, often = shingles.frequent(documents, text)
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint, n int, head array<bigint>, sketch binary"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint, n int, head array<bigint>, sketch binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps, sizes, heads, sketches = [], [], [], [], []
+            keys, fps, sizes, heads, sketches, briefs = [], [], [], [], [], []
             for x in batch.column(1):
                 words = shingles.words_of(x.as_py())
                 hashes = shingles.shingle_hashes(words)
@@ -257,11 +257,13 @@ def near_copies(documents: DataFrame, text: str = "text", limit: int = 3) -> Dat
                 sizes.append(len(members))
                 heads.append(shingles.head(members, known, often))
                 sketches.append(shingles.sketch(members))
+                briefs.append(shingles.brief(members))
             as_longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), as_longs(keys), as_longs(fps), pa.array(sizes, pa.int32()), shingles.lists(heads), pa.array(sketches, pa.binary())], ["doc_id", "key", "fp", "n", "head", "sketch"])
+            parts = [pa.array(np.array([x[i] for x in briefs], np.uint64).view(np.int64)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_longs(keys), as_longs(fps), pa.array(sizes, pa.int32()), shingles.lists(heads), pa.array(sketches, pa.binary()), *parts], ["doc_id", "key", "fp", "n", "head", "sketch", *shingles.BRIEF])
 
     rows = scratch.keep(documents.select("doc_id", text).mapInArrow(on_partition, schema), "heads")
-    of_key = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "head", "sketch")))
+    of_key = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "head", "sketch", *shingles.BRIEF)))
     classes = scratch.keep(of_key, "classes")
     met = scratch.keep(shingles.buckets(classes), "buckets")
     first_of = scratch.keep(classes.groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
