@@ -64,7 +64,7 @@ def sentences(text: Column, least: int = 0) -> Column:
 
 
 def escape_markdown(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|>])", r"\\$1")
+    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!])", r"\\$1")
 
 
 def escape_xml(text: Column) -> Column:

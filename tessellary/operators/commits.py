@@ -9,7 +9,7 @@ from ..functions import text as tx
 
 # Commit types in the order of a changelog, and other names for them.
 TYPES = ("feat", "fix", "docs", "style", "refactor", "perf", "test", "build", "ci", "chore", "revert")
-ALIASES = {"feature": "feat", "bugfix": "fix", "doc": "docs", "tests": "test", "performance": "perf"}
+ALIASES = {"feature": "feat", "bugfix": "fix", "documentation": "docs", "tests": "test", "performance": "perf"}
 HEADER = r"^(\w+)(?:\(([^)]+)\))?(!)?:\s*(.+)$"
 
 
@@ -42,3 +42,34 @@ def version_number(version: Column) -> Column:
     """major * 10000 + minor * 100 + patch."""
     parts = F.split(version, r"\.")
     return sum((F.coalesce(F.try_element_at(parts, F.lit(i + 1)).try_cast("long"), F.lit(0)) * w for i, w in enumerate((10000, 100, 1))), F.lit(0)).cast("long")
+
+
+def with_body(commits: DataFrame, message: str) -> DataFrame:
+    """``commits`` with body, footers (an array of key and value), breaking and note, of the lines after a message's first.
+
+    Footers (``Key: value``) begin with the first one that no line of the body precedes, or with a breaking change; after that, only footers and
+    breaking changes count. The last breaking change is the note; a message without a body has a null one.
+    """
+    lines = F.slice(F.split(message, "\n"), F.lit(2), F.greatest(F.size(F.split(message, "\n")) - 1, F.lit(0)))
+    breaking, footer = r"(?i)^BREAKING[ -]CHANGE:\s*(.+)$", r"^([A-Za-z-]+):\s*(.+)$"
+    kinds = F.transform(lines, lambda x: F.when(F.trim(x) == "", "blank").when(x.rlike(breaking), "breaking").when(x.rlike(footer), "footer").otherwise("other"))
+    far = F.size("__lines") + 1
+    place = lambda kind: F.coalesce(F.nullif(F.array_position("__kinds", kind), F.lit(0).cast("long")), far.cast("long"))
+    begun = F.least(place("breaking"), F.when(place("footer") < place("other"), place("footer")).otherwise(far.cast("long")))
+    rows = commits.withColumn("__lines", lines).withColumn("__kinds", kinds).withColumn("__begun", begun.cast("int"))
+    body = F.regexp_replace(F.array_join(F.slice("__lines", F.lit(1), F.col("__begun") - 1), "\n"), r"^\s+|\s+$", "")
+    said = lambda kind: F.filter("__lines", lambda x, i: (i + 1 >= F.col("__begun")) & (F.get("__kinds", i) == kind))
+    footers = F.transform(said("footer"), lambda x: F.struct(F.regexp_extract(x, footer, 1).alias("key"), F.regexp_extract(x, footer, 2).alias("value")))
+    notes = F.transform(said("breaking"), lambda x: F.regexp_extract(x, breaking, 1))
+    return rows.withColumns({
+        "body": F.nullif(body, F.lit("")), "footers": footers, "breaking": F.array_contains("__kinds", "breaking"), "note": F.try_element_at(notes, F.lit(-1)),
+    }).drop("__lines", "__kinds", "__begun")
+
+
+def summary(commits: DataFrame, key: str) -> DataFrame:
+    """(key, summary): a sentence with the features, fixes and breaking changes of each group of commits (type, breaking); empty if there are none."""
+    some = ((F.col("type") == "feat", "new feature", "s"), (F.col("type") == "fix", "bug fix", "es"), (F.col("breaking"), "breaking change", "s"))
+    counts = commits.groupBy(key).agg(*(F.count_if(test).alias(f"__{i}") for i, (test, _, _) in enumerate(some)))
+    parts = [F.when(F.col(f"__{i}") > 0, F.concat(F.col(f"__{i}").cast("string"), F.lit(f" {what}"), F.when(F.col(f"__{i}") > 1, more).otherwise(""))) for i, (_, what, more) in enumerate(some)]
+    said = F.concat_ws(", ", *parts)
+    return counts.select(key, F.when(said == "", "").otherwise(F.concat(F.lit("This release includes "), said, F.lit("."))).alias("summary"))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
+    """Checkpoint to the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessellary-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -58,14 +57,16 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def shortest_paths(edges: DataFrame, start: object, most: int = 64) -> DataFrame:
-    """(id, path): an unweighted shortest path from ``start`` to every node that it reaches, of equal ones the least by nodes."""
+def shortest_paths(edges: DataFrame, start: object, most: int | None = None) -> DataFrame:
+    """(id, path): an unweighted shortest path from ``start`` to every node that it reaches, in ``most`` steps at most if given, of equal ones the least by nodes."""
     steps = edges.select(F.col("src").alias("at"), "dst").distinct()
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType
     frontier = spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.array(F.lit(start).cast(kind)).alias("path"))
     seen = frontier = _cut(frontier)
-    for _ in range(most):
+    level = 0
+    while most is None or level < most:
+        level += 1
         found = frontier.join(steps, F.col("id") == F.col("at")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         frontier = _cut(found.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         if frontier.isEmpty():
@@ -104,12 +105,12 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def topological_levels(edges: DataFrame, most: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, level): Kahn's levels; nodes without incoming edges are at 0, nodes on or behind a cycle are left out."""
     left = _cut(edges.select("src", "dst").distinct())
     nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
     out, level = None, 0
-    while level < most:
+    while most is None or level < most:
         free = _cut(nodes.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break

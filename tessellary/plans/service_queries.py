@@ -46,12 +46,11 @@ def prioritized_updates(t: Tables) -> DataFrame:
     return best.select("page", F.col("b.o_orderpriority").alias("priority"))
 
 
-@query("range_overlap", """WITH a AS (SELECT l_suppkey AS k, l_orderkey AS a_id, l_linenumber AS ln, CAST(l_quantity AS BIGINT) * 1000 AS a_start, CAST(l_quantity AS BIGINT) * 1000 + 500 AS a_end FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount >= 0.09),
+@query("range_overlap", """WITH a AS (SELECT l_suppkey AS k, l_orderkey AS a_id, l_linenumber AS ln, CAST(l_quantity AS BIGINT) * 1000 AS a_start, CAST(l_quantity AS BIGINT) * 1000 + 500 AS a_end FROM lineitem),
     b AS (SELECT s_suppkey AS k, 10000 AS b_start, CAST(12000 + s_suppkey * 10 AS BIGINT) AS b_end FROM supplier) SELECT k, a_id, ln FROM a JOIN b USING (k) WHERE a_start <= b_end AND b_start <= a_end""")
 def range_overlap(t: Tables) -> DataFrame:
     start = F.col("l_quantity").cast("long") * 1000
-    links = t.lineitem.where("l_returnflag = 'R' and l_linestatus = 'F' and l_discount >= 0.09")
-    a = links.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("a_id"), F.col("l_linenumber").alias("ln"), start.alias("a_start"), (start + 500).alias("a_end"))
+    a = t.lineitem.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("a_id"), F.col("l_linenumber").alias("ln"), start.alias("a_start"), (start + 500).alias("a_end"))
     b = t.supplier.select(F.col("s_suppkey").alias("k"), F.lit(10000).cast("long").alias("b_start"), (F.col("s_suppkey") * 10 + 12000).alias("b_end"))
     return services.overlapping(a, b, "k", 4000).select("k", "a_id", "ln")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_dir
+
 
 def read(spark: SparkSession, path: str, like: DataFrame, at: str = "ts") -> DataFrame:
     """A stream of the files that match ``path``, with the schema of ``like`` and event times as instants."""
@@ -55,8 +56,7 @@ def leases(stream: DataFrame, resource: str, owner: str, request: str, seconds:
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process all that is there, write it to Parquet in the shared folder and return the table."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessellary-")
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
