@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words, and stretches between spaces, whose tokens a Python worker remembers; then it begins anew. Those of more characters than LONGEST
 #: aren't remembered, which bounds what is held to some 500 bytes each.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Bytes of a word that is merged in an array with others; longer ones are merged one by one.
 ABREAST = 48
 
