@@ -283,11 +283,12 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def encoded(
-    documents: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True
+    documents: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, forget: bool = False
 ) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row, and the ids themselves ``with_ids``. Null text is empty.
 
     The vocabulary's path must be there on every executor, as it is part of an installed package. Rows are independent; nothing is shuffled.
+    With ``forget`` a worker drops the words it remembers at the end of a partition, which leaves their memory to the stages that follow.
     """
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -318,5 +319,7 @@ def encoded(
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *out], names)
+        if forget:
+            tokens.known, tokens.stretches = {}, {}
 
     return documents.select(*keep, documents[text].alias("__text")).mapInArrow(on_partition, schema)
