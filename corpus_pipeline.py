@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row."""
-    return bpe.encoded(docs, VOCABULARY)
+    return bpe.encoded(docs, VOCABULARY, forget=True)
 
 
 STAGES = [
