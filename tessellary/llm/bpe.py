@@ -7,6 +7,7 @@ once, by walking both tokens' merges back in time.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -288,7 +289,7 @@ def encoded(
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row, and the ids themselves ``with_ids``. Null text is empty.
 
     The vocabulary's path must be there on every executor, as it is part of an installed package. Rows are independent; nothing is shuffled.
-    With ``forget`` a worker drops the words it remembers at the end of a partition, which leaves their memory to the stages that follow.
+    With ``forget`` a worker drops the tokenizer with all it remembers at the end of a partition, which leaves that memory to the stages that follow.
     """
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -320,6 +321,8 @@ def encoded(
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *out], names)
         if forget:
-            tokens.known, tokens.stretches = {}, {}
+            del tokens
+            tokenizer.cache_clear()
+            gc.collect()
 
     return documents.select(*keep, documents[text].alias("__text")).mapInArrow(on_partition, schema)
