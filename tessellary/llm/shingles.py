@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,9 +215,8 @@ def wanted_map(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(documents: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """(key, members): the shingle sets of the documents of ``ids`` (doc_id), once each; a few others may come along. Null ids are wanted."""
-    shared = documents.sparkSession.sparkContext.broadcast(wanted_map(ids))
+def sets_of(documents: DataFrame, shared: Broadcast, text: str) -> DataFrame:
+    """(key, members): the shingle sets of the documents that a ``wanted_map`` holds, once each; a few others may come along. Null ids are wanted."""
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +239,9 @@ def verified(candidates: DataFrame, classes: DataFrame, documents: DataFrame, te
     left = scratch.keep(screened(candidates, classes), "screened")
     keys = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
     ids = classes.select("key", F.col("least").cast("long").alias("doc_id")).hint("merge").join(keys.hint("merge"), "key", "left_semi")
-    sets = scratch.keep(sets_of(documents, ids, text), "sets")
+    shared = documents.sparkSession.sparkContext.broadcast(wanted_map(ids))
+    sets = scratch.keep(sets_of(documents, shared, text), "sets")
+    shared.destroy()  # else every round's map stays with all workers
     x, y = sets.select(F.col("key").alias("a"), F.col("members").alias("x")), sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
     both = left.hint("merge").join(x.hint("merge"), "a").hint("merge").join(y.hint("merge"), "b").select("a", "b", "x", "y")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("n"))
