@@ -31,6 +31,8 @@ WANTED = 26
 BRIEF = ("s0", "s1", "s2", "s3")
 #: Pairs that one step over buckets emits at most.
 STEP = 1 << 18
+#: Pairs for each row of the buckets up to which all are compared without further rounds of neighbours; it changes no result.
+FEW = 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -236,7 +238,11 @@ def sets_of(documents: DataFrame, shared: Broadcast, text: str) -> DataFrame:
 
 def verified(candidates: DataFrame, classes: DataFrame, documents: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of keys whose sets are alike; what sketches leave is compared in full, a row at a time, joined by sorts at every size."""
+    if candidates.isEmpty():
+        return candidates.select("a", "b")
     left = scratch.keep(screened(candidates, classes), "screened")
+    if left.isEmpty():
+        return left
     keys = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
     ids = classes.select("key", F.col("least").cast("long").alias("doc_id")).hint("merge").join(keys.hint("merge"), "key", "left_semi")
     shared = documents.sparkSession.sparkContext.broadcast(wanted_map(ids))
@@ -250,16 +256,35 @@ def verified(candidates: DataFrame, classes: DataFrame, documents: DataFrame, te
     return out
 
 
+def apart(placed: DataFrame) -> tuple[float, float]:
+    """Rows of buckets (shingle, comp), and pairs of rows of one bucket that lie in different components."""
+    of = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    of = of.groupBy("shingle").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    found = of.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2)).first()
+    return found[0] or 0.0, found[1] or 0.0
+
+
 def complete(met: DataFrame, edges: DataFrame, classes: DataFrame, documents: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """(v, root): the components of ``edges`` and of all pairs in the buckets ``met`` whose sets are alike.
 
     Neighbours in size and by chance, of these more from round to round, are compared first, which joins most of a group, as a member needs to
-    be like one of it only; what is still apart then is compared in full.
+    be like one of it only; what is still apart then is compared in full, and as soon as that is no more than FEW pairs a row.
     """
     briefs = classes.select("key", *BRIEF)
     met = scratch.keep(met.hint("merge").join(briefs.hint("merge"), "key"), "met")
+    found = components(scratch, edges)
     for order, reach in (("n", 1), ("xxhash64(1, key)", 1), ("xxhash64(2, key)", 8), ("xxhash64(3, key)", 64), (None, 0)):
-        of = components(scratch, edges).select(F.col("v").alias("key"), "root")
+        of = found.select(F.col("v").alias("key"), "root")
         placed = met.hint("merge").join(of.hint("merge"), "key", "left").select("shingle", "key", "n", "at", *BRIEF, F.coalesce("root", "key").alias("comp"))
-        edges = edges.unionByName(verified(scratch.keep(pairs(placed, order, reach), "candidates"), classes, documents, text, scratch))
-    return components(scratch, edges)
+        placed = scratch.keep(placed, "placed")
+        rows, left = apart(placed)
+        if left <= FEW * rows:
+            order = None
+        more = verified(scratch.keep(pairs(placed, order, reach), "candidates"), classes, documents, text, scratch) if left else None
+        scratch.drop(placed)
+        if more is not None and not more.isEmpty():
+            edges = edges.unionByName(more)
+            found = components(scratch, edges)
+        if order is None:
+            break
+    return found

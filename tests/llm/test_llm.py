@@ -712,9 +712,10 @@ def brute_survivors(rows):
     return sorted(least.values())
 
 
-@pytest.mark.parametrize("known", [100_000, 0])
-def test_pipeline_drops_near_copies(spark, documents, monkeypatch, known):
+@pytest.mark.parametrize(("known", "few"), [(100_000, shingles.FEW), (0, shingles.FEW), (100_000, -1)])  # -1: all rounds of neighbours
+def test_pipeline_drops_near_copies(spark, documents, monkeypatch, known, few):
     monkeypatch.setattr(shingles, "FREQUENT", known)
+    monkeypatch.setattr(shingles, "FEW", few)
     rng = random.Random(5)
     texts = []
     for size in (4, 5, 9, 49, 50, 51, 200, 2000):
