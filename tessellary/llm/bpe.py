@@ -7,7 +7,6 @@ once, by walking both tokens' merges back in time.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -22,6 +21,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 # Fixed value: the public pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words, and stretches between spaces, whose tokens a Python worker remembers; then it begins anew. Those of more characters than LONGEST
@@ -323,6 +324,6 @@ def encoded(
         if forget:
             del tokens
             tokenizer.cache_clear()
-            gc.collect()
+            give_back()
 
     return documents.select(*keep, documents[text].alias("__text")).mapInArrow(on_partition, schema)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Bounds of the sample that a model learns from, for each language: distinct texts, code points taken of one of them, code points in all.
 #: They bound the labelled rows that are fitted and nothing else; a model takes some 20 to 40 bytes for each code point of its samples.
 DOCS, PER_DOC, CHARS = 128, 1000, 32_768
@@ -282,6 +284,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text", keep: tuple
                     [*(part.column(i) for i in range(len(keep))), pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
                     [*keep, "lang_pred", "score"],
                 )
+        give_back()
 
     given = documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias("__text"))
     return given.mapInArrow(on_partition, schema)

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, runs, whole_runs
+from .common import Scratch, components, give_back, runs, whole_runs
 
 WIDTH = 5
 #: Least similarity, as a fraction, so that it is compared in integers.
@@ -231,6 +231,7 @@ def sets_of(documents: DataFrame, shared: Broadcast, text: str) -> DataFrame:
                 words = [words_of(x.as_py()) for x in part.slice(at, 50)]
                 keys = np.array([key_of(w) for w in words], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), lists([shingle_set(w) for w in words])], ["key", "members"])
+        give_back()
 
     rows = documents.select(F.col("doc_id").cast("long"), text).mapInArrow(on_partition, "key bigint, members array<bigint>")
     return rows.groupBy("key").agg(F.any_value("members").alias("members"))

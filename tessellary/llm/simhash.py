@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Forest, Scratch, components, runs, whole_runs
+from .common import Forest, Scratch, components, give_back, runs, whole_runs
 
 BITS = 64
 #: Members under one upper node that a task holds at once.
@@ -261,6 +261,7 @@ def near_copies(documents: DataFrame, text: str = "text", limit: int = 3) -> Dat
             as_longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             parts = [pa.array(np.array([x[i] for x in briefs], np.uint64).view(np.int64)) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), as_longs(keys), as_longs(fps), pa.array(sizes, pa.int32()), shingles.lists(heads), pa.array(sketches, pa.binary()), *parts], ["doc_id", "key", "fp", "n", "head", "sketch", *shingles.BRIEF])
+        give_back()
 
     rows = scratch.keep(documents.select("doc_id", text).mapInArrow(on_partition, schema), "heads")
     of_key = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "head", "sketch", *shingles.BRIEF)))
