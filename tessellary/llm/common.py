@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Code points that end a word, as a Java class: space and \t \n \v \f \r.
@@ -135,6 +135,20 @@ def by_runs(
     return dealt.mapInArrow(on_partition, schema)
 
 
+def ranked(scratch: Scratch, df: DataFrame, order: list[Column], rows: int = 1_000_000) -> DataFrame:
+    """``df`` with ``place``, each row's place in ``order`` from 0 on; equal rows stand in any order.
+
+    Rows are dealt out by ranges of about ``rows``, sorted and numbered in each; what the ranges before hold, one number a range, is added.
+    """
+    dealt = df.repartitionByRange(1 + df.count() // rows, *order).sortWithinPartitions(*order)
+    dealt = scratch.keep(dealt.withColumn("__id", F.monotonically_increasing_id()), "ranges")  # the range's number and 33 bits for the row's
+    part = F.shiftright("__id", 33).alias("__part")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy(part).count().select("__part", before.alias("__before"))
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn("place", place).drop("__part", "__before", "__id")
+
+
 class Forest:
     """Disjoint sets over 0..n-1 that take edges in arrays; a set's root is its smallest member."""
 
