@@ -8,44 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .linediff import shortest_script
+
 
 def lines_of(text: str | None) -> list[str]:
     """Lines of a text; an empty or null text has none."""
     return text.split("\n") if text else []
 
 
-def shortest_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """A shortest edit script as (equal | delete | insert, line in a, line in b), by a common subsequence of most lines.
-
-    Common ends are cut off first; the rest takes time and memory in proportion to the product of the two lengths left.
-    """
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    end = 0
-    while end < min(len(a), len(b)) - low and a[-1 - end] == b[-1 - end]:
-        end += 1
-    x, y = a[low : len(a) - end], b[low : len(b) - end]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    out = [("equal", i, i) for i in range(low)]
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append(("equal", low + i, low + j))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(("delete", low + i, low + j))
-            i += 1
-        else:
-            out.append(("insert", low + i, low + j))
-            j += 1
-    return out + [("equal", len(a) - end + k, len(b) - end + k) for k in range(end)]
-
-
 def similarity(a: str | None, b: str | None) -> float:
     """Common lines over the lines of the longer text; 1 for two empty texts."""
     x, y = lines_of(a), lines_of(b)
@@ -57,7 +27,11 @@ def similarity(a: str | None, b: str | None) -> float:
 def unified(a: str | None, b: str | None, context: int = 3) -> str:
     """A unified diff; hunks part where more than twice the context is unchanged."""
     x, y = lines_of(a), lines_of(b)
-    script = shortest_script(x, y)
+    return unified_script(x, y, shortest_script(x, y), context)
+
+
+def unified_script(x: list[str], y: list[str], script: list[tuple[str, int, int]], context: int = 3) -> str:
+    """A unified diff of an edit script from ``x`` to ``y``."""
     changed = [i for i, (kind, _, _) in enumerate(script) if kind != "equal"]
     hunks: list[list[int]] = []
     for i in changed:
@@ -104,8 +78,10 @@ def diff_stats(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
         for batch in batches:
             out = []
             for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kinds = [k for k, _, _ in shortest_script(lines_of(a), lines_of(b))]
-                out.append((kinds.count("insert"), kinds.count("delete"), similarity(a, b), unified(a, b)))
+                x, y = lines_of(a), lines_of(b)
+                script = shortest_script(x, y)
+                kept = sum(k == "equal" for k, _, _ in script)
+                out.append((len(y) - kept, len(x) - kept, kept / max(len(x), len(y)) if x or y else 1.0, unified_script(x, y, script)))
             cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             types = (pa.int32(), pa.int32(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types)], [key, "additions", "deletions", "similarity", "diff"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import code_graph, commits, quality, textdiff
+from ..operators import code_graph, commits, linediff, quality, textdiff
 from .registry import Tables, query
 
 
@@ -199,11 +199,32 @@ def word_jaccard_pairs(t: Tables) -> DataFrame:
     return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def neighbours(t: Tables) -> DataFrame:
+    """(doc_id, text, after): each document with the text of the next one of its source; only ids go through the window."""
+    following = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    ids = t.documents.select("doc_id", following.alias("next"))
+    texts = t.documents.select("doc_id", "text")
+    return ids.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next"), F.col("text").alias("after")), "next", "left").drop("next")
+
+
 @query("text_diff_stats")
 def text_diff_stats(t: Tables) -> DataFrame:
     """Line diff of each document and the next one of its source."""
-    rows = t.documents.select("doc_id", "text", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")).alias("after"))
-    return textdiff.diff_stats(rows, "doc_id", "text", "after")
+    return textdiff.diff_stats(neighbours(t), "doc_id", "text", "after")
+
+
+@query("shortest_edit_counts", """
+    WITH RECURSIVE p AS (SELECT doc_id, text AS a, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents),
+    l AS (SELECT doc_id, CASE WHEN coalesce(a, '') = '' THEN [] ELSE string_split(a, chr(10)) END AS x, CASE WHEN coalesce(b, '') = '' THEN [] ELSE string_split(b, chr(10)) END AS y FROM p),
+    r AS (SELECT doc_id, 0 AS i, x, y, list_transform(y, lambda v: 0) AS best FROM l UNION ALL
+          SELECT doc_id, i + 1, x, y, list_transform(range(len(y)), lambda j: list_max(list_transform(range(j + 1), lambda q:
+                 greatest(best[q + 1], CASE WHEN y[q + 1] = x[i + 1] THEN coalesce(best[q], 0) + 1 ELSE 0 END)))) FROM r WHERE i < len(x)),
+    k AS (SELECT doc_id, len(x) AS n, len(y) AS m, coalesce(list_max(best), 0) AS kept FROM r WHERE i = len(x))
+    SELECT doc_id, CAST(m - kept AS BIGINT) AS additions, CAST(n - kept AS BIGINT) AS deletions,
+           CASE WHEN greatest(n, m) = 0 THEN 1.0::DOUBLE ELSE kept::DOUBLE / greatest(n, m) END AS similarity FROM k""")
+def shortest_edit_counts(t: Tables) -> DataFrame:
+    """Lines that a shortest script adds and removes between each document and the next one of its source, and their likeness."""
+    return linediff.counts(neighbours(t), "doc_id", "text", "after")
 
 
 @query("markdown_export", """SELECT source, md5(string_agg('## ' || doc_id || chr(10) || CAST(n_chars AS VARCHAR), chr(10) ORDER BY doc_id)) AS page, count(*) AS sections FROM documents GROUP BY source""")
