@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex
+from .declarations import declarations
 
-# How declarations of the two languages look.
-DECLARATIONS = {
-    "typescript": (
-        ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"),
-        ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"),
-        ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*[=<]"), ("variable", r"^(?:export\s+)?(?:const|let|var)\s+(\w+)"),
-    ),
-    "java": (
-        ("class", r"^\s*(?:(?:public|protected|private|abstract|final|static)\s+)*class\s+(\w+)"),
-        ("interface", r"^\s*(?:(?:public|protected|private|abstract|static)\s+)*interface\s+(\w+)"),
-        ("enum", r"^\s*(?:(?:public|protected|private|static)\s+)*enum\s+(\w+)"),
-    ),
-}
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "java": "java"}
 
 
@@ -39,45 +23,10 @@ def read_tree(spark: SparkSession, root: str, include: str = "**", exclude: tupl
     return rows.select("path", names[extension].alias("language"), "content")
 
 
-def end_of_block(text: str, at: int) -> int:
-    """Line on which the braces opened after ``at`` close again, or that of ``at`` if there are none."""
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == "{":
-            depth += 1
-        elif text[i] == "}":
-            depth -= 1
-            if depth <= 0:
-                return text.count("\n", 0, i) + 1
-        elif text[i] == ";" and not depth:
-            break
-    return text.count("\n", 0, at) + 1
-
-
-def symbols(files: DataFrame) -> DataFrame:
-    """(path, ordinal, name, kind, line, end_line, exported, extends, implements) of declarations, in the order of the text."""
-    schema = "path string, ordinal int, name string, kind string, line int, end_line int, exported boolean, extends array<string>, implements array<string>"
-    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def listed(head: str, word: str) -> list[str]:
-        m = re.search(rf"\b{word}\s+([\w.<>, ]+?)(?=\s+(?:extends|implements)\b|\s*\{{|$)", head)
-        return [re.sub("<.*", "", x).strip() for x in m[1].split(",")] if m else []
-
-    def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = []
-                for kind, pattern in DECLARATIONS.get(language, ()):
-                    found += [(m.start(1), kind, m) for m in re.finditer(pattern, content or "", re.M)]
-                for i, (at, kind, m) in enumerate(sorted(found, key=lambda x: x[0])):
-                    head = content[m.start() : content.find("{", at) + 1 or None].split("\n{")[0]
-                    rows.append((path, i, m[1], kind, content.count("\n", 0, at) + 1, end_of_block(content, at), "export" in m[0] or "public" in m[0], listed(head, "extends"), listed(head, "implements")))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return files.select("path", "language", "content").mapInArrow(on_partition, schema)
+def symbols(files: DataFrame, members: bool = False) -> DataFrame:
+    """Declarations of ``files`` as ``declarations`` gives them: those that nothing holds, or all with their ``members``."""
+    found = declarations(files).withColumns({c: F.coalesce(c, F.expr("cast(array() as array<string>)")) for c in ("extends", "implements")})
+    return found if members else found.where("parent is null")
 
 
 def imports(files: DataFrame) -> DataFrame:
