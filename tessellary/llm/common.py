@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,19 @@ def give_back() -> None:
         trim(0)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of about ``size`` bytes in a text column, a single row at least."""
+    for batch in batches:
+        low = total = 0
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            total += n or 0
+            if total > size:
+                yield batch.slice(low, i + 1 - low)
+                low, total = i + 1, 0
+        if low < batch.num_rows:
+            yield batch.slice(low)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

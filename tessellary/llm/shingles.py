@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, give_back, runs, whole_runs
+from .common import Scratch, components, give_back, runs, slices, whole_runs
 
 WIDTH = 5
 #: Least similarity, as a fraction, so that it is compared in integers.
@@ -72,11 +72,11 @@ def frequent(documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of documents shows at least three times, ascending, and how often."""
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 100):
-                sets = [shingle_set(words_of(x.as_py())) for x in batch.column(0).slice(low, 100)]
-                seen, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["shingle", "n"])
+        for batch in slices(batches, 0):
+            sets = [shingle_set(words_of(x.as_py())) for x in batch.column(0)]
+            seen, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["shingle", "n"])
+        give_back()
 
     part = min(1.0, SAMPLE / max(1, documents.count()))
     rows = documents.select(text) if part == 1 else documents.select(text).sample(part, 1)
@@ -227,8 +227,8 @@ def sets_of(documents: DataFrame, shared: Broadcast, text: str) -> DataFrame:
             place = (place ^ (place >> WANTED)) & ((1 << WANTED) - 1)
             hit = (shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
             part = batch.column(1).filter(pa.array((hit > 0) | given.is_null().to_numpy(zero_copy_only=False)))
-            for at in range(0, len(part), 50):
-                words = [words_of(x.as_py()) for x in part.slice(at, 50)]
+            for piece in slices(iter([pa.RecordBatch.from_arrays([part], ["text"])]), 0):
+                words = [words_of(x.as_py()) for x in piece.column(0)]
                 keys = np.array([key_of(w) for w in words], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), lists([shingle_set(w) for w in words])], ["key", "members"])
         give_back()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Forest, Scratch, components, give_back, runs, whole_runs
+from .common import Forest, Scratch, components, give_back, runs, slices, whole_runs
 
 BITS = 64
 #: Members under one upper node that a task holds at once.
@@ -246,7 +246,7 @@ def near_copies(documents: DataFrame, text: str = "text", limit: int = 3) -> Dat
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint, n int, head array<bigint>, sketch binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             keys, fps, sizes, heads, sketches, briefs = [], [], [], [], [], []
             for x in batch.column(1):
                 words = shingles.words_of(x.as_py())
