@@ -132,12 +132,14 @@ def peeled(edges: DataFrame) -> DataFrame:
         left = kept
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes on a directed cycle, by colouring: each round spreads the greatest id forward, then takes what reaches its
-    own colour's root backward as one strongly connected component, and goes on without it."""
-    loops = edges.where("src = dst").select(F.col("src").alias("id"))
-    found = _cut(loops.distinct())
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): nodes of strongly connected components of two nodes or more, each named by its greatest node.
+
+    By colouring: each round spreads the greatest id forward, then takes what reaches its own colour's root backward as one component, and goes on
+    without it.
+    """
     left = peeled(edges.where("src <> dst"))
+    found = _cut(left.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0))
     while not left.isEmpty():
         colour = _cut(left.select(F.col("src").alias("id"), F.col("src").alias("c")).distinct())
         while True:
@@ -151,10 +153,89 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
         members = reachable(same, colour.where("id = c").select("id")).select("id")
         # a root alone is no cycle: a component has an edge inside it
         inner = same.join(members.withColumnRenamed("id", "src"), "src", "left_semi").join(members.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        found = _cut(found.union(inner.select("src")).union(inner.select("dst")).distinct())
+        ends = inner.select(F.col("src").alias("id")).union(inner.select("dst")).distinct()
+        found = _cut(found.union(ends.join(colour, "id").select("id", F.col("c").alias("component"))))
         rest = left.join(members.withColumnRenamed("id", "src"), "src", "left_anti").join(members.withColumnRenamed("id", "dst"), "dst", "left_anti")
         left = peeled(rest.select("src", "dst"))
-    return found.distinct()
+    return found
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes on a directed cycle, those with an edge to themselves included."""
+    loops = edges.where("src = dst").select(F.col("src").alias("id"))
+    return loops.union(strong_components(edges).select("id")).distinct()
+
+
+def cycle_paths(edges: DataFrame, longest: int, loops: bool = False) -> DataFrame:
+    """(component, length, path, more): every cycle of at most ``longest`` nodes as the list of its nodes, from its least one back to it.
+
+    Nodes are followed inside their strongly connected component only, and only to greater nodes than the first, so each cycle is found once and in
+    one rotation. ``more`` says whether its component has paths that were given up at ``longest``; a component whose cycles are all longer has one
+    row with neither path nor length. With ``loops`` an edge from a node to itself is a cycle of one. The number of cycles may grow
+    with the power of ``longest``; they are the result, and no task gathers those of a component.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    part = strong_components(edges)
+    a, b = part.select(F.col("id").alias("src"), "component"), part.select(F.col("id").alias("dst"), F.col("component").alias("other"))
+    inner = edges.select("src", "dst").where("src <> dst").distinct().join(a, "src").join(b, "dst").where("component = other")
+    inner = _cut(inner.select("component", F.col("src").alias("last"), "dst"))
+    # a path needs a greater node behind its first one, so the last of a component begins none
+    open_ = _cut(inner.where("dst > last").select("component", F.col("last").alias("first"), F.array("last", "dst").alias("path"), F.col("dst").alias("last")))
+    closed = []
+    for length in range(2, longest + 1):
+        steps = open_.join(inner, ["component", "last"])
+        found = steps.where(F.col("dst") == F.col("first")).select("component", F.lit(length).alias("length"), F.concat("path", F.array("first")).alias("path"))
+        closed.append(_cut(found))
+        ahead = steps.where((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst")))
+        open_ = _cut(ahead.select("component", "first", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last")))
+        if open_.isEmpty():
+            break
+    out = edges.where("src = dst and src is not null").select(F.col("src").alias("component"), F.lit(1).alias("length"), F.array("src", "dst").alias("path")).distinct()
+    out = out if loops else out.where("false")
+    for found in closed:
+        out = out.unionByName(found)
+    given_up = open_.select(F.col("component")).distinct().withColumn("more", F.lit(True))
+    rows = out.join(given_up, "component", "left").withColumn("more", F.coalesce("more", F.lit(False)))
+    bare = given_up.join(out.where("length > 1").select("component").distinct(), "component", "left_anti")
+    return rows.unionByName(bare.select("component", F.lit(None).cast("int").alias("length"), F.lit(None).cast(f"array<{kind}>").alias("path"), "more"))
+
+
+def depth_first(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry, id, place, depth, parent): the order in which a depth-first walk from each entry (id) first comes to each node, children by ``rank``.
+
+    A node's place in the walk is that of its least path, written as the ranks of its steps: every round hands on paths that have become less,
+    and a node keeps its least one. So all entries walk at once, in as many rounds as the deepest path that is ever least has steps. Edges (src, dst,
+    rank) of equal rank go by dst; an edge to a node that was met before leads nowhere. A path is as long as its node lies deep.
+    """
+    order = F.row_number().over(Window.partitionBy("src").orderBy("rank", "dst")).cast("int")
+    steps = _cut(edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("rank").alias("rank")).select("src", "dst", order.alias("step")))
+    start = entries.where("id is not null").select(F.col("id").alias("entry"), "id").distinct()
+    kind = entries.schema["id"].dataType.simpleString()
+    known = _cut(start.withColumn("key", F.expr("cast(array() as array<int>)")).withColumn("parent", F.lit(None).cast(kind)))
+    changed = known
+    while not changed.isEmpty():
+        ahead = changed.join(steps, F.col("id") == F.col("src")).select("entry", F.col("dst").alias("id"), F.concat("key", F.array("step")).alias("key"), F.col("src").alias("parent"))
+        best = ahead.groupBy("entry", "id").agg(F.min(F.struct("key", "parent")).alias("new"))
+        both = _cut(known.join(best, ["entry", "id"], "full"))
+        less = F.col("key").isNull() | (F.col("new.key") < F.col("key"))
+        pick = lambda c: F.when(less, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
+        changed = _cut(both.where(less).select("entry", "id", pick("key"), pick("parent")))
+        known = _cut(both.select("entry", "id", pick("key"), pick("parent")))
+    place = F.row_number().over(Window.partitionBy("entry").orderBy("key")) - 1
+    return known.select("entry", "id", place.alias("place"), F.size("key").alias("depth"), "parent")
+
+
+def flow_steps(edges: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(entry, place, id, next, is_exit): the steps of each entry's flow in depth-first order with what comes next after each: the node's own ``inner``
+    names (nodes: id, inner), then the nodes that the walk first met from it. A step without a next one is an exit. Ids that ``nodes`` lacks aren't met."""
+    known = nodes.select("id")
+    inside = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    walk = _cut(depth_first(inside, entries.join(known, "id", "left_semi")))
+    after = walk.where("parent is not null").groupBy("entry", F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("m"))
+    rows = walk.join(after, ["entry", "id"], "left").join(nodes.select("id", "inner"), "id")
+    names = lambda c: F.transform(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda x: x.cast("string"))
+    following = F.concat(names("inner"), F.coalesce(F.transform("m", lambda x: x["id"].cast("string")), F.expr("cast(array() as array<string>)")))
+    return rows.select("entry", "place", "id", following.alias("next"), (F.size(following) == 0).alias("is_exit"))
 
 
 def filtered(nodes: DataFrame, edges: DataFrame, keep, least_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001

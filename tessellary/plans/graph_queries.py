@@ -114,10 +114,7 @@ _MODULES = """m AS (SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst F
 @query("cycle_nodes", f"WITH RECURSIVE {_MODULES}, r AS (SELECT src AS a, dst AS b FROM m UNION SELECT r.a, m.dst FROM r JOIN m ON r.b = m.src) SELECT DISTINCT a AS id FROM r WHERE a = b")
 def cycle_nodes(t: Tables) -> DataFrame:
     """Nations that trade in a circle."""
-    named = t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    named = named.join(t.customer.select("c_custkey", F.col("c_nationkey").alias("src")), F.col("c_custkey") == F.col("o_custkey"))
-    named = named.join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("s_suppkey") == F.col("l_suppkey"))
-    return graph.cycle_nodes(named.select("src", "dst"))
+    return graph.cycle_nodes(trade(t))
 
 
 @query("graph_filter", f"""WITH {_SUPPLY}, n AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_size <= 25 UNION ALL SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 0)
@@ -184,3 +181,39 @@ def indirect_impact(t: Tables) -> DataFrame:
     near = direct.join(home, "page").groupBy("s_nationkey").agg(F.min("page").alias("via"))
     indirect = t.supplier.join(near, "s_nationkey").select(F.col("s_suppkey").alias("page"), F.lit(1).alias("hop"), "via")
     return graph.best_per_key(direct.union(indirect), ["page"], ["hop"])
+
+
+def trade(t: Tables) -> DataFrame:
+    """A row for each line: the buyer's nation (src) and the seller's (dst)."""
+    named = t.lineitem.select("l_orderkey", "l_suppkey").join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    named = named.join(t.customer.select("c_custkey", F.col("c_nationkey").alias("src")), F.col("c_custkey") == F.col("o_custkey"))
+    return named.join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("s_suppkey") == F.col("l_suppkey")).select("src", "dst")
+
+
+@query("cycle_paths", f"""WITH RECURSIVE {_MODULES}, r AS (SELECT src AS first, dst AS last, [src, dst] AS path FROM m WHERE src < dst
+      UNION ALL SELECT first, m.dst, path || [m.dst] FROM r JOIN m ON m.src = r.last WHERE m.dst > first AND NOT list_contains(path, m.dst) AND len(path) < 4),
+    g AS (SELECT src AS a, dst AS b FROM m UNION SELECT g.a, m.dst FROM g JOIN m ON g.b = m.src),
+    s AS (SELECT x.a AS id, max(x.b) AS component FROM g x JOIN g y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+    c AS (SELECT s.component, CAST(len(path) AS INT) AS length, path || [first] AS path FROM r JOIN m ON m.src = r.last AND m.dst = r.first JOIN s ON s.id = r.first WHERE len(path) <= 3),
+    o AS (SELECT DISTINCT s.component FROM r JOIN s ON s.id = r.first JOIN s z ON z.id = r.last AND z.component = s.component WHERE len(path) = 4)
+    SELECT component, length, array_to_string(path, '-') AS path, component IN (FROM o) AS more FROM c""")
+def cycle_paths(t: Tables) -> DataFrame:
+    """Circles of two or three trading nations."""
+    return graph.cycle_paths(trade(t), 3).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
+
+
+@query("depth_first_flow", """
+    WITH RECURSIVE n AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer c ON c_custkey = o_custkey
+           JOIN supplier s ON s_suppkey = l_suppkey WHERE c.c_nationkey <> s.s_nationkey GROUP BY ALL),
+    e AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM n QUALIFY rank <= 2),
+    w AS (SELECT n_nationkey AS entry, n_nationkey AS id, CAST([] AS BIGINT[]) AS key, [n_nationkey] AS path FROM nation WHERE n_regionkey = 1
+          UNION ALL SELECT entry, e.dst, key || [e.rank], path || [e.dst] FROM w JOIN e ON e.src = w.id WHERE NOT list_contains(path, e.dst)),
+    b AS (SELECT entry, id, min(key) AS key, arg_min(path, key) AS path FROM w GROUP BY entry, id)
+    SELECT entry, id, CAST(row_number() OVER (PARTITION BY entry ORDER BY key) - 1 AS INT) AS place, CAST(len(key) AS INT) AS depth, path[len(path) - 1] AS parent FROM b""")
+def depth_first_flow(t: Tables) -> DataFrame:
+    """Depth-first walks from a region's nations, each nation leading to the two that it buys from most."""
+    counted = trade(t).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ranked = graph.best_per_key(counted, ["src"], [F.desc("n"), F.col("dst")]).withColumn("rank", F.lit(1))
+    second = graph.best_per_key(counted.join(ranked.select("src", "dst"), ["src", "dst"], "left_anti"), ["src"], [F.desc("n"), F.col("dst")]).withColumn("rank", F.lit(2))
+    edges = ranked.unionByName(second).select("src", "dst", "rank")
+    return graph.depth_first(edges, t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("id")))
