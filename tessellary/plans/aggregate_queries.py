@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import changes, code_graph, quality
+from ..operators import aggregates, changes, code_graph, quality
 from .registry import Tables, query
 
 
@@ -213,3 +213,13 @@ def rename_percentage(t: Tables) -> DataFrame:
 def keyword_frequency(t: Tables) -> DataFrame:
     rows = t.documents.select(F.explode(tx.keywords(F.col("text"), ("",))).alias("keyword"))
     return rows.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+
+
+@query("user_defined_aggregates", """SELECT l_suppkey, round(var_pop(l_quantity), 6) AS spread, round(exp(avg(ln(l_extendedprice))), 4) AS middle,
+    array_to_string(list_slice(list_reverse_sort(list_distinct(list(l_orderkey))), 1, 3), ',') AS latest FROM lineitem GROUP BY l_suppkey""")
+def user_defined_aggregates(t: Tables) -> DataFrame:
+    """Three aggregates that are defined by how their states merge, for each supplier."""
+    found = aggregates.aggregated(t.lineitem, ["l_suppkey"], {
+        "spread": aggregates.variance("l_quantity"), "middle": aggregates.geometric_mean("l_extendedprice"), "latest": aggregates.top("l_orderkey", 3),
+    })
+    return found.select("l_suppkey", F.round("spread", 6).alias("spread"), F.round("middle", 4).alias("middle"), F.array_join(F.transform("latest", lambda x: x.cast("string")), ",").alias("latest"))
