@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
+from .knowledge import reading_minutes
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -238,6 +239,51 @@ def flow_steps(edges: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataFr
     return rows.select("entry", "place", "id", following.alias("next"), (F.size(following) == 0).alias("is_exit"))
 
 
+def parallel_groups(edges: DataFrame, items: DataFrame) -> DataFrame:
+    """(groups): how many steps deep depth-first walks go that begin at all ``items`` (id) in order and go on to what they depend on, each item met once.
+
+    Edges (src, dst, rank) lead from an item to those that it needs; one group if nothing depends on anything. No items, one group.
+    """
+    named = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("rank").cast("long").alias("rank"))
+    ids = items.where("id is not null").select("id").distinct()
+    place = F.row_number().over(Window.orderBy("id"))  # ids alone
+    root = F.lit("\u0001")
+    starts = ids.select(root.alias("src"), F.col("id").cast("string").alias("dst"), place.cast("long").alias("rank"))
+    walk = depth_first(named.unionByName(starts), edges.sparkSession.range(1).select(root.alias("id")))
+    return walk.agg(F.greatest(F.lit(1), F.max("depth")).alias("groups"))
+
+
+def learning_path(edges: DataFrame, nodes: DataFrame, start: object, end: object) -> DataFrame:
+    """(position, id, minutes, prerequisites, total_minutes, difficulty) of a shortest path, edges taken both ways; no rows if there is none.
+
+    Nodes are (id, type, importance, stability). A path is advanced with a pattern, a decision, a deprecated node or a mean importance over 0.7, intermediate
+    over 0.4, else for beginners.
+    """
+    way = shortest_paths(undirected(edges), start).where(F.col("id") == F.lit(end)).select(F.posexplode("path").alias("position", "id"))
+    rows = way.join(nodes.select("id", "type", "importance", "stability"), "id").withColumn("minutes", reading_minutes(F.col("type"), F.col("importance")))
+    whole = Window.partitionBy(F.lit(1))  # one path
+    hard = F.max(F.coalesce(F.col("type").isin("pattern", "decision") | (F.col("stability") == "deprecated"), F.col("type").isin("pattern", "decision"), F.lit(False))).over(whole)
+    mean = F.avg("importance").over(whole)
+    level = F.when(hard | (mean > 0.7), "advanced").when(mean > 0.4, "intermediate").otherwise("beginner")
+    before = F.lag("id").over(Window.orderBy("position"))
+    needs = F.when(before.isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array(before.cast("string")))
+    return rows.select("position", "id", "minutes", needs.alias("prerequisites"), F.sum("minutes").over(whole).alias("total_minutes"), level.alias("difficulty"))
+
+
+def impact_chains(direct: DataFrame, indirect: DataFrame) -> DataFrame:
+    """(root, items, length, severity) of each direct impact (path, level) and the indirect ones (path, level, affected_by: array) that name it.
+
+    A chain has two items at least; it is high with one of high level, medium with two of medium, else low. Items are the root, then the rest by path.
+    """
+    follows = indirect.select("path", "level", F.explode(F.array_distinct("affected_by")).alias("root"))
+    parts = follows.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("path", "level"))).alias("rest"))
+    both = direct.select(F.col("path").alias("root"), F.col("level").alias("own")).join(parts, "root")
+    levels = F.concat(F.array("own"), F.col("rest.level"))
+    count = lambda level: F.size(F.filter(levels, lambda x: x == level))
+    severity = F.when(count("high") > 0, "high").when(count("medium") > 1, "medium").otherwise("low")
+    return both.select("root", F.concat(F.array("root"), F.col("rest.path")).alias("items"), F.size(levels).alias("length"), severity.alias("severity"))
+
+
 def filtered(nodes: DataFrame, edges: DataFrame, keep, least_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """Nodes that meet ``keep`` and edges of at least that weight both of whose ends are kept."""
     kept = nodes.where(keep)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import relations
+from ..operators import decisions, graph, relations
+from ..sources import code
 from .registry import Tables, query
 
 _SPACES = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -62,3 +63,50 @@ def inferred_by_vectors(t: Tables) -> DataFrame:
     none = t.embeddings.where("false").select(F.col("vec_id").alias("source"), F.col("vec_id").alias("target"))
     found = relations.inferred_by_vectors(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), none)
     return found.withColumn("weight", F.round("weight", 6))
+
+
+_MESSAGES = """m AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN 'feat(users): add ' || props WHEN event_type = 'error' THEN 'Fix(core): redesign ' || user_id WHEN event_type = 'view' THEN 'We replaced ' || user_id ELSE event_type || ': ' || user_id END
+    || chr(10) || chr(10) || 'About ' || user_id || chr(10) || chr(10) || CASE WHEN value > 50 THEN 'Reason: ' ELSE 'Note: ' END || value || chr(10) AS m FROM events)"""
+
+
+@query("commit_decisions", f"""WITH {_MESSAGES}, p AS (SELECT event_id, trim(string_split(m, chr(10))[1]) AS first, m FROM m),
+    c AS (SELECT *, regexp_extract(first, '{{0}}', 1) AS kind, replace(replace(regexp_extract(first, '{{0}}', 2), '(', ''), ')', '') AS scope, regexp_extract(first, '{{0}}', 3) AS subject,
+                 coalesce(list_extract(list_filter(string_split(m, chr(10) || chr(10)), lambda x: regexp_matches(x, '(?i)^(why|reason|context|background)')), 1), '') AS why FROM p),
+    k AS (SELECT *, CASE WHEN kind <> '' THEN subject ELSE first END AS decision, trim(regexp_replace(rtrim(why, chr(10)), '(?i)^(why|reason|context|background):?\\s*', '')) AS context FROM c
+          WHERE CASE WHEN kind <> '' THEN kind IN ('feat', 'refactor') OR regexp_matches(subject, '(?i)architect|design|decision')
+                ELSE regexp_matches(first, '(?i){"|".join(decisions.WORDS)}') END)
+    SELECT event_id, CASE WHEN scope <> '' THEN '[' || scope || '] ' || subject ELSE decision END AS title, decision, context,
+           round(0.6 + CASE WHEN length(CASE WHEN scope <> '' THEN '[' || scope || '] ' || subject ELSE decision END) > 10 THEN 0.1 ELSE 0 END + CASE WHEN length(context) > 10 THEN 0.15 ELSE 0 END, 6)::DOUBLE AS confidence
+    FROM k""".replace("{0}", decisions.CONVENTIONAL))
+def commit_decisions(t: Tables) -> DataFrame:
+    """Decisions in messages that events are written up as."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    first = F.when(kind == "signup", F.concat(F.lit("feat(users): add "), "props")).when(kind == "error", F.concat(F.lit("Fix(core): redesign "), user)).when(kind == "view", F.concat(F.lit("We replaced "), user)).otherwise(F.concat(kind, F.lit(": "), user))
+    label = F.when(F.col("value") > 50, "Reason: ").otherwise("Note: ")
+    message = F.concat(first, F.lit("\n\nAbout "), user, F.lit("\n\n"), label, F.col("value").cast("string"), F.lit("\n"))
+    return decisions.from_commits(t.events.select("event_id", message.alias("m")), "event_id", "m").drop("topics")
+
+
+@query("impact_chains", """
+    WITH d AS (SELECT c_custkey AS root, CASE WHEN c_acctbal < -900 THEN 'high' WHEN c_acctbal < 2000 THEN 'medium' ELSE 'low' END AS level FROM customer),
+    i AS (SELECT o_custkey AS root, CASE WHEN o_totalprice > 400000 THEN 'high' WHEN o_totalprice > 200000 THEN 'medium' ELSE 'low' END AS level FROM orders),
+    a AS (SELECT root, level FROM d WHERE root IN (SELECT root FROM i) UNION ALL SELECT root, level FROM i WHERE root IN (SELECT root FROM d))
+    SELECT root, CAST(count(*) AS INT) AS length, CASE WHEN count(*) FILTER (level = 'high') > 0 THEN 'high' WHEN count(*) FILTER (level = 'medium') > 1 THEN 'medium' ELSE 'low' END AS severity FROM a GROUP BY root""")
+def impact_chains(t: Tables) -> DataFrame:
+    """Customers as direct impacts and their orders as indirect ones."""
+    level = lambda c, high, medium: F.when(high, "high").when(medium, "medium").otherwise("low").alias("level")
+    balance, price = F.col("c_acctbal"), F.col("o_totalprice")
+    direct = t.customer.select(F.col("c_custkey").alias("path"), level("c", balance < -900, balance < 2000))
+    indirect = t.orders.select(F.col("o_orderkey").alias("path"), level("o", price > 400000, price > 200000), F.array("o_custkey").alias("affected_by"))
+    return graph.impact_chains(direct, indirect).select("root", "length", "severity")
+
+
+@query("script_declarations", """
+    WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS script, generate_subscripts(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), 1) AS n FROM pages),
+    d AS (SELECT page_id, n, unnest(regexp_extract_all(regexp_replace(script, '"[^"]*"', '""', 'g'), '\\b(var|let|const|function|class)\\s+[A-Za-z_$][\\w$]*')) AS d FROM s)
+    SELECT page_id, string_split(d, ' ')[2] AS name, CASE string_split(d, ' ')[1] WHEN 'const' THEN 'constant' WHEN 'var' THEN 'variable' WHEN 'let' THEN 'variable' ELSE string_split(d, ' ')[1] END AS kind FROM d""")
+def script_declarations(t: Tables) -> DataFrame:
+    """What the scripts of pages declare at their top level; strings may hold tags and quotes."""
+    scripts = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("n", "content"))
+    files = scripts.select(F.concat_ws(":", F.col("page_id").cast("string"), F.col("n").cast("string")).alias("path"), F.lit("typescript").alias("language"), "content")
+    return code.symbols(files).select(F.substring_index("path", ":", 1).cast("long").alias("page_id"), "name", "kind")
