@@ -56,12 +56,12 @@ def inferred_by_likeness(t: Tables) -> DataFrame:
 @query("inferred_by_vectors", """
     WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-    k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE score > 0.7),
+    k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE score > 0.3),
     p AS (SELECT least(a, b) AS x, greatest(a, b) AS y, min({'a': a, 'b': b, 'score': score}) AS e FROM k WHERE r <= 5 GROUP BY ALL)
     SELECT e.a AS source, e.b AS target, 'related-to' AS type, round(e.score * 0.5, 6) AS weight FROM p""")
 def inferred_by_vectors(t: Tables) -> DataFrame:
     none = t.embeddings.where("false").select(F.col("vec_id").alias("source"), F.col("vec_id").alias("target"))
-    found = relations.inferred_by_vectors(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), none)
+    found = relations.inferred_by_vectors(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), none, least=0.3)
     return found.withColumn("weight", F.round("weight", 6))
 
 
