@@ -2,10 +2,11 @@
 
 The standard library's parser streams its events into blocks, the lines of the page. Each line has a ratio of
 characters to tags; the ratios are smoothed by a Gaussian kernel and lines at or over their standard deviation
-form the content cluster. The element that holds this cluster is the content region, and the region's
-blocks, short ones included, are the text, but for elements that are something else than the article by their tag or role. A class
-or id that says so counts as a whole name only, and not against the cluster: where no other part of the page is an article by its tag,
-an element that holds half of the cluster is no boilerplate.
+form the content cluster. The element that holds most of this cluster is its core, whose blocks, short ones included, are the
+text; outside it the cluster's lines of high ratios of their own are, and headings and paragraphs, unless they are links. Where elements are an article by their tag, only
+what lies in them counts. Elements that are something else by their tag or role are left out. A form, or a class or id that says so,
+counts as a whole name only, and not against the cluster: where no other part of the page is an article by its tag, an element that
+holds half of the cluster is no boilerplate.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ BLOCK = frozenset(
     "thead title tr ul".split()
 )
 NEVER = frozenset(
-    "script style noscript template svg math iframe object canvas audio video head title nav footer aside form button select "
-    "textarea input fieldset dialog menu search".split()
+    "script style noscript template svg math iframe object canvas audio video head title nav footer aside button select "
+    "textarea input label legend datalist output dialog menu search".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 REGION = frozenset("article main".split())
 CONTAINERS = frozenset("article body center div html main section table td".split())
+PROSE = HEADING | frozenset("p blockquote figcaption pre dd".split())
 CLOSES_P = BLOCK - frozenset("body head html option caption tbody td tfoot th thead tr".split())
 SIBLINGS = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "table tr"),
@@ -107,8 +109,10 @@ class _Line:
 class PageLines(HTMLParser):
     """Turns parser events into lines; unclosed and misnested elements are closed as browsers do."""
 
-    def __init__(self) -> None:
+    def __init__(self, unclosed: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.unclosed = unclosed  # marked elements, by key, that an article inside them ends
+        self.doubtful: set[int] = set()  # those around an article that no end tag has closed yet
         self.lines: list[_Line] = []
         self.stack: list[_Element] = []
         self.open: Counter[str] = Counter()
@@ -150,7 +154,7 @@ class PageLines(HTMLParser):
         if name == "header":
             return "header"
         if not attrs:
-            return ""
+            return "soft" if name == "form" else ""
         given = {k: v or "" for k, v in attrs}
         if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display:\s*none|visibility:\s*hidden", given.get("style", "")):
             return "other"
@@ -158,7 +162,7 @@ class PageLines(HTMLParser):
             return "other"
         if name in ("body", "html", "main"):
             return ""
-        mark = _mark(f"{given.get('class', '')} {given.get('id', '')}")
+        mark = _mark(f"{given.get('class', '')} {given.get('id', '')}") or ("soft" if name == "form" else "")
         return "" if mark == "header" and (name in HEADING or name in REGION) else mark
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -180,8 +184,13 @@ class PageLines(HTMLParser):
             self._close(tuple(ends.split()), tuple(within.split()))
         kind = self._kind(name, attrs)
         if name in REGION and not kind and self.kinds and self.kinds[0].kind != "comments":
-            # an article that begins inside an unclosed menu or advert ends it; one inside reader comments is a comment
-            self._drop(next(i for i, e in enumerate(self.stack) if e is self.kinds[0]))
+            # an article that begins inside an unclosed menu or advert ends it; one inside a closed one is a part of it, and one inside reader
+            # comments a comment
+            outer = self.kinds[0]
+            if outer.key in self.unclosed:
+                self._drop(next(i for i, e in enumerate(self.stack) if e is outer))
+            else:
+                self.doubtful.add(outer.key)
         around = self.stack[-1] if self.stack else _Page
         region = kind in ("", "soft") and (name in REGION or bool(attrs) and dict(attrs).get("role") == "main")
         self.around.append(around.key)
@@ -219,6 +228,7 @@ class PageLines(HTMLParser):
         for i in range(len(self.stack) - 1, -1, -1) if self.open[name] else ():
             e = self.stack[i]
             if e.name == name:
+                self.doubtful.discard(e.key)
                 if name in BLOCK or e.kind:
                     self._drop(i)
                     self._cut()
@@ -251,7 +261,8 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     """The main text of one page.
 
-    ``share`` is the part of the content cluster's characters that the region's element holds at least.
+    ``share`` is the part of the content cluster's characters that its core holds at least; it decides which short lines
+    come along, never whether a line of the cluster, a heading or a paragraph does.
     Null, empty and text-free pages give an empty text; plain text without tags is its own content.
     """
     if not html:
@@ -259,11 +270,16 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     parser = PageLines()
     parser.feed(html)
     parser.close()
+    if parser.doubtful:
+        parser = PageLines(frozenset(parser.doubtful))  # keys are the same, as they count start tags
+        parser.feed(html)
+        parser.close()
     lines = [(x, " ".join("".join(x.pieces).split())) for x in parser.lines]
     lines = [(x, text) for x, text in lines if text]
     if not lines:
         return ""
-    ratios = smoothed([len(text) / max(1, x.tags) for x, text in lines], sigma)
+    own = [len(text) / max(1, x.tags) for x, text in lines]
+    ratios = smoothed(own, sigma)
     mean = sum(ratios) / len(ratios)
     threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
     kept = [x.of.kept and not (x.of.listed and not x.of.region and x.links >= 0.9 * len(text)) for x, text in lines]
@@ -287,19 +303,33 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
         return ""
     inside, total = held(content)
     # elements that hold so much lie in one another, the innermost has the greatest key
-    region = innermost = max(key for key, n in enumerate(inside) if n >= share * total)
+    core = innermost = max(key for key, n in enumerate(inside) if n >= share * total)
     regions = {x.of.region for x, _ in lines if x.of.region}
-    while region and region not in regions:
-        region = parser.around[region]
-    if not region:
+    while core and core not in regions:
+        core = parser.around[core]
+    if not core:
         # a single paragraph may hold the cluster; its title and short neighbours lie in the container around it
-        region = innermost
-        while region and parser.names[region] not in CONTAINERS:
-            region = parser.around[region]
+        core = innermost
+        while core and parser.names[core] not in CONTAINERS:
+            core = parser.around[core]
     last = list(range(len(parser.around)))
     for key in range(len(last) - 1, 0, -1):
         last[parser.around[key]] = max(last[parser.around[key]], last[key])
-    return " ".join(text for (x, text), k in zip(lines, kept, strict=True) if k and region <= x.of.key <= last[region])
+    cluster = set(content)
+
+    def belongs(i: int) -> bool:
+        x, text = lines[i]
+        if core <= x.of.key <= last[core]:
+            return True
+        if named and not x.of.region:
+            return False  # outside all articles of a page that has one
+        key = x.of.key
+        while key and parser.names[key] not in BLOCK:
+            key = parser.around[key]
+        # a line's neighbours may have lifted it into the cluster; its own ratio must be as high
+        return 2 * x.links < len(text) and (i in cluster and own[i] >= threshold or parser.names[key] in PROSE)
+
+    return " ".join(text for i, (_, text) in enumerate(lines) if kept[i] and belongs(i))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
