@@ -3,7 +3,8 @@
 The standard library's parser streams its events into blocks, the lines of the page. Each line has a ratio of
 characters to tags; the ratios are smoothed by a Gaussian kernel and lines at or over their standard deviation
 form the content cluster. The element that holds most of this cluster is its core, whose blocks, short ones included, are the
-text; outside it the cluster's lines of high ratios of their own are, and headings and paragraphs, unless they are links. Where elements are an article by their tag, only
+text; outside it the cluster's lines of high ratios of their own are, and headings, and paragraphs with no
+fewer characters than tags, unless they are links. Where elements are an article by their tag, only
 what lies in them counts. Elements that are something else by their tag or role are left out. A form, or a class or id that says so,
 counts as a whole name only, and not against the cluster: where no other part of the page is an article by its tag, an element that
 holds half of the cluster is no boilerplate.
@@ -326,8 +327,9 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
         key = x.of.key
         while key and parser.names[key] not in BLOCK:
             key = parser.around[key]
-        # a line's neighbours may have lifted it into the cluster; its own ratio must be as high
-        return 2 * x.links < len(text) and (i in cluster and own[i] >= threshold or parser.names[key] in PROSE)
+        # a line's neighbours may have lifted it into the cluster; its own ratio must be as high, that of a short paragraph at least 1
+        least = 0.0 if parser.names[key] in HEADING else 1.0 if parser.names[key] in PROSE else math.inf
+        return 2 * x.links < len(text) and own[i] >= min(least, threshold if i in cluster else math.inf)
 
     return " ".join(text for i, (_, text) in enumerate(lines) if kept[i] and belongs(i))
 
