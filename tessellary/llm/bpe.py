@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,11 +21,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import pre_tokenizers
 
 from .common import give_back
 
-# Fixed value: the public pattern that splits text before byte-level merges.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the public pattern that splits text before byte-level merges, with the classes of letters and numbers left open.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"""
+#: Code points that may be letters or numbers: the first four planes.
+CLASSED = 0x40000
 #: Words, and stretches between spaces, whose tokens a Python worker remembers; then it begins anew. Those of more characters than LONGEST
 #: aren't remembered, which bounds what is held to some 500 bytes each.
 REMEMBERED, LONGEST = 400_000, 64
@@ -39,6 +43,43 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _ranges(members: np.ndarray) -> str:
+    """A set of code points as the inside of a character class."""
+    edges = np.flatnonzero(np.diff(np.append(members, False).astype(np.int8), prepend=0)).reshape(-1, 2)
+    return "".join(rf"\U{a:08x}-\U{b - 1:08x}" for a, b in edges.tolist())
+
+
+@lru_cache(maxsize=1)
+def word_patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern]:
+    """``PATTERN`` by the classes of the regex library, by those of the tokenizers library's version of Unicode, and the characters that differ.
+
+    The tokenizers library's own splitter is asked for all code points: one that stays together with an "a" before it is a letter, with a "1" a
+    number. The first pattern is faster and right for texts without a differing character, whatever version the executor's libraries have.
+    """
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    points = [c for c in range(CLASSED) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+
+    def theirs(before: str) -> np.ndarray:
+        found = np.zeros(CLASSED, bool)
+        for low in range(0, len(points), 4096):
+            part = points[low : low + 4096]
+            text = "".join(f"{before}{chr(c)}\n" for c in part)  # three characters each; the line's end is white space, so nothing joins the next
+            found[[part[begin // 3] for _, (begin, end) in split(text) if begin % 3 == 0 and end == begin + 2]] = True
+        return found
+
+    def ours(name: str) -> np.ndarray:
+        found = np.zeros(CLASSED, bool)
+        for m in regex.finditer(rf"\p{{{name}}}+", every):
+            found[points[m.start() : m.end()]] = True
+        return found
+
+    letters, numbers = theirs("a"), theirs("1")
+    differing = (letters != ours("L")) | (numbers != ours("N"))
+    usual, exact = (regex.compile(PATTERN.replace("{L}", x).replace("{N}", y)) for x, y in ((r"\p{L}", r"\p{N}"), (_ranges(letters), _ranges(numbers))))
+    return usual, exact, re.compile(f"[{_ranges(differing)}]" if differing.any() else "(?!)")
+
+
 class Tokenizer:
     """Encodes and decodes as the vocabulary file says: added tokens, byte-level pre-tokens, merges by rank."""
 
@@ -51,7 +92,7 @@ class Tokenizer:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         special = "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))
         self.special = regex.compile(f"({special})") if special else None
-        self.words = regex.compile(PATTERN)
+        self.words, self.exact_words, self.differing = word_patterns()
         self.ids = {raw(t): i for t, i in model["vocab"].items() if t not in self.added}
         size = max([*self.ids.values(), *self.added.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
@@ -223,7 +264,7 @@ class Tokenizer:
 
     def _words(self, texts: list[str]) -> list[tuple[int, ...]]:
         """Tokens of texts without added tokens, by the pattern and what is known of its words."""
-        split = [self.words.findall(t) for t in texts]
+        split = [(self.exact_words if self.differing.search(t) else self.words).findall(t) for t in texts]
         new = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
