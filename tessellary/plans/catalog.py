@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregate_queries, change_queries, graph_queries, knowledge_queries, log_queries, relation_queries, search_queries, service_queries, stream_queries, text_queries  # noqa: F401
+from . import aggregate_queries, change_queries, graph_queries, knowledge_queries, log_queries, relation_queries, search_queries, service_queries, store_queries, stream_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
