@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import decisions, graph, relations
+from ..operators import decisions, graph, intents, relations
 from ..sources import code
 from .registry import Tables, query
 
@@ -110,3 +110,20 @@ def script_declarations(t: Tables) -> DataFrame:
     scripts = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("n", "content"))
     files = scripts.select(F.concat_ws(":", F.col("page_id").cast("string"), F.col("n").cast("string")).alias("path"), F.lit("typescript").alias("language"), "content")
     return code.symbols(files).select(F.substring_index("path", ":", 1).cast("long").alias("page_id"), "name", "kind")
+
+
+_LAYER = "CASE " + " ".join(f"WHEN regexp_matches(name, '(?i){p}') OR regexp_matches(html, '(?i){p}') THEN '{of}'" for p, of in intents.LAYERS) + " ELSE 'unknown' END"
+_DESIGNS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '(?i){p}') THEN '{n}' END" for p, n in intents.PATTERNS) + "], lambda x: x IS NOT NULL)"
+
+
+@query("page_intents", f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, list_extract(string_split(url, '/'), -1) AS name FROM pages),
+    c AS (SELECT *, coalesce(list_extract(regexp_extract_all(html, '{intents.BLOCK}') || regexp_extract_all(html, '{intents.LINE}'), 1), '') AS comment,
+          lower(array_to_string(list_filter(string_split_regex(regexp_replace(name, '\\.[^.]+$', ''), '[._-]'), lambda x: lower(x) NOT IN ('{"', '".join(intents.PLAIN)}')), ' ')) AS made FROM p),
+    i AS (SELECT page_id, coalesce(nullif(trim(regexp_extract(comment, '{intents.PURPOSE}', 1)), ''), nullif(made, ''), 'unknown') AS intent, {_LAYER} AS layer, {_DESIGNS} AS d FROM c)
+    SELECT page_id, intent, layer, array_to_string(d, ',') AS patterns, round(0.3 + CASE WHEN intent <> 'unknown' THEN 0.2 ELSE 0 END + CASE WHEN len(d) > 0 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS confidence FROM i""")
+def page_intents(t: Tables) -> DataFrame:
+    """What pages are for, by the rules for source files: their address names them, their markup is the text."""
+    files = t.pages.select(F.concat_ws("/", F.col("page_id").cast("string"), F.substring_index("url", "/", -1)).alias("path"), F.col("html").alias("content"))
+    found = intents.intents(files)
+    return found.select(F.substring_index("path", "/", 1).cast("long").alias("page_id"), "intent", "layer", F.array_join("patterns", ",").alias("patterns"), "confidence")
