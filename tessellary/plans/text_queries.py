@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import code_graph, commits, linediff, quality, textdiff
+from ..operators import code_graph, commits, linediff, pages, quality, textdiff
 from .registry import Tables, query
 
 
@@ -247,3 +247,15 @@ def module_of_path(t: Tables) -> DataFrame:
 @query("quality_label_lift", f"WITH {_SCORES} SELECT quality, count(*) AS n, round(avg(overall), 6) AS mean FROM o JOIN labels USING (doc_id) GROUP BY quality")
 def quality_label_lift(t: Tables) -> DataFrame:
     return scores(t).join(t.labels, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall"), 6).alias("mean"))
+
+
+@query("split_texts", """
+    WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, text, 0 AS n, CAST(0 AS BIGINT) AS low, CAST(NULL AS VARCHAR) AS part FROM d
+          UNION ALL SELECT doc_id, text, n + 1, low + length(p), p FROM (
+            SELECT doc_id, text, n, low, CASE WHEN last_line > 2400 AND low + 3000 < length(text) THEN substr(text, low + 1, last_line) ELSE substr(text, low + 1, 3000) END AS p FROM (
+              SELECT *, length(substr(text, low + 1, 3000)) - position(chr(10) IN reverse(substr(text, low + 1, 3000))) AS last_line FROM c) WHERE low < length(text)))
+    SELECT doc_id, CAST(n - 1 AS INT) AS n, md5(part) AS part FROM c WHERE n > 0 AND length(part) > 0 UNION ALL SELECT doc_id, 0, md5('') FROM d WHERE text = ''""")
+def split_texts(t: Tables) -> DataFrame:
+    """Documents in parts of at most 3,000 characters, cut before a line break where one is near."""
+    return pages.split_texts(t.documents, "doc_id", "text", 3000).select("doc_id", "n", F.md5(F.col("part").cast("binary")).alias("part"))
