@@ -76,6 +76,8 @@ def word_patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern]:
 
     letters, numbers = theirs("a"), theirs("1")
     differing = (letters != ours("L")) | (numbers != ours("N"))
+    if differing[:256].any():
+        raise ValueError("the libraries class characters of Latin-1 differently")
     usual, exact = (regex.compile(PATTERN.replace("{L}", x).replace("{N}", y)) for x, y in ((r"\p{L}", r"\p{N}"), (_ranges(letters), _ranges(numbers))))
     return usual, exact, re.compile(f"[{_ranges(differing)}]" if differing.any() else "(?!)")
 
@@ -262,9 +264,17 @@ class Tokenizer:
             self.known[word] = tuple(map(number.__getitem__, exact[i] if i in exact else tokens[at : at + n]))
             at += n
 
+    def _differs(self, text: str) -> bool:
+        """Whether a text has a character that the two libraries class differently; none of Latin-1 is, which is seen faster."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.differing.search(text) is not None
+        return False
+
     def _words(self, texts: list[str]) -> list[tuple[int, ...]]:
         """Tokens of texts without added tokens, by the pattern and what is known of its words."""
-        split = [(self.exact_words if self.differing.search(t) else self.words).findall(t) for t in texts]
+        split = [(self.words if t.isascii() or not self._differs(t) else self.exact_words).findall(t) for t in texts]
         new = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
