@@ -140,6 +140,24 @@ def similar_items(items: DataFrame, key: str, text: str, least: float) -> DataFr
     return apart.unionByName(copies)
 
 
+def similar_classes(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """(id, class, n_links): for each item the least id among those of equal word sets, and how many other items its word set is over ``least`` like.
+
+    Copies are one class and compared once, and their links are counted, never written as pairs; so the result has a row an item however
+    many copies there are. Items without words and null texts have no class and no links; null keys are left out.
+    """
+    bag = F.md5(F.array_join(F.array_sort(tx.word_set(F.col(text))), " ").cast("binary"))
+    rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.when(F.size(tx.word_set(F.col(text))) > 0, bag).alias("bag"))
+    rows = _cut(rows)
+    first = rows.where("bag is not null").groupBy("bag").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members"))
+    distinct = rows.join(first.select(F.col("class").alias("id"), "bag"), ["id", "bag"], "left_semi").dropDuplicates(["id"])
+    pairs = similar_pairs(distinct, "id", "text", least).select("a", "b")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(first.select(F.col("class").alias("b"), "members"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("members").alias("near"))
+    of = first.join(near, "class", "left").select("bag", "class", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
+    return rows.select("id", "bag").join(of, "bag", "left").select("id", "class", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+
+
 def consolidated(items: DataFrame, key: str, kind: str, text: str, order: Column, least: float) -> DataFrame:
     """(id, kept): items merged into a better one of their kind whose word sets are over ``least`` alike, greedily in the stated order, ties by key.
 

@@ -259,3 +259,14 @@ def quality_label_lift(t: Tables) -> DataFrame:
 def split_texts(t: Tables) -> DataFrame:
     """Documents in parts of at most 3,000 characters, cut before a line break where one is near."""
     return pages.split_texts(t.documents, "doc_id", "text", 3000).select("doc_id", "n", F.md5(F.col("part").cast("binary")).alias("part"))
+
+
+@query("word_jaccard_classes", """
+    WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS word FROM documents),
+    n AS (SELECT doc_id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY word)) AS bag FROM w GROUP BY doc_id), c AS (SELECT bag, min(doc_id) AS class FROM n GROUP BY bag),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM w x JOIN w y ON x.word = y.word AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, count(*) AS links FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / (x.n + y.n - shared) > 0.3 GROUP BY a)
+    SELECT d.doc_id AS id, c.class, coalesce(links, 0) AS n_links FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (bag) LEFT JOIN l ON l.a = d.doc_id""")
+def word_jaccard_classes(t: Tables) -> DataFrame:
+    """Each document's class of equal word sets, and how many others have a Jaccard similarity over 0.3; a row a document, however many copies there are."""
+    return code_graph.similar_classes(t.documents, "doc_id", "text", 0.3)

@@ -107,3 +107,10 @@ def test_near_duplicates_are_merged_greedily(spark):
     whole = {r.id for r in catalog.queries()["consolidate_near_dupes"](spark, "/root/testdata/sf0.01").collect()}
     assert whole == {i for i in want if i < 5000}
     print("merged", len(whole))
+
+
+def test_copies_are_counted_not_paired(spark):
+    rows = [(i, "one two three four") for i in range(2000)] + [(3000, "ONE two three  four five"), (3001, "six"), (3002, ""), (3003, None), (None, "six")]
+    got = {r.id: (r["class"], r.n_links) for r in code_graph.similar_classes(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.6).collect()}
+    assert len(got) == 2004
+    assert (got[0], got[1999], got[3000], got[3001], got[3002], got[3003]) == ((0, 2000), (0, 2000), (3000, 2000), (3001, 0), (None, 0), (None, 0))
