@@ -147,3 +147,14 @@ def conflicted(status: Column) -> Column:
     """Paths that both sides changed or added, of the lines of a short git status."""
     lines = F.filter(F.split(status, "\n"), lambda x: x.rlike("^(UU|AA) "))
     return F.transform(lines, lambda x: F.trim(F.substring(x, 4, 1 << 20)))
+
+
+def union_nodes(of_type: dict[str, DataFrame], name: dict[str, str]) -> DataFrame:
+    """(type, name, importance) of all nodes of several tables, each of one type with its own name column; nothing is merged."""
+    out = None
+    for kind, nodes in of_type.items():
+        rows = nodes.select(F.lit(kind).alias("type"), F.col(name[kind]).alias("name"), F.col("importance").cast("double").alias("importance"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no tables of nodes")
+    return out

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import decisions, graph, intents, relations
+from ..operators import decisions, graph, intents, knowledge, relations
 from ..sources import code
-from .registry import Tables, query
+from . import aggregate_queries, knowledge_queries  # noqa: F401 - registered before
+from .registry import ORACLES, QUERIES, Tables, query
 
 _SPACES = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 _CAPTURES = " || ".join(f"list_transform(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1), lambda x: {{'rank': {i}, 'key': lower(x)}})" for i, (_, p) in enumerate(relations.PATTERNS))
@@ -127,3 +128,11 @@ def page_intents(t: Tables) -> DataFrame:
     files = t.pages.select(F.concat_ws("/", F.col("page_id").cast("string"), F.substring_index("url", "/", -1)).alias("path"), F.col("html").alias("content"))
     found = intents.intents(files)
     return found.select(F.substring_index("path", "/", 1).cast("long").alias("page_id"), "intent", "layer", F.array_join("patterns", ",").alias("patterns"), "confidence")
+
+
+@query("knowledge_nodes", f"""SELECT 'concept' AS type, name, importance::DOUBLE AS importance FROM ({ORACLES["concepts"]})
+    UNION ALL SELECT 'pattern', pattern, importance::DOUBLE FROM ({ORACLES["pattern_nodes"]})""")
+def knowledge_nodes(t: Tables) -> DataFrame:
+    """Concepts and patterns of parts as nodes of one graph."""
+    tables = {"concept": QUERIES["concepts"](t.spark, t.sf_dir), "pattern": QUERIES["pattern_nodes"](t.spark, t.sf_dir)}
+    return knowledge.union_nodes(tables, {"concept": "name", "pattern": "pattern"})

@@ -154,3 +154,32 @@ def test_suites_cases_and_assertions(spark):
         ("b", "suite", "CalcTest", None, None, []), ("b", "case", "adds", "CalcTest", None, ["assertEquals(4, add(2, 2))"]),
         ("b", "case", "many", "CalcTest", None, []),
     ]
+
+
+MODULE = """
+import fs from 'fs'; import type { A, B as C } from "./types";
+import React, { useState } from 'react'
+import * as path from '/abs/path';
+import './side-effect';
+// import { no } from 'comment'
+const s = "import { nor } from 'string'"; const lazy = import('later'); x.import
+export { one, two as three } from './two'; export * from './all'; export * as names from './names'
+export default class Main {}
+export const limit = 1; export async function run() {}
+export type { Kind }
+{ export_me() }
+"""
+
+
+def test_imports_and_exports(spark):
+    from tessellary.sources import modules
+
+    java = "import java.util.List;\nimport static a.B.*;\nclass X { void f() { } }"
+    df = spark.createDataFrame([("m.ts", "typescript", MODULE), ("X.java", "java", java), ("n.ts", "typescript", None), ("o.py", "python", "import x")], "path string, language string, content string")
+    got = [(r.path, r.source, r.specifiers, r.is_default, r.is_namespace, r.is_external) for r in modules.imports(df).orderBy("path", "ordinal").collect()]
+    assert got == [
+        ("X.java", "java.util.List", ["List"], False, False, True), ("X.java", "a.B.*", [], False, True, True), ("m.ts", "fs", [], True, False, True),
+        ("m.ts", "./types", ["A", "B"], False, False, False), ("m.ts", "react", ["useState"], True, False, True), ("m.ts", "/abs/path", [], False, True, False), ("m.ts", "./side-effect", [], False, False, False),
+    ]
+    names = [(r.name, r.is_default) for r in modules.exports(df).orderBy("ordinal").collect()]
+    assert names == [("one", False), ("three", False), ("default", True), ("limit", False), ("run", False), ("Kind", False)]
