@@ -77,6 +77,26 @@ def symbol_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where(F.col("has_a").isNull() | F.col("has_b").isNull() | ~F.col("a").eqNullSafe(F.col("b"))).select(*keys, kind.alias("change"))
 
 
+def declaration_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, kind, name, change): declarations that nothing holds, as ``declarations`` gives them, compared within their file by kind and name.
+
+    One is modified if its signature, documentation, parameters, parents or anything of its direct members has changed, members' lines included; of
+    repeated ones the last counts. Only what a file declares is gathered in one row.
+    """
+    keys = ["path", "kind", "name"]
+    own = ["signature", "description", "documentation", "parameters", "extends", "implements"]
+    inner = ["name", "kind", "line", "end_line", "type", "signature", "description", "parameters", "modifiers"]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        members = df.where("parent is not null").groupBy("path", F.col("parent").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("at"), F.to_json(F.struct(*inner)).alias("m")))).alias("m"))
+        rows = df.where("parent is null").join(members.select("path", "ordinal", F.col("m.m").alias("members")), ["path", "ordinal"], "left")
+        return rows.groupBy(*keys).agg(F.max_by(F.to_json(F.struct(*own, "members")), "ordinal").alias(name))
+
+    both = side(old, "a").join(side(new, "b"), keys, "full_outer")
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(F.col("a") != F.col("b"), "modified")
+    return both.select(*keys, change.alias("change")).where("change is not null")
+
+
 def listed(records: DataFrame, status: list[str] | None = None, tags: list[str] | None = None, by: str | None = None, start=None, end=None, text: str | None = None) -> DataFrame:  # noqa: ANN001
     """Decision records (id, status, tags, created_by, date, title, context, decision) that meet all given filters, newest first."""
     out = records

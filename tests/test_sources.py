@@ -183,3 +183,16 @@ def test_imports_and_exports(spark):
     ]
     names = [(r.name, r.is_default) for r in modules.exports(df).orderBy("ordinal").collect()]
     assert names == [("one", False), ("three", False), ("default", True), ("limit", False), ("run", False), ("Kind", False)]
+
+
+def test_changes_of_declarations(spark):
+    from tessellary.operators import code_graph
+
+    before = "/** Doc */\nclass A { run(x: number): void {} }\ninterface I { a: string }\nfunction gone() {}\nconst same = 1"
+    after = "/** Doc */\nclass A { run(x: string): void {} }\ninterface I { a: string }\nfunction came() {}\nconst same = 2"
+    read = lambda text: declarations.declarations(spark.createDataFrame([("f", "typescript", text), ("g", "typescript", "class B {}")], "path string, language string, content string"))
+    got = {(r.kind, r.name, r.change) for r in code_graph.declaration_changes(read(before), read(after)).collect()}
+    assert got == {("class", "A", "modified"), ("function", "gone", "deleted"), ("function", "came", "added")}
+    assert code_graph.declaration_changes(read(before), read(before)).collect() == []
+    moved = {(r.name, r.change) for r in code_graph.declaration_changes(read(before), read("\n" + before)).collect()}
+    assert moved == {("A", "modified"), ("I", "modified")}
