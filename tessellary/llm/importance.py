@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import Scratch, give_back, ranked
 
 #: Buckets that features are hashed to, and consecutive words of the longest feature.
 BUCKETS, LONGEST = 10_000, 3
-#: Bytes of text that one block takes in; a longer text goes on in the next one.
-BLOCK = 1_000_000
+#: Bytes of text that one block takes in; a longer text goes on in the next one. Its stream stays well under a megabyte.
+BLOCK = 128_000
 #: Words that a document must have to be drawn, and the share of these documents that is drawn, in percent.
 LEAST_WORDS, PERCENT = 20, 5
 
@@ -132,6 +132,8 @@ def blocks(texts: DataFrame, block: int = BLOCK) -> DataFrame:
                 held, size = [], 0
         if held:
             yield packed(crc, held, id_type)
+        del held
+        give_back()
 
     schema = f"rids array<bigint>, ids array<{kind.simpleString()}>, counts array<bigint>, ends array<bigint>, whole array<boolean>, stream binary"
     return texts.select(F.monotonically_increasing_id().alias("rid"), "id", "text").mapInArrow(on_partition, schema)
