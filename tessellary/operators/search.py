@@ -78,6 +78,10 @@ def suggestions(docs: DataFrame, text: str, prefix: str, k: int) -> DataFrame:
     return terms.distinct().orderBy("term").limit(k)
 
 
+#: Scores, 8 bytes each, that a task of ``nearest`` holds at once.
+CELLS = 4_000_000
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int, least: float = -2.0, vec_id: str = "vec_id", vec: str = "embedding", block: int = 50_000
 ) -> DataFrame:
@@ -102,7 +106,9 @@ def nearest(
             ids, q = shared.value
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             best_score, best_id = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
+            # scores of as many rows at a time as CELLS allows
+            step = max(1, CELLS // len(ids))
+            for batch in (b.slice(low, step) for b in batches for low in range(0, b.num_rows, step)):
                 rid = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy().reshape(len(rid), -1)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
