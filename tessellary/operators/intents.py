@@ -75,14 +75,32 @@ def layered(found: DataFrame) -> DataFrame:
 
 
 def comment_items(files: DataFrame) -> DataFrame:
-    """(path, type, content) of what line comments leave to do or to mend, in the order of the text within a type."""
-    marks = (("todo", r"(?i)//\s*TODO:\s*([^\n\r]+)"), ("fixme", r"(?i)//\s*FIXME:\s*([^\n\r]+)"))
-    found = [_marked(kind, p) for kind, p in marks]
-    return files.where("content is not null").select("path", F.explode(F.concat(*found)).alias("i")).select("path", "i.type", F.trim("i.content").alias("content"))
+    """(path, type, content, confidence) of what line comments leave to do or to mend (0.7), and of blocks that give a decision or a reason (0.8, their
+    first 500 characters without comment marks); in the order of the text within a type."""
+    blocks = F.filter(F.regexp_extract_all("content", F.lit(r"/\*\*[\s\S]*?\*/"), F.lit(0)), lambda x: x.rlike("(?i)decision|because|rationale"))
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"/\*\*|\*/", ""), r"(?m)^\s*\*\s?", ""), r"^\s+|\s+$", "")
+    reasons = F.transform(blocks, lambda x: _item("design-decision", F.substring(clean(x), 1, 500), 0.8))
+    found = F.concat(_marked("todo", r"(?i)//\s*TODO:\s*([^\n\r]+)"), _marked("fixme", r"(?i)//\s*FIXME:\s*([^\n\r]+)"), reasons)
+    return files.where("content is not null").select("path", F.explode(found).alias("i")).select("path", "i.type", "i.content", "i.confidence")
+
+
+def document_items(docs: DataFrame) -> DataFrame:
+    """(path, type, content, confidence) of documents: the section on architecture (0.9), that on the technology stack (0.85), and each heading that names a
+    method and a path (0.9). A section ends before the next ## of any level."""
+    section = lambda name: F.regexp_extract("content", rf"(?i)##\s*{name}[\s\S]*?(?=##|\z)", 0)
+    whole = lambda kind, name, sure: F.when(section(name) != "", F.array(_item(kind, F.regexp_replace(section(name), r"^\s+|\s+$", ""), sure))).otherwise(F.filter(F.array(_item(kind, F.lit(""), sure)), lambda x: F.lit(False)))
+    calls = F.regexp_extract_all("content", F.lit(r"(?i)##\s*((?:GET|POST|PUT|DELETE|PATCH)\s+/\S+)"), F.lit(1))
+    named = F.transform(calls, lambda x: _item("api-documentation", F.regexp_replace(x, r"\s+", " "), 0.9))
+    found = F.concat(whole("architecture", "Architecture", 0.9), whole("technology-stack", r"(?:Technology\s*)?Stack", 0.85), named)
+    return docs.where("content is not null").select("path", F.explode(found).alias("i")).select("path", "i.type", "i.content", "i.confidence")
+
+
+def _item(kind: str, content: Column, sure: float) -> Column:
+    return F.struct(F.lit(kind).alias("type"), F.trim(content).alias("content"), F.lit(sure).alias("confidence"))
 
 
 def _marked(kind: str, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("type"), x.alias("content")))
+    return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda x: _item(kind, x, 0.7))
 
 
 def commit_items(messages: DataFrame, key: str, message: str) -> DataFrame:

@@ -36,3 +36,14 @@ def test_items_of_comments_and_messages(spark):
     items = sorted((r.k, r.type, r.content, r.confidence) for r in intents.commit_items(rows, "k", "m").collect())
     assert items == [
         (1, "architectural-decision", "feat: new architecture", 0.8), (1, "feature-evolution", "new architecture", 0.7), (2, "feature-evolution", "x", 0.7), (3, "refactoring", "y", 0.6)]
+
+
+def test_items_of_blocks_and_documents(spark):
+    code = "/** Chosen because\n * it is fast. */\n/** plain */\n// TODO: later"
+    text = "# Top\n## Architecture\nThree layers.\n\n## Technology Stack\nSpark\n## GET  /users/{id}\nx\n## post /users\n## Stacked\n"
+    df = spark.createDataFrame([("c", code), ("d", text), ("n", None), ("e", "")], "path string, content string")
+    got = [(r.type, r.content, r.confidence) for r in intents.comment_items(df.where("path = 'c'")).collect()]
+    assert got == [("todo", "later", 0.7), ("design-decision", "Chosen because\nit is fast.", 0.8)]
+    items = [(r.type, r.content, r.confidence) for r in intents.document_items(df.where("path <> 'c'")).collect()]
+    assert items == [
+        ("architecture", "## Architecture\nThree layers.", 0.9), ("technology-stack", "## Technology Stack\nSpark", 0.85), ("api-documentation", "GET /users/{id}", 0.9), ("api-documentation", "post /users", 0.9)]
