@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import alike
+
 # Words that raise or lower a review's score, and how long a node of each type takes to read.
 PRAISE = ("优秀", "良好", "完整", "准确", "清晰")
 BLAME = ("缺失", "错误", "不完整", "模糊", "问题")
@@ -107,23 +109,19 @@ def linked(links: DataFrame, ends: tuple[str, str] = ("a", "b")) -> DataFrame:
 
 def similar_nodes(nodes: DataFrame, least: float = 0.5) -> DataFrame:
     """(a, b, similarity) for a < b of nodes (id, name, tags, page, file): 0.4 of the tags' Jaccard, 0.3 for one page, 0.2 for one file, 0.1 if a
-    name holds the other. ``least`` is over 0.1, so alike nodes share a tag, a page or a file, by which they are joined.
+    name holds the other. ``least`` is over 0.1, so alike nodes share a tag, a page or a file; they are met where these suffice, and scored as they meet.
     """
     if least <= 0.1:
         raise ValueError("pairs that share nothing but a part of their names can't be joined by a key")
-    rows = nodes.select("id", F.lower("name").alias("name"), F.array_distinct(F.transform("tags", F.lower)).alias("tags"), "page", "file")
-    tagged = F.transform("tags", lambda t: F.concat(F.lit("t"), t))
-    keys = F.concat(tagged, F.array_compact(F.array(F.concat(F.lit("p"), F.col("page").cast("string")), F.concat(F.lit("f"), F.col("file").cast("string")))))
-    placed = rows.select("id", F.explode(keys).alias("k"))
-    pairs = placed.select(F.col("id").alias("a"), "k").join(placed.select(F.col("id").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-    side = lambda n: rows.select(F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("name", "tags", "page", "file")))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    tags = F.array_distinct(F.transform("tags", F.lower)).alias("tags")
+    rows = nodes.select("id", F.lower("name").alias("name"), tags, F.col("page").cast("string").alias("page"), F.col("file").cast("string").alias("file")).where("tags is not null")
+    met = alike.pairs(rows, None, least, strict=False)
     union = F.size(F.array_union("a_tags", "b_tags"))
     tags = F.when(union > 0, F.size(F.array_intersect("a_tags", "b_tags")) / union).otherwise(0.0)
     same = lambda c: F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), 1).otherwise(0)
     inside = F.contains("a_name", "b_name") | F.contains("b_name", "a_name")
     x = F.round(tags * 0.4 + same("page") * 0.3 + same("file") * 0.2 + F.when(inside, 0.1).otherwise(0.0), 6)
-    return met.select("a", "b", F.least(F.lit(1.0), x).alias("similarity")).where(F.col("similarity") >= least)
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.least(F.lit(1.0), x).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def json_in(text: Column) -> Column:
