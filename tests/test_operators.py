@@ -1,5 +1,7 @@
 """Small fixtures with results worked out by hand, and laws that must hold."""
 
+import math
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -297,3 +299,13 @@ def test_kmeans_may_take_100_rounds(spark, monkeypatch):
     plain = clustering.KMeans.fit
     monkeypatch.setattr(clustering.KMeans, "fit", lambda self, rows: asked.append(self.getMaxIter()) or plain(self, rows))
     assert catalog.queries()["spherical_kmeans"](spark, "/root/testdata/sf0.001").count() > 0 and asked == [100]
+
+
+def test_hashed_embedding_hashes_a_text_once(spark):
+    rows = spark.createDataFrame([("",), ("abc",), (None,)], "t string").select("t", vx.hashed_embedding(F.col("t"), 16).alias("v"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("sha2(") == 1  # in the body of two lambdas before
+    digest = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    raw = [math.sin(int(digest[i % 57 : i % 57 + 8], 16)) * 0.5 for i in range(16)]
+    got = {r.t: r.v for r in rows.collect()}
+    assert got["abc"] == pytest.approx([x / math.sqrt(sum(y * y for y in raw)) for x in raw])
+    assert got[None] == [None] * 16 and len(got[""]) == 16
