@@ -31,6 +31,8 @@ WANTED = 26
 BRIEF = ("s0", "s1", "s2", "s3")
 #: Pairs that one step over buckets emits at most.
 STEP = 1 << 18
+#: Rows of a bucket up to which it is compared in full once, which is (SMALL - 1) / 2 pairs a row at most; it changes no result.
+SMALL = 8
 #: Pairs for each row of the buckets up to which all are compared without further rounds of neighbours; it changes no result.
 FEW = 1
 
@@ -97,9 +99,9 @@ def head(members: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarra
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(shingle, key, n, at): the rows of ``classes`` (key, n, head) that share a first shingle with another they may be alike with.
+    """(shingle, key, n, at, m): the rows of ``classes`` (key, n, head) that share a first shingle with another they may be alike with.
 
-    From ``at`` on, a set of n shingles shares n - at at most, so it can't be alike with one of more than ``most`` = 9/4 (n - at) - n shingles.
+    ``m`` is how many of these the bucket has. From ``at`` on, a set of n shingles shares n - at at most, so it can't be alike with one of more than ``most`` = 9/4 (n - at) - n shingles.
     """
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +116,12 @@ def buckets(classes: DataFrame) -> DataFrame:
             larger = (before >= n + number * lift) & (UNDER * most >= OVER * n) & np.append(False, number[1:] == number[:-1])
             after = np.append(n[1:], 0)
             smaller = (after <= most) & np.append(number[1:] == number[:-1], False)
-            yield from table.filter(pa.array(larger | smaller)).to_batches()
+            kept = larger | smaller
+            m = np.bincount(number[kept], minlength=len(starts) - 1)[number[kept]].astype(np.int32)
+            yield from table.filter(pa.array(kept)).append_column("m", pa.array(m)).to_batches()
 
     rows = classes.select("key", "n", F.posexplode("head").alias("at", "shingle")).select("shingle", "key", "n", "at")
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(on_partition, "shingle bigint, key bigint, n int, at int")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(on_partition, "shingle bigint, key bigint, n int, at int, m int")
 
 
 def pairs(met: DataFrame, order: str | None = None, reach: int = 1) -> DataFrame:
@@ -268,21 +272,31 @@ def apart(placed: DataFrame) -> tuple[float, float]:
 def complete(met: DataFrame, edges: DataFrame, classes: DataFrame, documents: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """(v, root): the components of ``edges`` and of all pairs in the buckets ``met`` whose sets are alike.
 
-    Neighbours in size and by chance, of these more from round to round, are compared first, which joins most of a group, as a member needs to
-    be like one of it only; what is still apart then is compared in full, and as soon as that is no more than FEW pairs a row.
+    Neighbours in size and by chance, of these more from round to round, are compared first in buckets of over SMALL rows, which joins most of a group,
+    as a member needs to be like one of it only; what is still apart then is compared in full, and as soon as that is no more than FEW pairs a row.
+    Small buckets wait for this last round, and a large one that lies in one component is left out of all after it: neither is joined with the components in each.
     """
     briefs = classes.select("key", *BRIEF)
     met = scratch.keep(met.hint("merge").join(briefs.hint("merge"), "key"), "met")
     found = components(scratch, edges)
-    for order, reach in (("n", 1), ("xxhash64(1, key)", 1), ("xxhash64(2, key)", 8), ("xxhash64(3, key)", 64), (None, 0)):
+    large = met.where(F.col("m") > SMALL)
+
+    def with_components(rows: DataFrame) -> DataFrame:
         of = found.select(F.col("v").alias("key"), "root")
-        placed = met.hint("merge").join(of.hint("merge"), "key", "left").select("shingle", "key", "n", "at", *BRIEF, F.coalesce("root", "key").alias("comp"))
-        placed = scratch.keep(placed, "placed")
+        return rows.hint("merge").join(of.hint("merge"), "key", "left").select("shingle", "key", "n", "at", "m", *BRIEF, F.coalesce("root", "key").alias("comp"))
+
+    for order, reach in (("n", 1), ("xxhash64(1, key)", 1), ("xxhash64(2, key)", 8), ("xxhash64(3, key)", 64), (None, 0)):
+        placed = scratch.keep(with_components(large), "placed")
         rows, left = apart(placed)
         if left <= FEW * rows:
             order = None
-        more = verified(scratch.keep(pairs(placed, order, reach), "candidates"), classes, documents, text, scratch) if left else None
-        scratch.drop(placed)
+        if order is None:
+            placed = placed.unionByName(with_components(met.where(F.col("m") <= SMALL)))
+        more = verified(scratch.keep(pairs(placed, order, reach), "candidates"), classes, documents, text, scratch) if left or order is None else None
+        if order is not None:
+            split = placed.groupBy("shingle").agg((F.min("comp") < F.max("comp")).alias("split")).where("split").select("shingle")
+            large = scratch.keep(placed.hint("merge").join(split.hint("merge"), "shingle", "left_semi").drop("comp"), "large")
+            scratch.drop(placed)
         if more is not None and not more.isEmpty():
             edges = edges.unionByName(more)
             found = components(scratch, edges)

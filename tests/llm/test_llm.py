@@ -736,3 +736,10 @@ def test_pipeline_near_copies_awkward(spark, awkward):
     left = Counter(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, awkward, SF).collect())
     assert left == Counter({1: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1, None: 1})
     assert corpus_pipeline.drop_near_duplicates(spark, awkward.limit(0), SF).count() == 0
+
+
+def test_small_buckets_are_left_to_the_last_round(spark):
+    heads = [(1, 10, [7, 8]), (2, 10, [7, 9]), *((i, 10, [5]) for i in range(10, 10 + shingles.SMALL + 1)), (90, 10, [6])]
+    met = shingles.buckets(spark.createDataFrame(heads, "key long, n int, head array<long>")).collect()
+    # the size of its bucket goes with each row; before, all rows were joined with components in every round
+    assert Counter((r.shingle, r.m) for r in met) == Counter({(7, 2): 2, (5, shingles.SMALL + 1): shingles.SMALL + 1})
