@@ -35,12 +35,25 @@ def batches(rows: DataFrame, by: list[str], order: list, size: int) -> DataFrame
 def overlapping(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
     """Rows of two interval tables (key, a_start, a_end) and (key, b_start, b_end) that overlap, ends included.
 
-    Intervals are cut into blocks of ``width`` so that the join is on equality; a pair is kept in the block where the later one begins.
+    An interval's level is the least whose blocks, of ``width`` times 2^level, are as long as it is, so it lies in two of them at most, at its own level and above.
+    A pair meets at the larger of both levels, in the block where the later one begins; so rows grow with the intervals' number and the levels of their key, never with their length.
     """
-    cut = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    x, y = a.withColumn("__block", cut("a_start", "a_end")), b.withColumn("__block", cut("b_start", "b_end"))
-    met = x.join(y, [key, "__block"]).where((F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")))
-    return met.where(F.col("__block") == F.floor(F.greatest("a_start", "b_start") / width)).drop("__block")
+    level = lambda lo, hi: F.greatest(F.lit(0), F.ceil(F.log2((F.abs(F.col(hi) - F.col(lo)) + 1) / width))).cast("int")
+    block = lambda x: F.floor(x / (width * F.pow(F.lit(2.0), F.col("__level"))))
+    x, y = a.withColumn("__a", level("a_start", "a_end")), b.withColumn("__b", level("b_start", "b_end"))
+    of_a, of_b = (df.groupBy(F.col(key).alias("__key")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c))).alias("__mask")) for df, c in ((x, "__a"), (y, "__b")))
+    held = F.filter(F.array(*(F.lit(v) for v in range(63))), lambda v: F.call_function("shiftright", F.col("__mask"), v) % 2 != 0)
+
+    def placed(df: DataFrame, own: str, others: DataFrame) -> DataFrame:
+        above = F.filter("__levels", lambda v: v > F.col(own))
+        levels = F.when(F.array_min("__levels") <= F.col(own), F.concat(F.array(own), above)).otherwise(above)
+        met = df.join(others.select("__key", held.alias("__levels")), F.col(key) == F.col("__key")).withColumn("__level", F.explode(levels)).drop("__key", "__levels")
+        ends = [F.col(f"{own[2:]}_{e}") for e in ("start", "end")]
+        return met.withColumn("__block", F.explode(F.sequence(block(F.least(*ends)), block(F.greatest(*ends)))))
+
+    met = placed(x, "__a", of_b).join(placed(y, "__b", of_a), [key, "__level", "__block"]).where((F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")))
+    met = met.where((F.col("__level") == F.greatest("__a", "__b")) & (F.col("__block") == block(F.greatest("a_start", "b_start"))))
+    return met.drop("__block", "__level", "__a", "__b")
 
 
 def ancestors(path: Column) -> Column:

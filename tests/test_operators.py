@@ -1,6 +1,7 @@
 """Small fixtures with results worked out by hand, and laws that must hold."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -309,3 +310,12 @@ def test_hashed_embedding_hashes_a_text_once(spark):
     got = {r.t: r.v for r in rows.collect()}
     assert got["abc"] == pytest.approx([x / math.sqrt(sum(y * y for y in raw)) for x in raw])
     assert got[None] == [None] * 16 and len(got[""]) == 16
+
+
+def test_long_intervals_cost_no_more_rows(spark):
+    rng = random.Random(3)
+    spans = lambda n: [(rng.randrange(3), s, s + rng.choice((0, 3, 9, 10, 70, 999))) for s in (rng.randrange(-300, 300) for _ in range(n))]
+    a, b = spans(60), [*spans(60), (1, 0, 10**13)]  # the last one was cut into 10^12 blocks before
+    x, y = spark.createDataFrame(a, "k int, a_start long, a_end long"), spark.createDataFrame(b, "k int, b_start long, b_end long")
+    got = sorted((r.k, r.a_start, r.a_end, r.b_start, r.b_end) for r in services.overlapping(x, y, "k", 10).collect())
+    assert got == sorted((k, s, e, t, f) for k, s, e in a for m, t, f in b if k == m and s <= f and t <= e)
