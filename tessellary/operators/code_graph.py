@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import wordsets
 from .graph import _cut
 
 # Extensions that an import may leave out, in the order in which they are tried.
@@ -127,55 +128,52 @@ def knowledge_query(nodes: DataFrame, text: str, types: list[str] | None = None,
     return out.orderBy(F.desc("weight"), "id").limit(limit)
 
 
-def similar_pairs(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """(a, b, jaccard) with a < b whose word sets have a Jaccard similarity over ``least``, by prefix filtering.
+def _word_sets(items: DataFrame, key: str, text: str) -> DataFrame:
+    """``wordsets.coded`` of items with a key and words: id, bag (what equal word sets share), n, codes and rares."""
+    rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), tx.word_set(F.col(text)).alias("s")).where(F.size("s") > 0)
+    return wordsets.coded(rows.select("id", F.md5(F.array_join(F.array_sort("s"), " ").cast("binary")).alias("bag"), "s"))
 
-    Words are ranked from rare to frequent; sets that alike share a word among their first ones, so only these are joined on, and frequent words hardly ever are.
-    """
-    sets = items.select(F.col(key).alias("id"), tx.word_set(F.col(text)).alias("s")).where(F.size("s") > 0)
-    words = sets.select("id", F.explode("s").alias("w"), F.size("s").alias("n"))
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    heads = words.join(often, "w").where("df > 1 or n = 1").withColumn("r", rank)
-    # of n words the first n - ceil(least * n) + 1 suffice; words of one set only can't be shared and aren't needed
-    heads = heads.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "w", "n")
-    a, b = heads.select(F.col("id").alias("a"), "w", F.col("n").alias("na")), heads.select(F.col("id").alias("b"), "w", F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") > F.greatest("na", "nb") * least)
-    pairs = a.join(b, "w").where(fits).select("a", "b").distinct()
-    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    scored = pairs.join(x, "a").join(y, "b").select("a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
-    return scored.where(F.col("jaccard") > least)
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def similar_pairs(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """(a, b, jaccard) with a < b whose word sets have a Jaccard similarity over ``least``; every pair of like sizes is counted, none is shuffled before."""
+    return _ordered(wordsets.pairs(_word_sets(items, key, text), least))
 
 
 def similar_items(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """(a, b, jaccard) as ``similar_pairs``, over any number of copies: items of equal word sets are compared once, by their least key, and then take each other's place."""
-    bag = F.md5(F.array_join(F.array_sort(tx.word_set(F.col(text))), " ").cast("binary"))
-    rows = items.select(F.col(key).alias("id"), F.col(text).alias("text"), bag.alias("bag")).where(F.size(tx.word_set(F.col("text"))) > 0)
-    first = rows.groupBy("bag").agg(F.min("id").alias("rep"))
-    member = rows.join(first, "bag").select("id", "rep")
+    rows = _word_sets(items, key, text)
+    first = _cut(rows.groupBy("bag").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")))
     distinct = rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
-    x, y = member.select(F.col("rep").alias("a"), F.col("id").alias("x")), member.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    apart = similar_pairs(distinct, "id", "text", least).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
-    copies = x.join(y, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))
-    return apart.unionByName(copies)
+    # (rep, id) of the others of a class; a set without copies takes no place but its own
+    others = _cut(rows.select("id", "bag").join(first.where("members > 1"), "bag").where("id <> rep").select("rep", "id"))
+    both = _cut(wordsets.pairs(distinct, least))
+    for end in ("x", "y"):
+        more = both.join(others.withColumnRenamed("rep", end), end).drop(end).withColumnRenamed("id", end)
+        both = both.unionByName(more)
+    member = others.union(others.select("rep", F.col("rep").alias("id")).distinct())
+    x, y = member.select("rep", F.col("id").alias("x")), member.select("rep", F.col("id").alias("y"))
+    copies = x.join(y, "rep").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))
+    return _ordered(both).unionByName(copies)
 
 
 def similar_classes(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """(id, class, n_links): for each item the least id among those of equal word sets, and how many other items its word set is over ``least`` like.
 
-    Copies are one class and compared once, and their links are counted, never written as pairs; so the result has a row an item however
+    Copies are one class and compared once, and their links are counted where they are found, never written as pairs; so the result has a row an item however
     many copies there are. Items without words and null texts have no class and no links; null keys are left out.
     """
-    bag = F.md5(F.array_join(F.array_sort(tx.word_set(F.col(text))), " ").cast("binary"))
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.when(F.size(tx.word_set(F.col(text))) > 0, bag).alias("bag"))
-    rows = _cut(rows)
-    first = rows.where("bag is not null").groupBy("bag").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members"))
-    distinct = rows.join(first.select(F.col("class").alias("id"), "bag"), ["id", "bag"], "left_semi").dropDuplicates(["id"])
-    pairs = similar_pairs(distinct, "id", "text", least).select("a", "b")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(first.select(F.col("class").alias("b"), "members"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("members").alias("near"))
-    of = first.join(near, "class", "left").select("bag", "class", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
-    return rows.select("id", "bag").join(of, "bag", "left").select("id", "class", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    rows = _word_sets(items, key, text)
+    first = _cut(rows.groupBy("bag").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members")))
+    distinct = rows.join(first.select(F.col("class").alias("id"), "bag", "members"), ["id", "bag"]).dropDuplicates(["id"])
+    near = wordsets.links(distinct.select("id", "n", "codes", "rares", "members"), least)
+    of = first.join(near.withColumnRenamed("id", "class"), "class", "left").select("bag", "class", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
+    found = rows.select("id", "bag").join(of, "bag").select("id", "class", F.col("n").cast("long").alias("n_links"))
+    wordless = items.where(F.col(key).isNotNull() & F.coalesce(F.size(tx.word_set(F.col(text))) <= 0, F.lit(True)))
+    return found.unionByName(wordless.select(F.col(key).alias("id"), F.lit(None).cast(items.schema[key].dataType).alias("class"), F.lit(0).cast("long").alias("n_links")))
 
 
 def consolidated(items: DataFrame, key: str, kind: str, text: str, order: Column, least: float) -> DataFrame:
