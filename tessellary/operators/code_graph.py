@@ -128,10 +128,10 @@ def knowledge_query(nodes: DataFrame, text: str, types: list[str] | None = None,
     return out.orderBy(F.desc("weight"), "id").limit(limit)
 
 
-def _word_sets(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``wordsets.coded`` of items with a key and words: id, bag (what equal word sets share), n, codes and rares."""
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), tx.word_set(F.col(text)).alias("s")).where(F.size("s") > 0)
-    return wordsets.coded(rows.select("id", F.md5(F.array_join(F.array_sort("s"), " ").cast("binary")).alias("bag"), "s"))
+def _word_sets(items: DataFrame, key: str, text: str, *keep: Column) -> DataFrame:
+    """``wordsets.coded`` of items with a key and words: id, ``keep``, bag (what equal word sets share), n, codes and rares."""
+    rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *keep, tx.word_set(F.col(text)).alias("s")).where(F.size("s") > 0)
+    return wordsets.coded(rows.withColumn("bag", F.md5(F.array_join(F.array_sort("s"), " ").cast("binary"))))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -181,14 +181,12 @@ def consolidated(items: DataFrame, key: str, kind: str, text: str, order: Column
 
     An item survives if no survivor before it is alike; it then takes all that are left and alike. A survivor is settled in the round in which all before it that are alike are.
     """
-    rows = items.select(F.col(key).alias("id"), F.col(kind).alias("kind"), F.col(text).alias("text"), order.alias("o"))
-    bag = F.md5(F.array_join(F.array_sort(tx.word_set(F.col("text"))), " ").cast("binary"))
-    rows = rows.where(F.size(tx.word_set(F.col("text"))) > 0).withColumn("bag", bag)
+    rows = _word_sets(items, key, text, F.col(kind).alias("kind"), order.alias("o"))
     # equal word sets have the same neighbours, so the first of them stands for all
     first = rows.groupBy("kind", "bag").agg(F.min(F.struct("o", "id")).alias("b")).select(F.col("kind").alias("k1"), F.col("bag").alias("b1"), F.col("b.id").alias("rep"))
-    member = _cut(rows.join(first, F.col("kind").eqNullSafe(F.col("k1")) & (F.col("bag") == F.col("b1"))).select("id", "rep", "kind", "o"))
+    member = _cut(rows.select("id", "kind", "bag", "o").join(first, F.col("kind").eqNullSafe(F.col("k1")) & (F.col("bag") == F.col("b1"))).select("id", "rep", "kind", "o"))
     reps = _cut(member.where("id = rep").select("id", "kind", "o"))
-    pairs = similar_pairs(rows.join(reps.select("id"), "id", "left_semi"), "id", "text", least)
+    pairs = _ordered(wordsets.pairs(rows.join(reps.select("id"), "id", "left_semi"), least))
     x, y = reps.select(F.col("id").alias("a"), F.col("kind").alias("ka"), F.col("o").alias("oa")), reps.select(F.col("id").alias("b"), F.col("kind").alias("kb"), F.col("o").alias("ob"))
     met = pairs.join(x, "a").join(y, "b").where(F.col("ka").eqNullSafe(F.col("kb")))
     pa, pb = (F.struct(F.col(f"o{c}").alias("o"), F.col(c).alias("id")) for c in "ab")

@@ -56,3 +56,12 @@ def test_pairs_are_not_shuffled_to_be_compared(spark):
     plan = code_graph.similar_pairs(items, "id", "t", 0.3)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert joins and all("broadcast" in line for line in joins) and "Aggregate" not in plan
+
+
+def test_consolidation_shuffles_no_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(wordsets, "pairs", lambda sets, least, f=wordsets.pairs: (seen.append(sets), f(sets, least))[1])
+    long = "unusual" * 50
+    items = spark.createDataFrame([(1, "s", f"{long} a b", 3), (2, "s", f"A b {long}", 2), (3, "t", f"{long} a b", 1)], "id long, k string, t string, n int")
+    assert {r.id: r.kept for r in code_graph.consolidated(items, "id", "k", "t", -F.col("n"), 0.8).collect()} == {2: 1}
+    assert len(seen) == 1 and {"codes", "rares"} <= set(seen[0].columns) and not {"text", "t", "s"} & set(seen[0].columns)
