@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .best import SIDE, Best, products, unit
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -78,17 +78,13 @@ def suggestions(docs: DataFrame, text: str, prefix: str, k: int) -> DataFrame:
     return terms.distinct().orderBy("term").limit(k)
 
 
-#: Scores, 8 bytes each, that a task of ``nearest`` holds at once.
-CELLS = 4_000_000
-
-
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int, least: float = -2.0, vec_id: str = "vec_id", vec: str = "embedding", block: int = 50_000
 ) -> DataFrame:
     """(query_id, id, score): the ``k`` rows most alike to each query vector, itself left out, with cosine over ``least``.
 
     The query set is read in blocks of at most ``block`` vectors; each block meets all rows once, each task keeping
-    ``k`` rows for each query, so nothing near all pairs is shuffled. Zero and null vectors score 0.
+    ``k`` rows for each query and SIDE x SIDE scores at a time, so nothing near all pairs is held or shuffled. Zero and null vectors score 0.
     """
     spark = vectors.sparkSession
     given = queries.select(F.col(vec_id).alias("q"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
@@ -96,38 +92,32 @@ def nearest(
     last = None
     while True:
         part = given if last is None else given.where(F.col("q") > last)
-        rows = part.orderBy("q").limit(block).collect()
-        if not rows:
+        part_rows = part.orderBy("q").limit(block).toArrow()
+        if not part_rows.num_rows:
             break
-        last = rows[-1].q
-        shared = spark.sparkContext.broadcast((np.array([r.q for r in rows]), np.array([r.v for r in rows])))
+        last = part_rows["q"][-1].as_py()
+        # at length 1 once, here; a task would hold a copy of its own
+        ids = part_rows["q"].to_numpy()
+        shared = spark.sparkContext.broadcast((ids, unit(part_rows["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1))))
 
         def on_partition(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            best_score, best_id = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-            # scores of as many rows at a time as CELLS allows
-            step = max(1, CELLS // len(ids))
-            for batch in (b.slice(low, step) for b in batches for low in range(0, b.num_rows, step)):
+            best = Best(len(ids), k)
+            for batch in (b.slice(low, SIDE) for b in batches for low in range(0, b.num_rows, SIDE)):
                 rid = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy().reshape(len(rid), -1)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = q @ x.T
-                score[ids[:, None] == rid[None, :]] = -9.0
-                best_score = np.concatenate([best_score, score], axis=1)
-                best_id = np.concatenate([best_id, np.broadcast_to(rid, score.shape)], axis=1)
-                order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-                best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-            keep = best_score > max(least, -2.0)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.broadcast_to(ids[:, None], keep.shape)[keep]), pa.array(best_id[keep]), pa.array(best_score[keep])], ["query_id", "id", "score"]
-                )
+                x = unit(batch.column(1).flatten().to_numpy().reshape(len(rid), -1))
+                for low in range(0, len(ids), SIDE):
+                    score = products(q[low : low + SIDE], x)
+                    score[ids[low : low + SIDE, None] == rid] = -9.0
+                    best.meet(low, score, rid)
+            found = best.over(ids, max(least, -2.0))
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "id", "score"])
 
         rows_in = vectors.select(F.col(vec_id).cast("long"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
         found = rows_in.mapInArrow(on_partition, "query_id bigint, id bigint, score double")
         out = found if out is None else out.unionByName(found)
-        if len(rows) < block:
+        if part_rows.num_rows < block:
             break
     if out is None:
         return spark.createDataFrame([], "query_id bigint, id bigint, score double")

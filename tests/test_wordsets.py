@@ -65,3 +65,14 @@ def test_consolidation_shuffles_no_text(spark, monkeypatch):
     items = spark.createDataFrame([(1, "s", f"{long} a b", 3), (2, "s", f"A b {long}", 2), (3, "t", f"{long} a b", 1)], "id long, k string, t string, n int")
     assert {r.id: r.kept for r in code_graph.consolidated(items, "id", "k", "t", -F.col("n"), 0.8).collect()} == {2: 1}
     assert len(seen) == 1 and {"codes", "rares"} <= set(seen[0].columns) and not {"text", "t", "s"} & set(seen[0].columns)
+
+
+def test_pairs_of_items_are_widened_by_copies_only(spark):
+    rows = [(i, "one two three") for i in range(5)] + [(10, "one two three four"), (11, "Four three two one"), (12, "five"), (13, None)]
+    items = spark.createDataFrame(rows, "id long, t string")
+    sets = {i: set(t.lower().split()) for i, t in rows if t}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) > 3 * len(sets[a] | sets[b])}
+    found = code_graph.similar_items(items, "id", "t", 0.3)
+    got = [(r.a, r.b, r.jaccard) for r in found.collect()]
+    assert len(got) == len(want) and {(a, b): j for a, b, j in got} == want
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()  # sets are compared before the pairs are written
