@@ -12,6 +12,8 @@ from tessellary.llm import bpe, langid, mixing, simhash
 from tessellary.llm.common import Scratch, word_count
 from tessellary.llm.queries import VOCABULARY
 
+#: Words that a worker remembers while it encodes: fewer than alone, as executors still hold what the stages before used.
+WORDS = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of ids that a join may broadcast, 8 bytes each; beyond that it shuffles.
 BROADCAST_ROWS = 500_000
@@ -48,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row."""
-    return bpe.encoded(docs, VOCABULARY, forget=True)
+    return bpe.encoded(docs, VOCABULARY, forget=True, remembered=WORDS)
 
 
 STAGES = [

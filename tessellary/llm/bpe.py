@@ -85,7 +85,8 @@ def word_patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern]:
 class Tokenizer:
     """Encodes and decodes as the vocabulary file says: added tokens, byte-level pre-tokens, merges by rank."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -276,7 +277,7 @@ class Tokenizer:
         """Tokens of texts without added tokens, by the pattern and what is known of its words."""
         split = [(self.words if t.isascii() or not self._differs(t) else self.exact_words).findall(t) for t in texts]
         new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self.known.clear()
             new = {w for words in split for w in words}
         if new:
@@ -297,7 +298,7 @@ class Tokenizer:
         split = [t.split(" ") for t in texts]
         stretches = self.stretches
         new = {s for parts in split for s in parts[1:] if s not in stretches}
-        if len(stretches) + len(new) > REMEMBERED:
+        if len(stretches) + len(new) > self.remembered:
             stretches.clear()
             new = {s for parts in split for s in parts[1:]}
         odd = {s for s in new if not s or s[0].isspace()}
@@ -314,7 +315,7 @@ class Tokenizer:
         return [list(next(rest)) if w else [*next(rest), *chain.from_iterable(x)] for w, x in zip(whole, found, strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each text. Texts may be empty; memory beyond theirs is bounded by REMEMBERED words of at most LONGEST characters."""
+        """Token ids of each text. Texts may be empty; memory beyond theirs is bounded by ``remembered`` words of at most LONGEST characters."""
         if not any(x in t for x in self.added for t in texts):
             return self._encode(texts)
         parts = [self.special.split(t) for t in texts]
@@ -330,18 +331,19 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, remembered: int = REMEMBERED) -> Tokenizer:
     """The tokenizer of a file, once for each Python worker."""
-    return Tokenizer(path)
+    return Tokenizer(path, remembered)
 
 
 def encoded(
-    documents: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, forget: bool = False
+    documents: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, forget: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row, and the ids themselves ``with_ids``. Null text is empty.
 
     The vocabulary's path must be there on every executor, as it is part of an installed package. Rows are independent; nothing is shuffled.
-    With ``forget`` a worker drops the tokenizer with all it remembers at the end of a partition, which leaves that memory to the stages that follow.
+    ``remembered`` bounds the words that a worker remembers; it changes no result. With ``forget`` a worker returns what stages before left, and drops the tokenizer with all it remembers at the end of a partition, which leaves that memory to the stages that follow.
     """
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -361,7 +363,11 @@ def encoded(
                 yield batch.slice(low)
 
     def on_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokenizer(vocabulary)
+        if forget:
+            give_back()
+        tokens = tokenizer(vocabulary, remembered)
+        if forget:
+            give_back()  # the vocabulary's file as read
         for part in pieces(batches):
             ids = tokens.encode_batch([x or "" for x in part.column(len(keep)).to_pylist()])
             decoded = tokens.decode_batch(ids)

@@ -119,6 +119,7 @@ def buckets(classes: DataFrame) -> DataFrame:
             kept = larger | smaller
             m = np.bincount(number[kept], minlength=len(starts) - 1)[number[kept]].astype(np.int32)
             yield from table.filter(pa.array(kept)).append_column("m", pa.array(m)).to_batches()
+        give_back()
 
     rows = classes.select("key", "n", F.posexplode("head").alias("at", "shingle")).select("shingle", "key", "n", "at")
     return rows.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(on_partition, "shingle bigint, key bigint, n int, at int, m int")
@@ -164,6 +165,7 @@ def pairs(met: DataFrame, order: str | None = None, reach: int = 1) -> DataFrame
                     a, b = key[a[near]], key[b[near]]
                     met_ = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(met_[0]), pa.array(met_[1])], ["a", "b"])
+        give_back()
 
     return met.repartition("shingle").sortWithinPartitions("shingle", F.expr(order or "comp"), "key").mapInArrow(on_partition, "a bigint, b bigint").distinct()
 
@@ -205,6 +207,7 @@ def screened(candidates: DataFrame, classes: DataFrame) -> DataFrame:
             # 5 shared >= 4 (a + b - shared) means that at most a ninth of a + b differ
             keep = [(OVER + UNDER) * differing(s, t) <= (UNDER - OVER) * m for s, t, m in zip(x, y, most, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     ends = [classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b")]
     both = candidates.hint("merge").join(ends[0].hint("merge"), "a").hint("merge").join(ends[1].hint("merge"), "b")

@@ -179,6 +179,7 @@ def _edges(nodes: DataFrame, limit: int) -> DataFrame:
             root = forest.flat()
             own = root != np.arange(len(root))
             yield pa.RecordBatch.from_arrays([pa.array(fps[own].view(np.int64)), pa.array(fps[root[own]].view(np.int64))], ["a", "b"])
+        give_back()
 
     dealt = nodes.repartition("path").sortWithinPartitions("path")
     return dealt.mapInArrow(on_partition, "a bigint, b bigint")
