@@ -11,6 +11,8 @@ from .graph import _cut
 
 # Extensions that an import may leave out, in the order in which they are tried.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".java")
+#: Classes with copies that are broadcast onto the sets; beyond that both are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def joined_path(base: Column, relative: Column) -> Column:
@@ -130,10 +132,20 @@ def knowledge_query(nodes: DataFrame, text: str, types: list[str] | None = None,
 
 def _word_sets(items: DataFrame, key: str, text: str, *keep: Column) -> DataFrame:
     """``wordsets.coded`` of items with a key and words: id, ``keep``, bag (what equal word sets share), n, codes and rares."""
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *keep, tx.word_set(F.col(text)).alias("s")).where(F.size("s") > 0)
+    words = F.coalesce(tx.word_set(F.col(text)), F.array().cast("array<string>"))
+    rows = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *keep, words.alias("s"))
     return wordsets.coded(rows.withColumn("bag", F.md5(F.array_join(F.array_sort("s"), " ").cast("binary"))))
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bag, rep, members) of equal word sets, rep being the least id, and the ``_word_sets`` of the reps with members; sets stay where they are."""
+    first = _cut(rows.groupBy("bag").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")))
+    many = first.where("members > 1")
+    copied = F.broadcast(many) if many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else many
+    distinct = rows.join(copied, "bag", "left").where("rep is null or rep = id")
+    return first, distinct.select("id", "n", "codes", "rares", F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
@@ -146,8 +158,7 @@ def similar_pairs(items: DataFrame, key: str, text: str, least: float) -> DataFr
 def similar_items(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """(a, b, jaccard) as ``similar_pairs``, over any number of copies: items of equal word sets are compared once, by their least key, and then take each other's place."""
     rows = _word_sets(items, key, text)
-    first = _cut(rows.groupBy("bag").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")))
-    distinct = rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    first, distinct = _classes(rows)
     # (rep, id) of the others of a class; a set without copies takes no place but its own
     others = _cut(rows.select("id", "bag").join(first.where("members > 1"), "bag").where("id <> rep").select("rep", "id"))
     both = _cut(wordsets.pairs(distinct, least))
@@ -167,10 +178,9 @@ def similar_classes(items: DataFrame, key: str, text: str, least: float) -> Data
     many copies there are. Items without words and null texts have no class and no links; null keys are left out.
     """
     rows = _word_sets(items, key, text)
-    first = _cut(rows.groupBy("bag").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members")))
-    distinct = rows.join(first.select(F.col("class").alias("id"), "bag", "members"), ["id", "bag"]).dropDuplicates(["id"])
-    near = wordsets.links(distinct.select("id", "n", "codes", "rares", "members"), least)
-    of = first.join(near.withColumnRenamed("id", "class"), "class", "left").select("bag", "class", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
+    first, distinct = _classes(rows)
+    near = wordsets.links(distinct, least)
+    of = first.withColumnRenamed("rep", "class").join(near.withColumnRenamed("id", "class"), "class", "left").select("bag", "class", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("n"))
     found = rows.select("id", "bag").join(of, "bag").select("id", "class", F.col("n").cast("long").alias("n_links"))
     wordless = items.where(F.col(key).isNotNull() & F.coalesce(F.size(tx.word_set(F.col(text))) <= 0, F.lit(True)))
     return found.unionByName(wordless.select(F.col(key).alias("id"), F.lit(None).cast(items.schema[key].dataType).alias("class"), F.lit(0).cast("long").alias("n_links")))

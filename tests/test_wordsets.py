@@ -58,6 +58,28 @@ def test_pairs_are_not_shuffled_to_be_compared(spark):
     assert joins and all("broadcast" in line for line in joins) and "Aggregate" not in plan
 
 
+def test_a_set_is_written_once_however_many_blocks_it_meets(spark, monkeypatch):
+    sets = [*_sets(120, 4), (900, ["alone"])]
+    rows = wordsets.coded(spark.createDataFrame([*sets, sets[0]], "id long, s array<string>")).withColumn("members", F.lit(1).cast("long"))
+    cut = []
+    monkeypatch.setattr(wordsets, "_cut", lambda df, f=wordsets._cut: (cut.append(f(df)), cut[-1])[1])
+    found = wordsets.pairs(rows, 0.3, block=1500)
+    assert "Repartition" not in found._jdf.queryExecution().optimizedPlan().toString() and len(cut) == 1
+    blocks = {r.block: pa.ipc.open_stream(r.sets).read_all()["id"].to_pylist() for r in cut[0].collect()}
+    assert len(blocks) > 4 and sorted(i for ids in blocks.values() for i in ids) == [i for i, _ in sets]
+    assert {(min(r.x, r.y), max(r.x, r.y)): r.jaccard for r in found.collect()} == _want(sets, 0.3)
+
+
+def test_classes_shuffle_no_sets_beside_few_copies(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} w{i % 5} w{i}" if i % 3 else "b a") for i in range(40)]
+    items = spark.createDataFrame(rows, "id long, t string")
+    for most in (100, 0):
+        monkeypatch.setattr(code_graph, "BROADCAST_ROWS", most)
+        distinct = code_graph._classes(code_graph._word_sets(items, "id", "t"))[1]
+        assert ("broadcast" in distinct._jdf.queryExecution().optimizedPlan().toString()) == bool(most)
+        assert sorted((r.id, r.members) for r in distinct.collect()) == [(0, 14), *((i, 1) for i in range(40) if i % 3)]
+
+
 def test_consolidation_shuffles_no_text(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(wordsets, "pairs", lambda sets, least, f=wordsets.pairs: (seen.append(sets), f(sets, least))[1])
