@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .best import SIDE, Best, products, unit
 
+#: Bytes of query vectors that tasks share at once; each worker holds a copy.
+SHARED = 16_000_000
+
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(term, id, tf): how often each word is in each document."""
@@ -83,11 +86,13 @@ def nearest(
 ) -> DataFrame:
     """(query_id, id, score): the ``k`` rows most alike to each query vector, itself left out, with cosine over ``least``.
 
-    The query set is read in blocks of at most ``block`` vectors; each block meets all rows once, each task keeping
+    The query set is read in blocks of at most ``block`` vectors and SHARED bytes; each block meets all rows once, each task keeping
     ``k`` rows for each query and SIDE x SIDE scores at a time, so nothing near all pairs is held or shuffled. Zero and null vectors score 0.
     """
     spark = vectors.sparkSession
     given = queries.select(F.col(vec_id).alias("q"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+    any_query = given.first()
+    block = block if any_query is None else max(1, min(block, SHARED // max(1, 8 * len(any_query.v))))  # all are of one length
     out = None
     last = None
     while True:

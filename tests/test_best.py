@@ -51,3 +51,17 @@ def test_nearest_of_copies(spark):
     for r in search.nearest(df, df.where("vec_id % 10 = 0"), 6, 0.2, block=7).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((-round(r.score, 9), r.id))
     assert got == {i: v for i, v in _want(rows, [i for i in rows if i % 10 == 0], 6, 0.2).items() if v}
+
+
+def test_queries_are_shared_in_blocks_of_bounded_bytes(spark, monkeypatch):
+    shared = []
+    sc = type(spark.sparkContext)
+    monkeypatch.setattr(sc, "broadcast", lambda self, value, f=sc.broadcast: (shared.append(value), f(self, value))[1])
+    rows = _copies(5, 20)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<float>").repartition(2)
+    monkeypatch.setattr(search, "SHARED", 8 * 6 * 4, raising=False)
+    got = {}
+    for r in search.nearest(df, df.where("vec_id % 10 = 0"), 6, 0.2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-round(r.score, 9), r.id))
+    assert got == {i: v for i, v in _want(rows, [i for i in rows if i % 10 == 0], 6, 0.2).items() if v}
+    assert max(q.nbytes for _, q in shared) <= search.SHARED and sum(len(ids) for ids, _ in shared) == 10
