@@ -115,13 +115,8 @@ def similar_nodes(nodes: DataFrame, least: float = 0.5) -> DataFrame:
         raise ValueError("pairs that share nothing but a part of their names can't be joined by a key")
     tags = F.array_distinct(F.transform("tags", F.lower)).alias("tags")
     rows = nodes.select("id", F.lower("name").alias("name"), tags, F.col("page").cast("string").alias("page"), F.col("file").cast("string").alias("file")).where("tags is not null")
-    met = alike.pairs(rows, None, least, strict=False)
-    union = F.size(F.array_union("a_tags", "b_tags"))
-    tags = F.when(union > 0, F.size(F.array_intersect("a_tags", "b_tags")) / union).otherwise(0.0)
-    same = lambda c: F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), 1).otherwise(0)
-    inside = F.contains("a_name", "b_name") | F.contains("b_name", "a_name")
-    x = F.round(tags * 0.4 + same("page") * 0.3 + same("file") * 0.2 + F.when(inside, 0.1).otherwise(0.0), 6)
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.least(F.lit(1.0), x).alias("similarity")).where(F.col("similarity") >= least)
+    met = alike.pairs(rows, None, least, strict=False, value=lambda likeness, _: F.round(likeness, 6))
+    return met.select("a", "b", F.col("value").alias("similarity")).where(F.col("similarity") >= least)
 
 
 def json_in(text: Column) -> Column:

@@ -37,3 +37,28 @@ def test_likeness_shuffles_no_pairs(spark):
     assert sorted((r.source, r.target) for r in found.collect()) == [(0, 2), (1, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [least(" not in plan and "Aggregate [a_id" not in plan  # pairs were made distinct and grouped before
+
+
+def test_nodes_of_a_profile_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(alike, "CHUNK", 4)
+    kinds = [("class", "p", "f", ["a", "b"]), ("class", "p", None, ["b", "c"]), ("interface", "q", "f", ["b", "a"]), ("interface", "p", "f", [])]
+    nodes = [(i, *kinds[i % 4][:1], ("One", "one two", None)[i % 3], kinds[i % 4][3], *kinds[i % 4][1:3]) for i in range(90)]
+    df = spark.createDataFrame(nodes, "id long, type string, name string, tags array<string>, page string, file string")
+    assert alike._profiles(df).count() < 45  # a row for some nodes of a profile, which are compared in their place
+
+    def likeness(a, b):
+        x, y = set(a[3]), set(b[3])
+        u, v = ((n[2].lower() if n[2] is not None else None) for n in (a, b))
+        equal = lambda i: a[i] is not None and a[i] == b[i]
+        inside = u is not None and v is not None and (u in v or v in u)
+        return (len(x & y) / len(x | y) if x | y else 0.0) * 0.4 + equal(4) * 0.3 + equal(5) * 0.2 + inside * 0.1
+
+    want = {}
+    for a in nodes:
+        for b in nodes:
+            rule = {("class", "interface"): ("implements", 0.8), ("class", "class"): ("extends", 0.7)}.get((a[1], b[1]))
+            if rule and (a[0] < b[0] if a[1] == b[1] else True) and likeness(a, b) > 0.3:
+                want[a[0], b[0]] = (rule[0], round(likeness(a, b) * rule[1], 6))
+    found = relations.inferred_by_likeness(df, spark.createDataFrame([], "source long, target long"), digits=6)
+    got = found.collect()
+    assert len(got) == len(want) > 1000 and {(r.source, r.target): (r.type, r.weight) for r in got} == want
